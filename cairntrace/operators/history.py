@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairntrace.operators.facts import fact
 from cairntrace.operators.ordered import SLICE, running, running_sums, slice_by_range
 from cairntrace.operators.quantiles import quantiles
 from cairntrace.schema import id_order, require, user_key
@@ -39,13 +40,12 @@ def user_lookbacks(jobs: DataFrame) -> DataFrame:
     # Whole-trace fills; the centre also keeps the sums of squares well conditioned.
     spread = slim.agg(F.var_pop(F.col("run").cast("double")).alias("g_var"), F.avg("run").alias("centre"))
     middle = quantiles(slim, {"run": F.col("run"), "ratio": F.col("ratio")}, [0.5])
-    fills = spread.crossJoin(
-        middle.select(F.col("run_p50").alias("g_median"), F.coalesce("ratio_p50", F.lit(1.0)).alias("g_ratio"))
-    )
+    g_spread, g_middle = fact(spread), fact(middle)
+    g_ratio = F.coalesce(g_middle.getField("ratio_p50"), F.lit(1.0))
 
     order = [F.col("submit_ts"), *id_order(jobs)]
-    centred = slim.crossJoin(F.broadcast(spread.select("centre"))).withColumn("dev", F.col("run") - F.col("centre"))
-    sliced = slice_by_range(centred.drop("centre"), [F.col("user_key"), *order])
+    centred = slim.withColumn("dev", F.col("run") - g_spread.getField("centre"))
+    sliced = slice_by_range(centred, [F.col("user_key"), *order])
     has_ratio = F.col("ratio").isNotNull().cast("bigint")
     square = F.col("dev") * F.col("dev")
     sums = {"n": F.lit(1).cast("bigint"), "s1": F.col("dev"), "s2": square, "rn": has_ratio, "rs": F.col("ratio")}
@@ -63,19 +63,19 @@ def user_lookbacks(jobs: DataFrame) -> DataFrame:
         (F.col("rn") - has_ratio).alias("rn"),
         (F.col("rs") - F.coalesce(F.col("ratio"), F.lit(0.0))).alias("rs"),
     )
-    rows = with_prefix_medians(rows, sliced, "run").crossJoin(F.broadcast(fills))
+    rows = with_prefix_medians(rows, sliced, "run")
     mean = F.col("s1") / F.col("cnt")
     return rows.select(
         "job_id",
-        F.coalesce("prefix_median", "g_median").alias("user_runtime_median_lookback"),
+        F.coalesce("prefix_median", g_middle.getField("run_p50")).alias("user_runtime_median_lookback"),
         F.when(F.col("cnt") > 0, F.greatest(F.col("s2") / F.col("cnt") - mean * mean, F.lit(0.0)))
-        .otherwise(F.col("g_var"))
+        .otherwise(g_spread.getField("g_var"))
         .alias("user_runtime_var_lookback"),
         F.col("cnt").alias("user_job_count_lookback"),
         F.greatest(F.coalesce(F.col("submit_ts") - F.col("prev_ts"), F.lit(0)), F.lit(0)).alias(
             "user_submit_gap_sec_lookback"
         ),
-        F.when(F.col("rn") > 0, F.col("rs") / F.col("rn")).otherwise(F.col("g_ratio")).alias(
+        F.when(F.col("rn") > 0, F.col("rs") / F.col("rn")).otherwise(g_ratio).alias(
             "user_overrequest_mean_lookback"
         ),
     )

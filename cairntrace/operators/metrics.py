@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairntrace.operators.facts import fact, side_by_side
 from cairntrace.operators.quantiles import quantiles
 from cairntrace.schema import require, user_key
 
@@ -49,14 +50,6 @@ def _clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
-def side_by_side(frames: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-    """Combine aggregates: join on the group keys, or pair up single rows."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, list(by), "left") if by else out.crossJoin(f)
-    return out
-
-
 def _totals(jobs: DataFrame, by: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     return jobs.groupBy(*by).agg(
         F.count("*").alias("n"),
@@ -148,7 +141,11 @@ def fairness(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distance of CPU-second shares from equal shares, Jain index, number of users."""
     usage = user_usage(jobs, by)
     totals = usage.groupBy(*by).agg(F.sum("cpu_sec").alias("total"), F.count("*").alias("users"))
-    shares = usage.join(totals, list(by)) if by else usage.crossJoin(totals)
+    if by:
+        shares = usage.join(totals, list(by))
+    else:
+        whole = fact(totals)
+        shares = usage.withColumns({"total": whole.getField("total"), "users": whole.getField("users")})
     share = F.col("cpu_sec") / F.nullif(F.col("total"), F.lit(0.0))
     stats = shares.groupBy(*by).agg(
         F.max("total").alias("total"),

@@ -18,27 +18,33 @@ from cairntrace.operators.ordered import (
 from cairntrace.schema import id_order, require, user_key
 
 
-def _submits_and_starts(jobs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """Submit (kind 0, +) and start (kind 1, -) events; `carry` columns ride on submits."""
+def _submits_and_starts(jobs: DataFrame) -> DataFrame:
+    """Submit (kind 0, +) and start (kind 1, -) events of each job."""
     cpus = F.col("requested_cpus").cast("bigint")
-    submit = jobs.select(
-        F.col("submit_ts").alias("ts"), F.lit(0).alias("kind"), "job_id", F.lit(1).cast("bigint").alias("dj"),
-        cpus.alias("dc"), *carry,
-    )
-    start = jobs.select(
-        F.col("start_ts").alias("ts"), F.lit(1).alias("kind"), "job_id", F.lit(-1).cast("bigint").alias("dj"),
-        (-cpus).alias("dc"), *[F.lit(None).cast(jobs.schema[c].dataType).alias(c) for c in carry],
-    )
-    return submit.unionByName(start)
-
-
-def _net_per_tick(jobs: DataFrame) -> DataFrame:
+
+    def event(ts: str, kind: int, sign: int) -> Column:
+        return F.struct(
+            F.col(ts).alias("ts"),
+            F.lit(kind).alias("kind"),
+            F.lit(sign).cast("bigint").alias("dj"),
+            (cpus * sign).alias("dc"),
+        )
+
+    return jobs.select("job_id", F.inline(F.array(event("submit_ts", 0, 1), event("start_ts", 1, -1))))
+
+
+def _net_per_tick(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Net change of waiting jobs and CPUs per second, summed map-side before the shuffle."""
+    cpus = F.col("requested_cpus").cast("bigint")
+
+    def event(ts: str, sign: int) -> Column:
+        return F.struct(F.col(ts).alias("ts"), F.lit(sign).cast("bigint").alias("dj"), (cpus * sign).alias("dc"))
+
+    events = jobs.select(*by, F.inline(F.array(event("submit_ts", 1), event("start_ts", -1))))
     return (
-        _submits_and_starts(jobs)
-        .groupBy("ts")
+        events.filter(F.col("ts").isNotNull())
+        .groupBy(*by, "ts")
         .agg(F.sum("dj").alias("dj"), F.sum("dc").alias("dc"))
-        .filter(F.col("ts").isNotNull())
     )
 
 
@@ -62,54 +68,63 @@ def queue_at_submit(jobs: DataFrame) -> DataFrame:
     )
 
 
-def observed_queue(jobs: DataFrame) -> DataFrame:
+def observed_queue(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Queue length per second with events, floored at zero as carried state."""
     require(jobs, {"submit_ts", "start_ts", "requested_cpus"}, "observed queue")
-    ticks = slice_by_time(_net_per_tick(jobs.withColumn("job_id", F.lit(0))))
-    out = clamped_sums(ticks, [F.col("ts")], {"queue_len_jobs": F.col("dj"), "queue_len_cpu_demand": F.col("dc")})
-    return out.select("ts", "queue_len_jobs", "queue_len_cpu_demand")
+    ticks = slice_by_time(_net_per_tick(jobs, by))
+    depth = {"queue_len_jobs": F.col("dj"), "queue_len_cpu_demand": F.col("dc")}
+    return clamped_sums(ticks, [F.col("ts")], depth, by).select(*by, "ts", *depth)
 
 
 def profile_queue(jobs: DataFrame) -> DataFrame:
     """Queue length per second with events, floored on output only."""
     require(jobs, {"submit_ts", "start_ts"}, "profile queue")
-    slim = jobs.select("submit_ts", "start_ts", F.lit(0).alias("requested_cpus"), F.lit(0).alias("job_id"))
-    ticks = slice_by_time(_net_per_tick(slim))
+    ticks = slice_by_time(_net_per_tick(jobs.select("submit_ts", "start_ts", F.lit(0).alias("requested_cpus"))))
     out = running_sums(ticks, [F.col("ts")], {"net": F.col("dj")})
     return out.select("ts", F.col("dj").alias("delta"), F.greatest(F.col("net"), F.lit(0)).alias("queue_len_jobs"))
 
 
-def resample_hold(
-    series: DataFrame, cadence_sec: int = 60, bounds: DataFrame | None = None, value: str = "queue_len_jobs"
-) -> DataFrame:
-    """Value of a step series at each point of a fixed grid: the latest at or before it, else 0.
+def grid(bounds: DataFrame, cadence_sec: int, by: Sequence[str] = ()) -> DataFrame:
+    """Points start, start + cadence, ... up to end for each row (start_ts, end_ts) of `bounds`.
 
-    `bounds` is one row (start_ts, end_ts); by default the extent of the series.  Grid
-    points enter the series as probe rows and read the running latest value.
+    Built in stretches that are spread over tasks before they expand.
     """
     if cadence_sec <= 0:
         raise ValueError("cadence_sec must be > 0")
-    if bounds is None:
-        bounds = series.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    last = F.greatest(F.col("start_ts"), F.col("end_ts"))
-    # The grid is built in stretches so that no row expands into more than one stretch.
     stretch = cadence_sec * max(1, TICK_WIDTH // cadence_sec)
-    grid = (
-        bounds.select(F.col("start_ts").alias("lo"), last.alias("hi"))
-        .filter(F.col("lo").isNotNull())
-        .select("hi", F.explode(F.sequence("lo", "hi", F.lit(stretch).cast("bigint"))).alias("s"))
-        .repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
-        .select(
-            F.explode(
-                F.sequence("s", F.least("hi", F.col("s") + F.lit(stretch - 1)), F.lit(cadence_sec).cast("bigint"))
-            ).alias("ts")
-        )
+    tasks = int(bounds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = F.lit(cadence_sec).cast("bigint")
+    return (
+        bounds.filter(F.col("start_ts").isNotNull())
+        .select(*by, F.col("start_ts").alias("lo"), F.greatest("start_ts", "end_ts").alias("hi"))
+        .select(*by, "hi", F.explode(F.sequence("lo", "hi", F.lit(stretch).cast("bigint"))).alias("s"))
+        .repartition(tasks, *by, "s")
+        .select(*by, F.explode(F.sequence("s", F.least("hi", F.col("s") + F.lit(stretch - 1)), step)).alias("ts"))
     )
-    points = series.select("ts", F.lit(0).alias("probe"), F.col(value).cast("double").alias("v"))
-    probes = grid.select("ts", F.lit(1).alias("probe"), F.lit(None).cast("double").alias("v"))
+
+
+def resample_hold(
+    series: DataFrame,
+    cadence_sec: int = 60,
+    bounds: DataFrame | None = None,
+    values: Sequence[str] = ("queue_len_jobs",),
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Step series on a fixed grid: each point takes the latest non-null value at or before it, else 0.
+
+    `bounds` holds (start_ts, end_ts) per group; by default the extent of the series.  Grid
+    points enter the series as probe rows and read the running latest value.
+    """
+    if bounds is None:
+        bounds = series.groupBy(*by).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    nothing = [F.lit(None).cast("double").alias(v) for v in values]
+    points = series.select(*by, "ts", F.lit(0).alias("probe"), *[F.col(v).cast("double").alias(v) for v in values])
+    probes = grid(bounds, cadence_sec, by).select(*by, "ts", F.lit(1).alias("probe"), *nothing)
     sliced = slice_by_time(points.unionByName(probes))
-    held = running(sliced, [F.col("ts"), F.col("probe")], lasts={"held": F.col("v")})
-    return held.filter(F.col("probe") == 1).select("ts", F.coalesce("held", F.lit(0.0)).alias(value))
+    held = running(sliced, [F.col("ts"), F.col("probe")], by, lasts={f"held_{v}": F.col(v) for v in values})
+    return held.filter(F.col("probe") == 1).select(
+        *by, "ts", *[F.coalesce(f"held_{v}", F.lit(0.0)).alias(v) for v in values]
+    )
 
 
 def submit_gaps(jobs: DataFrame) -> DataFrame:
