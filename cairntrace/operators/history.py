@@ -24,97 +24,101 @@ EPOCH_HALF_LIVES = 512
 # --------------------------------------------------------------------------- prefix statistics
 
 
-def user_lookbacks(jobs: DataFrame) -> DataFrame:
-    """Median, variance and mean over-request of each user's earlier submissions, their number,
-    and the gap to the previous one.  A user's first job takes whole-trace values."""
+def user_lookbacks(jobs: DataFrame, causal: bool = False, fills_from: DataFrame | None = None) -> DataFrame:
+    """Median, variance and mean over-request of each user's earlier jobs, their number, and the
+    gap to the user's previous submission.  Jobs without such history take whole-table values.
+
+    "Earlier" means submitted before, finished or not; with `causal` it means completed
+    (submit + run time) by the submission.  `fills_from` restricts the whole-table values
+    to another set of jobs, such as a training slice.
+    """
     require(jobs, {"job_id", "submit_ts", "runtime_actual_sec", "runtime_requested_sec", "user_id"}, "user lookbacks")
-    run = F.col("runtime_actual_sec").cast("double")
-    ratio = F.col("runtime_requested_sec").cast("double") / F.nullif(run, F.lit(0.0))
-    slim = jobs.select(
-        "job_id",
-        "submit_ts",
-        user_key().alias("user_key"),
-        F.col("runtime_actual_sec").cast("bigint").alias("run"),
-        ratio.alias("ratio"),
+
+    def slim(df: DataFrame) -> DataFrame:
+        run = F.col("runtime_actual_sec").cast("bigint")
+        ratio = F.col("runtime_requested_sec").cast("double") / F.nullif(run.cast("double"), F.lit(0.0))
+        return df.select("job_id", "submit_ts", user_key().alias("user_key"), run.alias("run"), ratio.alias("ratio"))
+
+    base = slim(jobs)
+    whole = slim(fills_from) if fills_from is not None else base
+    # The mean also serves as centre, which keeps the sums of squares well conditioned.
+    spread = fact(whole.agg(F.var_pop(F.col("run").cast("double")).alias("var"), F.avg("run").alias("centre")))
+    middle = fact(quantiles(whole, {"run": F.col("run"), "ratio": F.col("ratio")}, [0.5]))
+
+    if causal:
+        done = base.withColumns({"ts": F.col("submit_ts") + F.col("run"), "kind": F.lit(0)})
+        asks = base.withColumns({"ts": F.col("submit_ts"), "kind": F.lit(1)})
+        events = done.unionByName(asks).withColumns({"adds": F.col("kind") == 0, "asks": F.col("kind") == 1})
+    else:
+        events = base.withColumns({"ts": F.col("submit_ts"), "kind": F.lit(0), "adds": F.lit(True), "asks": F.lit(True)})
+    events = events.withColumns(
+        {
+            "v": F.when(F.col("adds"), F.col("run")),
+            "dev": F.when(F.col("adds"), F.col("run") - spread.getField("centre")),
+            "ratio": F.when(F.col("adds"), F.col("ratio")),
+        }
     )
-    # Whole-trace fills; the centre also keeps the sums of squares well conditioned.
-    spread = slim.agg(F.var_pop(F.col("run").cast("double")).alias("g_var"), F.avg("run").alias("centre"))
-    middle = quantiles(slim, {"run": F.col("run"), "ratio": F.col("ratio")}, [0.5])
-    g_spread, g_middle = fact(spread), fact(middle)
-    g_ratio = F.coalesce(g_middle.getField("ratio_p50"), F.lit(1.0))
-
-    order = [F.col("submit_ts"), *id_order(jobs)]
-    centred = slim.withColumn("dev", F.col("run") - g_spread.getField("centre"))
-    sliced = slice_by_range(centred, [F.col("user_key"), *order])
-    has_ratio = F.col("ratio").isNotNull().cast("bigint")
-    square = F.col("dev") * F.col("dev")
-    sums = {"n": F.lit(1).cast("bigint"), "s1": F.col("dev"), "s2": square, "rn": has_ratio, "rs": F.col("ratio")}
-    rows = running(sliced, order, ["user_key"], sums=sums, previous={"prev_ts": F.col("submit_ts")})
+    order = [F.col("ts"), F.col("kind"), F.col("submit_ts"), *id_order(jobs)]
+    sliced = slice_by_range(events, [F.col("user_key"), *order])
+
+    def own(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0))
+
+    added = {
+        "n": F.col("adds").cast("bigint"),
+        "s1": F.col("dev"),
+        "s2": F.col("dev") * F.col("dev"),
+        "rn": F.col("ratio").isNotNull().cast("bigint"),
+        "rs": F.col("ratio"),
+    }
+    asked_ts = F.when(F.col("asks"), F.col("submit_ts"))
+    rows = running(sliced, order, ["user_key"], sums=added, previous={"prev_ts": asked_ts})
     rows = rows.select(
-        SLICE,
-        "user_key",
-        "submit_ts",
-        "job_id",
-        F.col("run").alias("v"),
-        "prev_ts",
-        (F.col("n") - 1).alias("cnt"),
-        (F.col("s1") - F.col("dev")).alias("s1"),
-        (F.col("s2") - square).alias("s2"),
-        (F.col("rn") - has_ratio).alias("rn"),
-        (F.col("rs") - F.coalesce(F.col("ratio"), F.lit(0.0))).alias("rs"),
-    )
-    rows = with_prefix_medians(rows, sliced, "run")
-    mean = F.col("s1") / F.col("cnt")
+        SLICE, "user_key", "ts", "kind", "submit_ts", "job_id", "v", "asks", "prev_ts",
+        *[(F.col(name) - own(value)).alias(name) for name, value in added.items()],
+    )
+    rows = with_prefix_medians(rows, sliced).filter("asks")
+    mean = F.col("s1") / F.col("n")
     return rows.select(
         "job_id",
-        F.coalesce("prefix_median", g_middle.getField("run_p50")).alias("user_runtime_median_lookback"),
-        F.when(F.col("cnt") > 0, F.greatest(F.col("s2") / F.col("cnt") - mean * mean, F.lit(0.0)))
-        .otherwise(g_spread.getField("g_var"))
+        F.coalesce("prefix_median", middle.getField("run_p50")).alias("user_runtime_median_lookback"),
+        F.when(F.col("n") > 0, F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0)))
+        .otherwise(spread.getField("var"))
         .alias("user_runtime_var_lookback"),
-        F.col("cnt").alias("user_job_count_lookback"),
+        F.col("n").alias("user_job_count_lookback"),
         F.greatest(F.coalesce(F.col("submit_ts") - F.col("prev_ts"), F.lit(0)), F.lit(0)).alias(
             "user_submit_gap_sec_lookback"
         ),
-        F.when(F.col("rn") > 0, F.col("rs") / F.col("rn")).otherwise(g_ratio).alias(
-            "user_overrequest_mean_lookback"
-        ),
+        F.when(F.col("rn") > 0, F.col("rs") / F.col("rn"))
+        .otherwise(F.coalesce(middle.getField("ratio_p50"), F.lit(1.0)))
+        .alias("user_overrequest_mean_lookback"),
     )
 
 
-def with_prefix_medians(rows: DataFrame, sliced: DataFrame, value: str) -> DataFrame:
-    """Add `prefix_median`, the exact median of each user's earlier values `v`.
+def with_prefix_medians(rows: DataFrame, sliced: DataFrame) -> DataFrame:
+    """Add `prefix_median`: the exact median of the values `v` a user has before each row.
 
-    `sliced` holds the same rows by (user_key, submit_ts, job_id), their value as `value`.
-    A slice needs of its user's earlier slices only the middle of their values: with m
-    rows of the user in the slice, the median moves by at most m/2 ranks.  Those bands
-    come from per-slice value counts: running counts per (user, value) over the user's
-    slices, then ranks per (user, slice).  Both are windows over counted values, and a
-    band holds at most as many values as the slice has rows.  Whole-second run times
-    keep the counted values per user far below its row count.
+    `rows` and `sliced` hold the same events, sliced by (user_key, ts, kind, submit_ts, job_id);
+    a null `v` adds nothing.  A slice needs of its user's earlier slices only the middle of
+    their values: with m values of its own the median moves by at most m/2 ranks.  Those
+    bands come from per-slice value counts: running counts per (user, value) over the
+    user's slices, then ranks per (user, slice).  Both are windows over counted values, and
+    a band holds at most as many values as the slice adds.  Whole-second run times keep
+    the distinct values of a user far below its number of jobs.
     """
-    counted = sliced.groupBy(SLICE, "user_key", F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    spans = (
-        sliced.groupBy(SLICE, "user_key")
-        .agg(F.count("*").alias("m"))
-        .withColumn("earlier", F.sum("m").over(Window.partitionBy("user_key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)))
-    )
-    continued = spans.filter(F.col("earlier") > 0)
+    counted = sliced.filter("v IS NOT NULL").groupBy(SLICE, "user_key", "v").agg(F.count("*").alias("c"))
+    earlier = Window.partitionBy("user_key").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    spans = sliced.groupBy(SLICE, "user_key").agg(F.count("v").alias("m"))
+    continued = spans.withColumn("earlier", F.sum("m").over(earlier)).filter(F.col("earlier") > 0)
     lasting = continued.groupBy("user_key").agg(F.max(SLICE).alias("to_slice"))
-    # Counts of users that cross a slice boundary, added to every later slice of the user.
-    crossing = counted.join(lasting, "user_key")
-    per_value = crossing.groupBy("user_key", "v", "to_slice").agg(
-        F.map_from_entries(F.collect_list(F.struct(SLICE, "c"))).alias("by_slice"), F.min(SLICE).alias("first_slice")
-    )
-    dense = per_value.select(
-        "user_key", "v", "by_slice", F.explode(F.sequence(F.col("first_slice"), F.col("to_slice"))).alias(SLICE)
+    # Value counts of users that cross a slice boundary, carried to every later slice of the user.
+    per_value = counted.join(lasting, "user_key").groupBy("user_key", "v", "to_slice").agg(
+        F.map_from_entries(F.collect_list(F.struct(SLICE, "c"))).alias("by_slice"), F.min(SLICE).alias("first")
     )
+    dense = per_value.select("user_key", "v", "by_slice", F.explode(F.sequence("first", "to_slice")).alias(SLICE))
     over_slices = Window.partitionBy("user_key", "v").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = dense.select(
-        "user_key",
-        "v",
-        SLICE,
-        F.sum(F.coalesce(F.try_element_at("by_slice", SLICE), F.lit(0))).over(over_slices).alias("c"),
-    ).filter(F.col("c") > 0)
+    here = F.coalesce(F.try_element_at("by_slice", SLICE), F.lit(0))
+    before = dense.select("user_key", "v", SLICE, F.sum(here).over(over_slices).alias("c")).filter(F.col("c") > 0)
     ranked = before.join(continued, [SLICE, "user_key"]).withColumn(
         "to", F.sum("c").over(Window.partitionBy(SLICE, "user_key").orderBy("v"))
     )
@@ -130,7 +134,6 @@ def with_prefix_medians(rows: DataFrame, sliced: DataFrame, value: str) -> DataF
         "low",
         (F.col("earlier") - F.col("high")).alias("above"),
     )
-
     schema = T.StructType([*rows.schema.fields, T.StructField("prefix_median", T.DoubleType())])
     return rows.groupBy(SLICE).cogroup(bands.groupBy("band_slice")).applyInPandas(_slice_medians, schema)
 
@@ -139,14 +142,13 @@ def _slice_medians(rows: pd.DataFrame, bands: pd.DataFrame) -> pd.DataFrame:
     rows = _in_order(rows)
     prior = {k: g.sort_values("band_v") for k, g in bands.groupby("band_user")} if len(bands) else {}
     out = np.full(len(rows), np.nan)
-    users, values = rows["user_key"].to_numpy(), rows["v"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]) if len(rows) else []
-    for at, end in zip(starts, np.r_[starts[1:], len(rows)] if len(rows) else []):
+    users, values = rows["user_key"].to_numpy(), rows["v"].to_numpy(dtype=float, na_value=np.nan)
+    starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]]) if len(rows) else np.array([], dtype=int)
+    for at, end in zip(starts, np.r_[starts[1:], len(rows)]):
         band = prior.get(users[at])
-        if band is None:
-            before, below, above = [], 0, 0
-        else:
-            before = np.repeat(band["band_v"].to_numpy(), band["keep"].to_numpy()).tolist()
+        before, below, above = [], 0, 0
+        if band is not None:
+            before = np.repeat(band["band_v"].to_numpy(dtype=float), band["keep"].to_numpy()).tolist()
             below, above = int(band["low"].iloc[0]), int(band["above"].iloc[0])
         out[at:end] = _medians_before(values[at:end].tolist(), before, below, above)
     return rows.assign(prefix_median=pd.array(np.where(np.isnan(out), None, out), dtype="Float64"))
@@ -156,14 +158,14 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     if rows["job_id"].dtype == object:
         number = pd.to_numeric(rows["job_id"], errors="coerce")
         rows = rows.assign(_number=number)
-        keys = ["user_key", "submit_ts", "_number", "job_id"]
+        keys = ["user_key", "ts", "kind", "submit_ts", "_number", "job_id"]
         return rows.sort_values(keys, na_position="first").drop(columns="_number")
-    return rows.sort_values(["user_key", "submit_ts", "job_id"])
+    return rows.sort_values(["user_key", "ts", "kind", "submit_ts", "job_id"])
 
 
 def _medians_before(values: Iterable[float], before: list, below: int, above: int) -> list[float]:
-    """Median of everything before each value; `before` is the sorted middle of the earlier
-    values, with `below` smaller and `above` larger ones left out."""
+    """Median of everything before each value (NaN adds nothing); `before` is the sorted middle
+    of the earlier values, with `below` smaller and `above` larger ones left out."""
     total = below + len(before) + above
     cut = max(0, (total + 1) // 2 - below)
     lows, highs = [-v for v in before[:cut]], list(before[cut:])
@@ -177,6 +179,8 @@ def _medians_before(values: Iterable[float], before: list, below: int, above: in
             out.append(float(-lows[0]))
         else:
             out.append((-lows[0] + highs[0]) / 2.0)
+        if v != v:
+            continue
         if not lows or v <= -lows[0]:
             heapq.heappush(lows, -v)
             n_low += 1
