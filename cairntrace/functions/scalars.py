@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 DAY = 86400
 
 # Date formats, as the log writers print them (fields may lack leading zeros).
-SLURM_DATE_FORMATS = ("yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m", "yyyy-M-d H:m")
-PBS_DATE_FORMATS = ("M/d/yyyy H:m:s", "yyyy-M-d H:m:s", "M/d/yyyy H:m")
-QSTAT_DATE_FORMATS = ("MMM d H:m:s yyyy", "yyyy-M-d'T'H:m:s")
+SLURM_DATE = "yyyy-M-d H:m[:s]"  # with 'T' or a blank between date and time
+LIVE_DATE = "yyyy-M-d'T'H:m:s"
+PBS_SLASHED_DATE, PBS_DASHED_DATE = "M/d/yyyy H:m[:s]", "yyyy-M-d H:m:s"
+QSTAT_DATE = "MMM d H:m:s yyyy"
+
+WHITESPACE = " \t\n\r\x0b\x0c"
 
 # Words that stand for a missing field.
 MISSING_WORDS = ("", "unknown", "none", "n/a")
@@ -24,7 +27,7 @@ WASTE_LOW, WASTE_MEDIUM = 0.15, 0.35
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def present(c: Column) -> Column:
@@ -33,10 +36,9 @@ def present(c: Column) -> Column:
     return F.when(~F.lower(text).isin(*MISSING_WORDS), text)
 
 
-def _epoch(text: Column, formats: tuple[str, ...]) -> Column:
+def _epoch(text: Column, fmt: str) -> Column:
     # An explicit offset makes the result independent of the session time zone.
-    utc = F.concat(text, F.lit(" +0000"))
-    return F.coalesce(*[F.unix_seconds(F.try_to_timestamp(utc, F.lit(f"{fmt} Z"))) for fmt in formats])
+    return F.unix_seconds(F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{fmt} Z")))
 
 
 def _int(c: Column) -> Column:
@@ -64,7 +66,7 @@ def swf_int(token: Column) -> Column:
 
 def slurm_datetime(c: Column) -> Column:
     """UTC epoch seconds of a sacct date, null for sentinels and unparsable text."""
-    return _epoch(present(c), SLURM_DATE_FORMATS)
+    return _epoch(F.translate(present(c), "T", " "), SLURM_DATE)
 
 
 def elapsed_sec(c: Column) -> Column:
@@ -124,7 +126,7 @@ def live_time_sec(c: Column) -> Column:
 
 
 def live_datetime(c: Column) -> Column:
-    return _epoch(F.nullif(F.nullif(c, F.lit("")), F.lit("Unknown")), SLURM_DATE_FORMATS[:1])
+    return _epoch(c, LIVE_DATE)
 
 
 # --------------------------------------------------------------------------- PBS
@@ -132,9 +134,13 @@ def live_datetime(c: Column) -> Column:
 
 def pbs_timestamp(c: Column) -> Column:
     """Positive epoch integer, or a date in one of the log's formats."""
-    text = F.nullif(strip(c), F.lit(""))
+    text = strip(c)
     number = _int(text)
-    return F.coalesce(F.when(number > 0, number), _epoch(text, PBS_DATE_FORMATS))
+    return (
+        F.when(number > 0, number)
+        .when(F.contains(text, F.lit("/")), _epoch(text, PBS_SLASHED_DATE))
+        .otherwise(_epoch(text, PBS_DASHED_DATE))
+    )
 
 
 def pbs_walltime_sec(c: Column) -> Column:
@@ -219,7 +225,8 @@ def qstat_walltime_sec(c: Column) -> Column:
 def qstat_datetime(c: Column) -> Column:
     """`Mon Jan  5 10:00:00 2026` or ISO; the weekday is ignored, padding blanks collapse."""
     text = F.regexp_replace(strip(c), r"\s+", " ")
-    return _epoch(F.nullif(F.regexp_replace(text, "^[A-Za-z]{3} (?=[A-Za-z])", ""), F.lit("")), QSTAT_DATE_FORMATS)
+    undated = F.regexp_replace(text, "^[A-Za-z]{3} (?=[A-Za-z])", "")
+    return F.when(F.contains(text, F.lit(" ")), _epoch(undated, QSTAT_DATE)).otherwise(_epoch(text, LIVE_DATE))
 
 
 def leading_int(c: Column, default: int) -> Column:

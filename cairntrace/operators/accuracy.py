@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairntrace.functions.scalars import abs_pct_error, in_order, pinball
-from cairntrace.operators.facts import fact, side_by_side
+from cairntrace.operators.facts import fact, side_by_side, with_fact
 from cairntrace.operators.quantiles import quantiles
 from cairntrace.schema import require, user_key
 
@@ -70,8 +70,8 @@ def naive_baselines(train: DataFrame, test: DataFrame, target: str = "runtime_ac
 
 def evaluate_quantiles(scored: DataFrame, train: DataFrame, target: str = "runtime_actual_sec") -> DataFrame:
     """Improvement of the model's p50 over each naive predictor on the scored rows."""
-    losses = fact(quantile_losses(scored, target))
-    base = naive_baselines(train, scored, target)
+    losses = F.col("_losses")
+    base = with_fact(naive_baselines(train, scored, target), quantile_losses(scored, target), "_losses")
     return base.select(
         "baseline",
         "mae",
@@ -158,16 +158,16 @@ def psi(
     probs = [i / bins for i in range(bins + 1)]
     spread = quantiles(train, {f: F.col(f).try_cast("double") for f in features}, probs)
     tags = [f"p{p * 100:g}".replace(".", "_") for p in probs]
-    edges = fact(spread.select(*[F.array_distinct(F.array(*[f"{f}_{t}" for t in tags])).alias(f) for f in features]))
+    edges = spread.select(*[F.array_distinct(F.array(*[f"{f}_{t}" for t in tags])).alias(f) for f in features])
 
     def long(df: DataFrame, side: str) -> DataFrame:
         rows = F.array(
             *[
-                F.struct(F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("v"), edges.getField(f).alias("e"))
+                F.struct(F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("v"), F.col(f"_edges.{f}").alias("e"))
                 for f in features
             ]
         )
-        return df.select(F.inline(rows)).filter(F.col("v").isNotNull()).withColumn("side", F.lit(side))
+        return with_fact(df, edges, "_edges").select(F.inline(rows)).filter(F.col("v").isNotNull()).withColumn("side", F.lit(side))
 
     both = long(train, "train").unionByName(long(evaluated, "eval"))
     last = F.size("e") - 1

@@ -275,7 +275,7 @@ def job_violations(jobs: DataFrame) -> DataFrame:
         "job_end_before_start": F.col("end_ts") < F.col("start_ts"),
         "job_nonpositive_cpu": F.col("requested_cpus") <= 0,
     }
-    failed = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull())
+    failed = F.array_remove(F.array(*[F.when(c, F.lit(n)).otherwise("") for n, c in checks.items()]), "")
     out = jobs.select("job_id", failed.alias("failed_invariants"), F.lit("error").alias("severity"))
     return out.filter(F.size("failed_invariants") > 0)
 

@@ -8,16 +8,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ALL = "_all"
+
 
 def fact(one_row: DataFrame) -> Column:
     """The only row of a frame as a struct-valued scalar subquery."""
     return one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("fact")).scalar()
 
 
-def side_by_side(frames: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+def with_fact(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """Rows with a one-row frame as struct column `name`, planned once however often it is read."""
+    return df.withColumn(name, fact(one_row))
+
+
+def side_by_side(frames: Sequence[DataFrame], by: Sequence[str] = ()) -> DataFrame:
     """Aggregates of the same groups in one row each (single rows when there are no groups)."""
+    keys = list(by) or [ALL]
+    if not by:
+        frames = [f.withColumn(ALL, F.lit(0)) for f in frames]
+    out = reduce(lambda a, b: a.join(b, keys, "left"), frames)
+    return out if by else out.drop(ALL)
+
+
+def with_group_totals(rows: DataFrame, totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of an aggregate next to the totals of their group (one row per group)."""
     if by:
-        return reduce(lambda a, b: a.join(b, list(by), "left"), frames)
-    first, *rest = frames
-    facts = [(f.columns, fact(f)) for f in rest]
-    return first.select("*", *[value.getField(c).alias(c) for columns, value in facts for c in columns])
+        return rows.join(totals, list(by))
+    return rows.withColumn(ALL, F.lit(0)).join(totals.withColumn(ALL, F.lit(0)), ALL).drop(ALL)

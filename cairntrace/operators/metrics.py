@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.operators.facts import fact, side_by_side
+from cairntrace.operators.facts import side_by_side, with_group_totals
 from cairntrace.operators.quantiles import quantiles
 from cairntrace.schema import require, user_key
 
@@ -141,11 +141,7 @@ def fairness(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distance of CPU-second shares from equal shares, Jain index, number of users."""
     usage = user_usage(jobs, by)
     totals = usage.groupBy(*by).agg(F.sum("cpu_sec").alias("total"), F.count("*").alias("users"))
-    if by:
-        shares = usage.join(totals, list(by))
-    else:
-        whole = fact(totals)
-        shares = usage.withColumns({"total": whole.getField("total"), "users": whole.getField("users")})
+    shares = with_group_totals(usage, totals, by)
     share = F.col("cpu_sec") / F.nullif(F.col("total"), F.lit(0.0))
     stats = shares.groupBy(*by).agg(
         F.max("total").alias("total"),

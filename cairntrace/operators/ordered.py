@@ -53,8 +53,8 @@ def slice_by_range(df: DataFrame, keys: Sequence[Column | str], slices: int | No
 
 
 def slice_by_time(ticks: DataFrame, ts: str = "ts", width: int = TICK_WIDTH) -> DataFrame:
-    """Label one-row-per-second rows with their fixed-width time bucket."""
-    return ticks.withColumn(SLICE, F.floor(F.col(ts) / F.lit(width)).cast("bigint"))
+    """Label one-row-per-second rows with their fixed-width time bucket (persisted: read twice)."""
+    return hold(ticks.withColumn(SLICE, F.floor(F.col(ts) / F.lit(width)).cast("bigint")))
 
 
 def _scan(groups: Sequence[str], order: Sequence[Column | str], upto: int = 0):

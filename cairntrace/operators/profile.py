@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.operators.facts import fact, side_by_side
+from cairntrace.operators.facts import side_by_side
 from cairntrace.operators.metrics import wait_sec
 from cairntrace.operators.quantiles import quantiles
 from cairntrace.operators.queues import profile_queue
@@ -131,7 +131,7 @@ def trace_profile(jobs: DataFrame) -> DataFrame:
         "user_skew": profile_users(jobs),
     }
     rows = jobs.agg(F.count("*").alias("row_count"))
-    return rows.select("row_count", *[fact(df).alias(name) for name, df in parts.items()])
+    return side_by_side([rows, *[df.select(F.struct("*").alias(name)) for name, df in parts.items()]])
 
 
 def workload_class(jobs: DataFrame) -> DataFrame:

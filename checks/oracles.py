@@ -755,9 +755,11 @@ def qcorr(cands: str = "cands") -> str:
 grid AS (SELECT policy_id, unnest(generate_series(least(lo, l0), greatest(hi, h0), 3600)) AS ts
   FROM (SELECT policy_id, min(submit_ts) AS lo, max(end_ts) AS hi FROM {cands} GROUP BY policy_id),
        (SELECT min(submit_ts) AS l0, max(end_ts) AS h0 FROM jobs)),
-qr AS (SELECT policy_id, corr(o, c) AS queue_corr_pearson FROM (SELECT g.policy_id, CAST(coalesce(qo.queue_len_jobs, 0) AS DOUBLE) AS o,
-    CAST(coalesce(qc.queue_len_jobs, 0) AS DOUBLE) AS c FROM grid g ASOF LEFT JOIN qo ON g.ts >= qo.ts
-    ASOF LEFT JOIN qc ON g.policy_id = qc.policy_id AND g.ts >= qc.ts) GROUP BY policy_id)"""
+qu AS (SELECT policy_id, ts, 0 AS probe, queue_len_jobs AS o, NULL AS c FROM qo, (SELECT DISTINCT policy_id FROM {cands})
+  UNION ALL SELECT policy_id, ts, 0, NULL, queue_len_jobs FROM qc UNION ALL SELECT policy_id, ts, 1, NULL, NULL FROM grid),
+qh AS (SELECT policy_id, probe, last_value(o IGNORE NULLS) OVER w AS o, last_value(c IGNORE NULLS) OVER w AS c FROM qu
+  WINDOW w AS (PARTITION BY policy_id ORDER BY ts, probe ROWS UNBOUNDED PRECEDING)),
+qr AS (SELECT policy_id, corr(CAST(coalesce(o, 0) AS DOUBLE), CAST(coalesce(c, 0) AS DOUBLE)) AS queue_corr_pearson FROM qh WHERE probe = 1 GROUP BY policy_id)"""
 
 
 put("wait_kl", f"SELECT policy_id, {r('wait_kl_divergence', 8)} FROM kl", f"{JOBS}, {CANDS}, {kl()}")
@@ -829,8 +831,10 @@ put(
 put(
     "pareto_front",
     """SELECT policy_id, NOT dom AS pareto_frontier, dom AS pareto_dominated FROM (SELECT a.policy_id, EXISTS (SELECT 1 FROM scored b
-  WHERE b.d1 >= a.d1 AND b.d2 >= a.d2 AND b.d3 >= a.d3 AND (b.d1 > a.d1 OR b.d2 > a.d2 OR b.d3 > a.d3)) AS dom FROM scored a)""",
-    RELAXED,
+  WHERE b.d1 >= a.d1 AND b.d2 >= a.d2 AND b.d3 >= a.d3 AND (b.d1 > a.d1 OR b.d2 > a.d2 OR b.d3 > a.d3)) AS dom FROM pts a)""".replace(
+        "FROM scored b", "FROM pts b"
+    ),
+    RELAXED + ", pts AS (SELECT policy_id, round(d1, 9) AS d1, round(d2, 9) AS d2, round(d3, 9) AS d3 FROM scored)",
 )
 put(
     "regime",

@@ -908,11 +908,9 @@ def psi(jobs):
 
 
 def _degraded(jobs):
-    spark = jobs.sparkSession
-    base = accuracy.quantile_losses(_scored(jobs))
-    base = base.selectExpr("inline(array(struct('p10', p10_pinball), struct('p50', p50_pinball), struct('p90', p90_pinball)))")
-    del spark
-    return accuracy.degradation(_scored(jobs, 2), base.toDF("quantile", "pinball_loss"))
+    wide = accuracy.quantile_losses(_scored(jobs))
+    base = wide.selectExpr("stack(3, 'p10', p10_pinball, 'p50', p50_pinball, 'p90', p90_pinball) AS (quantile, pinball_loss)")
+    return accuracy.degradation(_scored(jobs, 2), base)
 
 
 @on_jobs
