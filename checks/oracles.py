@@ -1094,3 +1094,36 @@ put(
     ),
     GEN,
 )
+
+# --------------------------------------------------------------------------- files, streams
+
+put(
+    "canonical_table",
+    "SELECT CAST(job_id AS VARCHAR) AS job_id, submit_ts, requested_mem, 'q1' AS dataset_id FROM jobs WHERE job_id % 50 <> 0 AND queue_id = '1'",
+)
+put("jsonl_log", "SELECT job_id, p10, p50, p90 FROM preds1 WHERE job_id % 33 <> 0", f"{JOBS}, {preds(1)}")
+put(
+    "json_reports",
+    "SELECT policy_id, job_count, starved_jobs FROM oc WHERE policy_id <> 'cand_b'",
+    f"{JOBS}, {CANDS}, {objective('cands', 'oc', 'policy_id')}",
+)
+ORACLES["stream_ingest"] = ORACLES["swf_parse"]
+put("stream_poll_totals", "SELECT count(*) AS total_rows, 'pbs' AS source FROM jobs")
+put(
+    "stream_feedback",
+    f"""SELECT job_id, p10, p50, p90, y AS actual_sec, y BETWEEN p10 AND p90 AS in_interval, {r('p50 - y', 6, 'error_sec')},
+  {r('abs(p50 - y) / greatest(y, 1)', 6, 'abs_pct_error')} FROM fb WHERE job_id % 13 <> 0""",
+    f"{JOBS}, {FB}",
+)
+put(
+    "rolling_accuracy",
+    f"""SELECT end_ts // 2592000 * 2592000 AS start_ts, count(*) AS predictions, {r('avg(i)', 6, 'interval_coverage')}, {r('avg(abs(p50 - y))', 6, 'mean_absolute_error')},
+  {r('avg(abs(p50 - y) / greatest(y, 1))', 6, 'mape')}, CASE WHEN avg(i) < 0.5e0 THEN 'severe' WHEN avg(i) < 0.7e0 THEN 'mild' ELSE 'none' END AS drift_severity
+  FROM (SELECT *, CASE WHEN y BETWEEN p10 AND p90 THEN 1.0e0 ELSE 0.0e0 END AS i FROM fb WHERE job_id % 13 <> 0) GROUP BY 1""",
+    f"{JOBS}, {FB}",
+)
+put(
+    "stream_queue",
+    "SELECT queue_id, ts, queue_len_jobs, queue_len_cpu_demand FROM q",
+    f"{JOBS}, {obs_queue('jobs', 'q', 'queue_id')}",
+)

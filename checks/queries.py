@@ -1005,3 +1005,189 @@ def gen_user_skew(jobs):
 @on_jobs
 def gen_burst(jobs):
     return generate.burst_shock(generate.gen_jobs(_ids(jobs))).select(*GEN)
+
+
+# --------------------------------------------------------------------------- files, streams
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one."""
+    import uuid
+
+    from cairntrace.session import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def canonical_table(spark, sf_dir):
+    """Written per dataset, read back with one partition selected."""
+    from cairntrace.sources import tables
+
+    folder = scratch(spark, "jobs")
+    jobs = swf.parse(fx.raw_swf(fx.jobs(spark, sf_dir)))
+    tables.write_jobs(jobs.withColumn("dataset_id", F.concat(F.lit("q"), F.coalesce("queue_id", F.lit("0")))), folder)
+    back = tables.load_jobs(spark, folder, "q1")
+    return back.select("job_id", "submit_ts", "requested_mem", "dataset_id")
+
+
+@query
+def jsonl_log(spark, sf_dir):
+    """A prediction log as JSON lines with broken lines in it."""
+    from cairntrace.sources import tables
+
+    folder = scratch(spark, "log")
+    preds = fx.predictions(fx.jobs(spark, sf_dir))
+    text = F.when(F.col("job_id") % 33 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("job_id", "p10", "p50", "p90")))
+    preds.select(text.alias("value")).write.text(folder)
+    return tables.load_jsonl(spark, folder, "job_id bigint, p10 double, p50 double, p90 double")
+
+
+@query
+def json_reports(spark, sf_dir):
+    """Report documents, one file each, some unreadable."""
+    from cairntrace.sources import tables
+
+    folder = scratch(spark, "reports")
+    cands = metrics.objective_metrics(fx.candidates(fx.jobs(spark, sf_dir)), CAPACITY, by=["policy_id"])
+    text = F.when(F.col("policy_id") == "cand_b", F.lit("{broken")).otherwise(
+        F.to_json(F.struct("policy_id", F.struct("job_count", "starved_jobs").alias("objective_metrics")))
+    )
+    cands.select(text.alias("value"), F.col("policy_id").alias("f")).repartition("f").write.partitionBy("f").text(folder)
+    docs = tables.load_reports(spark, f"{folder}/*", "policy_id string, objective_metrics struct<job_count:double,starved_jobs:double>")
+    return docs.select("policy_id", "objective_metrics.*")
+
+
+@query
+def dataset_fingerprint(spark, sf_dir):
+    return quality.dataset_fingerprint(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/events.parquet"])
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """SWF files landing in a folder, with every job written twice; each comes out once."""
+    from cairntrace.streaming import jobs as st
+
+    landed, out, mark = (scratch(spark, n) for n in ("landed", "ingested", "mark"))
+    lines = fx.raw_swf(fx.jobs(spark, sf_dir))
+    lines.unionByName(lines).repartition(6).write.text(landed)
+    st.write_stream(st.stream_jobs(spark, landed, "swf"), out, mark, poll_sec=None).awaitTermination()
+    return rounded(spark.read.parquet(out))
+
+
+@query
+def stream_poll_totals(spark, sf_dir):
+    """Statistics of a polled stream."""
+    from cairntrace.streaming import jobs as st
+
+    landed, out, stats, mark = (scratch(spark, n) for n in ("landed", "polled", "stats", "mark"))
+    fx.raw_pbs(fx.jobs(spark, sf_dir)).repartition(4).write.text(landed)
+    stream = st.stream_jobs(spark, landed, "pbs")
+    st.poll_stats(stream, out, stats, mark, "pbs", poll_sec=None).awaitTermination()
+    return st.poll_totals(spark.read.parquet(stats)).select("total_rows", "source")
+
+
+def _feedback_tables(spark, sf_dir):
+    jobs = fx.jobs(spark, sf_dir)
+    preds = fx.predictions(jobs).join(jobs.select("job_id", F.timestamp_seconds("start_ts").alias("predicted_at")), "job_id")
+    done = jobs.select(
+        "job_id", F.timestamp_seconds("end_ts").alias("done_at"), F.col("runtime_actual_sec").cast("double").alias("actual_sec")
+    )
+    return preds, done.filter("job_id % 13 <> 0")
+
+
+def _streamed(spark, df):
+    folder = scratch(spark, "source")
+    df.write.parquet(folder)
+    return spark.readStream.schema(df.schema).parquet(folder)
+
+
+@query
+def stream_feedback(spark, sf_dir):
+    """Predictions and outcomes joined as streams."""
+    from cairntrace.streaming import jobs as st
+
+    preds, done = (_streamed(spark, t) for t in _feedback_tables(spark, sf_dir))
+    out = scratch(spark, "feedback")
+    st.write_stream(st.stream_feedback(preds, done), out, scratch(spark, "mark"), poll_sec=None).awaitTermination()
+    return rounded(spark.read.parquet(out).drop("done_at"))
+
+
+@query
+def rolling_accuracy(spark, sf_dir):
+    """Accuracy per 30 days of outcomes."""
+    from cairntrace.streaming import jobs as st
+
+    preds, done = _feedback_tables(spark, sf_dir)
+    scored = accuracy.score_predictions(preds, done).join(done.select("job_id", "done_at"), "job_id")
+    out = st.rolling_accuracy(scored, "30 days")
+    return rounded(out.select(F.unix_seconds("w.start").alias("start_ts"), "predictions", "interval_coverage", "mean_absolute_error", "mape", "drift_severity"))
+
+
+@query
+def stream_queue(spark, sf_dir):
+    """Queue depth per queue, built up over three micro-batches."""
+    from cairntrace.streaming import jobs as st
+
+    events = st.queue_events(fx.jobs(spark, sf_dir))
+    landed, out = scratch(spark, "events"), scratch(spark, "depth")
+    thirds = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (thirds.b - thirds.a) // 3 + 1
+    for k in range(3):
+        part = events.filter((F.col("ts") >= thirds.a + k * step) & (F.col("ts") < thirds.a + (k + 1) * step))
+        part.coalesce(1).write.mode("append").parquet(landed)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    st.stream_queue(source, out, scratch(spark, "state"), scratch(spark, "mark")).awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
+# --------------------------------------------------------------------------- models (rows-only)
+
+
+def _learning_split(jobs):
+    """Feature rows split 70/15/15 by submit time; look-backs see only completed jobs, and their
+    fill values come from the training slice."""
+    from cairntrace.operators.ordered import hold
+
+    first = features.time_split(coerce.coerce_features(jobs)).filter("segment = 'train'")
+    table = features.feature_table(jobs, causal=True, fills_from=first)
+    rows = hold(features.time_split(coerce.training_frame(table)))
+    return tuple(rows.filter(F.col("segment") == s) for s in ("train", "valid", "test"))
+
+
+SMALL = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2}
+
+
+@on_jobs
+def runtime_model(jobs):
+    """Test losses of the quantile model next to the naive predictors."""
+    from cairntrace.operators import learning
+
+    train, valid, test = _learning_split(jobs)
+    scored = learning.fit_runtime(train, valid, SMALL).score(test)
+    return accuracy.evaluate_quantiles(scored, train)
+
+
+@on_jobs
+def resource_model(jobs):
+    from cairntrace.operators import learning
+
+    df = jobs.withColumn("requested_cpus", (1 + (F.col("job_id") * 31 + F.col("wait_sec")) % 130).cast("int"))
+    return learning.fit_resource(df, trees=5)[1]
+
+
+@on_jobs
+def tuning(jobs):
+    from cairntrace.operators import learning
+
+    space = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.3]}
+    return learning.tune(coerce.training_frame(features.feature_table(jobs, causal=True)), 2, 2, space=space)
+
+
+@on_jobs
+def importance(jobs):
+    from cairntrace.operators import learning
+
+    train, valid, test = _learning_split(jobs)
+    model = learning.fit_runtime(train, valid, SMALL)
+    return learning.importance(model.score, test, ["runtime_requested_sec", "user_id"], repeats=2)
