@@ -652,7 +652,7 @@ def fragmentation_mix(jobs):
 
 @on_jobs
 def core_divergence(jobs):
-    return rounded(compare.core_divergence(jobs, fx.candidates(jobs), CAPACITY, ["policy_id"]), 8)
+    return rounded(compare.core_divergence(jobs, fx.candidates(jobs), CAPACITY, ["policy_id"]).drop("sample_size"), 8)
 
 
 @on_jobs
@@ -1147,11 +1147,11 @@ def stream_queue(spark, sf_dir):
 def _learning_split(jobs):
     """Feature rows split 70/15/15 by submit time; look-backs see only completed jobs, and their
     fill values come from the training slice."""
-    from cairntrace.operators.ordered import hold
+    from cairntrace.session import settle
 
     first = features.time_split(coerce.coerce_features(jobs)).filter("segment = 'train'")
-    table = features.feature_table(jobs, causal=True, fills_from=first)
-    rows = hold(features.time_split(coerce.training_frame(table)))
+    table = settle(features.feature_table(jobs, causal=True, fills_from=first))
+    rows = settle(features.time_split(coerce.training_frame(table)))
     return tuple(rows.filter(F.col("segment") == s) for s in ("train", "valid", "test"))
 
 
@@ -1181,7 +1181,13 @@ def tuning(jobs):
     from cairntrace.operators import learning
 
     space = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.3]}
-    return learning.tune(coerce.training_frame(features.feature_table(jobs, causal=True)), 2, 2, space=space)
+    return learning.tune(coerce.training_frame(_settled_features(jobs)), 2, 2, space=space)
+
+
+def _settled_features(jobs):
+    from cairntrace.session import settle
+
+    return settle(features.feature_table(jobs, causal=True))
 
 
 @on_jobs
