@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def present(c: Column) -> Column:
     """Trimmed text, null for blanks and words meaning 'missing'."""
-    text = strip(c)
-    return F.when(~F.lower(text).isin(*MISSING_WORDS), text)
+    return let(strip(c), lambda t: F.when(~F.lower(t).isin(*MISSING_WORDS), t))
 
 
 def _epoch(text: Column, fmt: str) -> Column:
@@ -69,50 +75,54 @@ def slurm_datetime(c: Column) -> Column:
     return _epoch(F.translate(present(c), "T", " "), SLURM_DATE)
 
 
+def _clock_sec(clock: Column, fewest: int, most: int) -> Column:
+    """Seconds of `[[D:]H:]M:S` text having between `fewest` and `most` whole-number parts."""
+    weights = F.array(*[F.lit(w).cast("bigint") for w in (1, 60, 3600, DAY)])
+
+    def total(parts: Column) -> Column:
+        terms = F.zip_with(F.reverse(parts), F.slice(weights, F.lit(1), F.size(parts)), lambda p, w: _int(p) * w)
+        summed = F.aggregate(terms, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return F.when(F.size(parts).between(fewest, most), summed)
+
+    return let(F.split(clock, ":"), total)
+
+
 def elapsed_sec(c: Column) -> Column:
     """`[D-]H:M:S`, `M:S` or `S` in seconds."""
-    text = present(c)
-    dashed = F.contains(text, F.lit("-"))
-    days = F.when(dashed, _int(F.substring_index(text, "-", 1))).otherwise(0)
-    clock = F.when(dashed, F.regexp_replace(text, "^[^-]*-", "")).otherwise(text)
-    parts = F.split(clock, ":")
-    n = F.size(parts)
-
-    def at(i: int) -> Column:
-        return _int(F.get(parts, F.lit(i)))
-
-    return (
-        F.when(n == 3, days * DAY + at(0) * 3600 + at(1) * 60 + at(2))
-        .when(n == 2, days * DAY + at(0) * 60 + at(1))
-        .when(n == 1, days * DAY + at(0))
-    )
+
+    def parse(text: Column) -> Column:
+        clock = _clock_sec(F.regexp_replace(text, "^[^-]*-", ""), 1, 3)
+        days = F.when(F.contains(text, F.lit("-")), _int(F.substring_index(text, "-", 1))).otherwise(0)
+        return clock + days * DAY
+
+    return let(present(c), parse)
 
 
 def slurm_memory_mb(c: Column) -> Column:
     """ReqMem in MB: per-CPU/per-node suffix dropped, units K/M/G/T, MB without one, '0' is null."""
-    text = F.nullif(present(c), F.lit("0"))
-    bare = F.regexp_replace(text, "[cn]$", "")
-    unit = F.lower(F.regexp_extract(bare, "([KkMmGgTt])$", 1))
-    number = F.regexp_replace(bare, "[KkMmGgTt]$", "").try_cast("double")
-    factor = (
-        F.when(unit == "k", 1.0 / 1024).when(unit == "g", 1024.0).when(unit == "t", 1024.0 * 1024).otherwise(1.0)
-    )
-    return _trunc(number * factor)
+
+    def parse(bare: Column) -> Column:
+        unit = F.lower(F.regexp_extract(bare, "([KkMmGgTt])$", 1))
+        factor = F.when(unit == "k", 1.0 / 1024).when(unit == "g", 1024.0).when(unit == "t", 1024.0 * 1024)
+        return _trunc(F.rtrim(bare, F.lit("KkMmGgTt")).try_cast("double") * factor.otherwise(1.0))
+
+    return let(F.regexp_replace(F.nullif(present(c), F.lit("0")), "[cn]$", ""), parse)
 
 
 def slurm_job_id(c: Column) -> Column:
     """struct(id, array_index, is_step) of `123`, `123_4`, `123.batch`, `123_4.0`; other text as is."""
-    text = strip(c)
-    pattern = r"^(\d+)(?:_(\d+))?(?:\.(.+))?$"
-    known = text.rlike(pattern)
-    index = F.nullif(F.regexp_extract(text, pattern, 2), F.lit(""))
-    step = F.regexp_extract(text, pattern, 3) != ""
-    base = F.regexp_extract(text, pattern, 1)
-    return F.struct(
-        F.when(known, F.concat_ws("_", base, index)).otherwise(text).alias("id"),
-        F.when(known, index).alias("array_index"),
-        (known & step).alias("is_step"),
-    )
+
+    def parse(text: Column) -> Column:
+        base = F.substring_index(text, ".", 1)
+        known = text.rlike(r"^\d+(_\d+)?(\..+)?$")
+        index = F.when(known & F.contains(base, F.lit("_")), F.substring_index(base, "_", -1))
+        return F.struct(
+            F.when(known, base).otherwise(text).alias("id"),
+            index.alias("array_index"),
+            (known & F.contains(text, F.lit("."))).alias("is_step"),
+        )
+
+    return let(strip(c), parse)
 
 
 def slurm_state(c: Column) -> Column:
@@ -134,43 +144,37 @@ def live_datetime(c: Column) -> Column:
 
 def pbs_timestamp(c: Column) -> Column:
     """Positive epoch integer, or a date in one of the log's formats."""
-    text = strip(c)
-    number = _int(text)
-    return (
-        F.when(number > 0, number)
-        .when(F.contains(text, F.lit("/")), _epoch(text, PBS_SLASHED_DATE))
-        .otherwise(_epoch(text, PBS_DASHED_DATE))
-    )
 
+    def parse(text: Column) -> Column:
+        return (
+            F.when(_int(text) > 0, _int(text))
+            .when(F.contains(text, F.lit("/")), _epoch(text, PBS_SLASHED_DATE))
+            .when(F.contains(text, F.lit("-")), _epoch(text, PBS_DASHED_DATE))
+        )
 
-def pbs_walltime_sec(c: Column) -> Column:
-    """`D:H:M:S`, `H:M:S` or `M:S` in seconds."""
-    parts = F.split(strip(c), ":")
-    n = F.size(parts)
+    return let(strip(c), parse)
 
-    def at(i: int) -> Column:
-        return _int(F.get(parts, F.lit(i)))
 
-    return (
-        F.when(n == 4, at(0) * DAY + at(1) * 3600 + at(2) * 60 + at(3))
-        .when(n == 3, at(0) * 3600 + at(1) * 60 + at(2))
-        .when(n == 2, at(0) * 60 + at(1))
-    )
+def pbs_walltime_sec(c: Column) -> Column:
+    """`D:H:M:S`, `H:M:S` or `M:S` in seconds."""
+    return _clock_sec(strip(c), 2, 4)
 
 
 def pbs_memory_mb(c: Column) -> Column:
     """Memory with b/kb/mb/gb/tb suffix in MB; a bare number counts as KB."""
-    text = F.nullif(F.lower(strip(c)), F.lit(""))
-    unit = F.regexp_extract(text, "([kmgt]?b)$", 1)
-    number = F.regexp_replace(text, "[kmgt]?b$", "").try_cast("double")
-    factor = (
-        F.when(unit == "mb", 1.0)
-        .when(unit == "gb", 1024.0)
-        .when(unit == "tb", 1024.0 * 1024)
-        .when(unit == "b", 1.0 / (1024 * 1024))
-        .otherwise(1.0 / 1024)
-    )
-    return _trunc(number * factor)
+
+    def parse(text: Column) -> Column:
+        unit = F.regexp_extract(text, "([kmgt]?b)$", 1)
+        factor = (
+            F.when(unit == "mb", 1.0)
+            .when(unit == "gb", 1024.0)
+            .when(unit == "tb", 1024.0 * 1024)
+            .when(unit == "b", 1.0 / (1024 * 1024))
+            .otherwise(1.0 / 1024)
+        )
+        return _trunc(F.regexp_replace(text, "[kmgt]?b$", "").try_cast("double") * factor)
+
+    return let(F.lower(strip(c)), parse)
 
 
 def nodes_spec_cpus(c: Column) -> Column:
@@ -197,7 +201,7 @@ def attribute(tokens: Column, key: str) -> Column:
     """Last value of `key` among `key=value` tokens, null when absent or empty; values may hold '='."""
     lead = f"{key}="
     hit = F.try_element_at(F.filter(tokens, lambda t: F.startswith(t, F.lit(lead))), F.lit(-1))
-    return F.nullif(F.substring(hit, len(lead) + 1, 1 << 30), F.lit(""))
+    return let(F.substring(hit, len(lead) + 1, 1 << 30), lambda v: F.when(v != "", v))
 
 
 def attribute_map(text: Column) -> Column:
@@ -218,15 +222,17 @@ def pbs_job_id(c: Column) -> Column:
 
 
 def qstat_walltime_sec(c: Column) -> Column:
-    parts = F.size(F.split(c, ":"))
-    return F.coalesce(F.when(parts.isin(2, 3), pbs_walltime_sec(c)), F.lit(0))
+    return F.coalesce(_clock_sec(c, 2, 3), F.lit(0))
 
 
 def qstat_datetime(c: Column) -> Column:
     """`Mon Jan  5 10:00:00 2026` or ISO; the weekday is ignored, padding blanks collapse."""
-    text = F.regexp_replace(strip(c), r"\s+", " ")
-    undated = F.regexp_replace(text, "^[A-Za-z]{3} (?=[A-Za-z])", "")
-    return F.when(F.contains(text, F.lit(" ")), _epoch(undated, QSTAT_DATE)).otherwise(_epoch(text, LIVE_DATE))
+
+    def parse(text: Column) -> Column:
+        named = _epoch(F.regexp_replace(text, "^[A-Za-z]{3} (?=[A-Za-z])", ""), QSTAT_DATE)
+        return F.when(F.contains(text, F.lit(" ")), named).otherwise(_epoch(text, LIVE_DATE))
+
+    return let(F.regexp_replace(strip(c), r"\s+", " "), parse)
 
 
 def leading_int(c: Column, default: int) -> Column:

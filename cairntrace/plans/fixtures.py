@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairntrace.functions.rows import once
 from cairntrace.session import tune
 
 
@@ -103,6 +104,11 @@ def second_members(base: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- log text of the jobs
 
 
+def spread(base: DataFrame) -> DataFrame:
+    """A log is many files: render it on all cores, not in the one task a small table is read by."""
+    return base.repartition(base.sparkSession.sparkContext.defaultParallelism)
+
+
 def _text(*parts) -> str:
     return "concat_ws('|', " + ", ".join(parts) + ")"
 
@@ -131,7 +137,7 @@ def raw_swf(base: DataFrame) -> DataFrame:
     ]
     line = "concat_ws('  ', " + ", ".join(f"cast({f} AS STRING)" for f in fields) + ")"
     noise = "CASE job_id DIV 50 % 3 WHEN 0 THEN '; a comment' WHEN 1 THEN '   ' ELSE '1 2 3' END"
-    return base.selectExpr(f"CASE WHEN job_id % 50 = 0 THEN {noise} ELSE {line} END AS value")
+    return once(spread(base), {"value": F.expr(f"CASE WHEN job_id % 50 = 0 THEN {noise} ELSE {line} END")})
 
 
 def sacct_elapsed(base: DataFrame) -> DataFrame:
@@ -160,7 +166,7 @@ def raw_sacct(base: DataFrame) -> DataFrame:
         "queue_id",
         "CASE status WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'cancelled by 10' ELSE '' END",
     ]
-    lines = df.select(F.expr(_text(*fields)).alias("value"), "job_id")
+    lines = once(spread(df), {"value": F.expr(_text(*fields))}, keep=["job_id"])
     steps = lines.filter("job_id % 20 = 7").select(
         F.expr("concat(job_id, '.batch|', substring(value, instr(value, '|') + 1))").alias("value"), "job_id"
     )
@@ -187,9 +193,10 @@ def raw_pbs(base: DataFrame) -> DataFrame:
     body = "concat(" + ", ".join(attrs) + ")"
     stamp = "date_format(timestamp_seconds(submit_ts), 'MM/dd/yyyy HH:mm:ss')"
     job = "CASE WHEN job_id % 9 = 0 THEN concat(job_id, '[2].srv') ELSE concat(job_id, '.srv') END"
-    exits = base.select(F.expr(f"concat_ws(';', {stamp}, 'E', {job}, {body})").alias("value"))
-    queued = base.filter("job_id % 10 = 0").select(
-        F.expr(f"concat_ws(';', {stamp}, 'Q', {job}, concat('queue=', queue_id))").alias("value")
+    exits = once(spread(base), {"value": F.expr(f"concat_ws(';', {stamp}, 'E', {job}, {body})")})
+    queued = once(
+        base.filter("job_id % 10 = 0"),
+        {"value": F.expr(f"concat_ws(';', {stamp}, 'Q', {job}, concat('queue=', queue_id))")},
     )
     return exits.unionByName(queued)
 
@@ -215,7 +222,7 @@ def raw_extract(base: DataFrame) -> DataFrame:
         "''",
         "'0:0'",
     ]
-    return base.select(F.expr(_text(*fields)).alias("value"))
+    return once(spread(base), {"value": F.expr(_text(*fields))})
 
 
 def raw_qstat(base: DataFrame) -> DataFrame:
@@ -231,7 +238,7 @@ def raw_qstat(base: DataFrame) -> DataFrame:
         f" 'mtime', {_iso('end_ts')}, 'Exit_status', job_id % 3)"
     )
     doc = f"to_json(named_struct('Jobs', map(concat(job_id, '.srv'), {info})))"
-    return base.select(F.expr(f"CASE WHEN job_id % 25 = 0 THEN substring({doc}, 1, 40) ELSE {doc} END").alias("value"))
+    return once(spread(base), {"value": F.expr(f"CASE WHEN job_id % 25 = 0 THEN substring({doc}, 1, 40) ELSE {doc} END")})
 
 
 def replay_rows(base: DataFrame) -> DataFrame:
@@ -276,7 +283,7 @@ def snapshot_documents(base: DataFrame) -> DataFrame:
         " 'runtime_estimate_sec', runtime_actual_sec - 20000)),"
         " 'running_jobs', array(named_struct('job_id', job_id + 1, 'end_ts', end_ts, 'allocated_cpus', allocated_cpus))))"
     )
-    return base.select(F.expr(doc).alias("value"))
+    return once(spread(base), {"value": F.expr(doc)})
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

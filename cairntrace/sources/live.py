@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairntrace.functions.rows import once
 from cairntrace.functions.scalars import (
     leading_int,
     live_datetime,
@@ -31,7 +32,7 @@ QSTAT_SCHEMA = (
 def parse_sacct_extract(lines: DataFrame) -> DataFrame:
     """One row per whole job; ids with '.' (steps) or '_' (array members) are skipped."""
     schema = ", ".join(f"{f} string" for f in EXTRACT_FIELDS)
-    rows = lines.select(F.from_csv("value", schema, {"sep": "|"}).alias("r")).select("r.*")
+    rows = once(lines, {"r": F.from_csv("value", schema, {"sep": "|"})}).select("r.*")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     job_id = F.col("JobID").try_cast("bigint")
     keep = job_id.isNotNull() & ~F.col("JobID").rlike(r"[._]")

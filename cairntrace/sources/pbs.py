@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairntrace.functions.rows import once
 from cairntrace.functions.scalars import (
     attribute,
     nodes_spec_cpus,
@@ -18,7 +19,24 @@ from cairntrace.functions.scalars import (
 from cairntrace.schema import JOBS
 from cairntrace.sources.lines import class_counts, read_lines, refuse_empty, too_long
 
-RECORD = r"^([^;]+);([A-Z]);([^;]+);(.*)$"
+RECORD = "^[^;]+;[A-Z];[^;]+;"
+
+# Attribute names of the log, by the names used here.
+ATTRIBUTES = {
+    "ctime": "ctime",
+    "qtime": "qtime",
+    "start": "start",
+    "end": "end",
+    "used": "resources_used.walltime",
+    "asked": "Resource_List.walltime",
+    "ncpus": "Resource_List.ncpus",
+    "nodes": "Resource_List.nodes",
+    "mem": "Resource_List.mem",
+    "status": "Exit_status",
+    "user": "user",
+    "group": "group",
+    "queue": "queue",
+}
 
 COUNTERS = {
     "blank": "blank_lines",
@@ -30,28 +48,48 @@ COUNTERS = {
 
 def classify(lines: DataFrame) -> DataFrame:
     """Lines with extracted fields and their `line_class`: blank, other record, malformed or job."""
-    text = F.col("_text")
-    df = lines.withColumn("_text", strip(F.col("value"))).withColumns(
+    text = strip(F.col("value"))
+    parts = F.split(text, ";", 4)
+    df = once(lines, {"long": too_long(), "text": text, "parts": parts})
+    df = once(
+        df,
         {
-            "_record": F.regexp_extract(text, RECORD, 2),
-            "_time": F.regexp_extract(text, RECORD, 1),
-            "_raw_id": F.regexp_extract(text, RECORD, 3),
-            "_tokens": F.split(F.regexp_extract(text, RECORD, 4), r"\s+"),
-        }
+            "skip": (F.col("text") == "") | F.startswith("text", F.lit("#")),
+            "record": F.when(F.col("text").rlike(RECORD), F.get("parts", F.lit(1))),
+            "time": F.get("parts", F.lit(0)),
+            "raw_id": F.get("parts", F.lit(2)),
+            "tokens": F.split(F.coalesce(F.get("parts", F.lit(3)), F.lit("")), r"\s+"),
+        },
+        keep=["long"],
     )
-    submit = F.coalesce(
-        pbs_timestamp(attribute(F.col("_tokens"), "ctime")),
-        pbs_timestamp(attribute(F.col("_tokens"), "qtime")),
-        pbs_timestamp(F.col("_time")),
+    exits = F.col("record") == "E"
+
+    def attr(key: str) -> Column:
+        # Attributes matter for exit records only.
+        return F.when(exits, attribute(F.col("tokens"), key))
+
+    texts = {short: attr(key) for short, key in ATTRIBUTES.items()}
+    df = once(df, {**texts, "stamp": F.when(exits, F.col("time"))}, keep=["long", "skip", "record", "raw_id"])
+    times = {c: pbs_timestamp(F.col(c)) for c in ("ctime", "qtime", "stamp", "start", "end")}
+    df = once(
+        df,
+        {
+            **times,
+            "used": pbs_walltime_sec(F.col("used")),
+            "asked": pbs_walltime_sec(F.col("asked")),
+            "cpus": F.coalesce(F.col("ncpus").try_cast("bigint"), nodes_spec_cpus(F.col("nodes")), F.lit(1)),
+            "mem": pbs_memory_mb(F.col("mem")),
+        },
+        keep=["long", "skip", "record", "raw_id", "status", "user", "group", "queue"],
     )
-    df = df.withColumn("_submit", F.when(F.col("_record") == "E", submit))
+    df = df.withColumn("submit", F.coalesce("ctime", "qtime", "stamp"))
     return df.withColumn(
         "line_class",
-        F.when(too_long(), "malformed")
-        .when((text == "") | F.startswith(text, F.lit("#")), "blank")
-        .when(F.col("_record") == "", "malformed")
-        .when(F.col("_record") != "E", "other")
-        .when(F.col("_submit").isNull(), "malformed")
+        F.when(F.col("long"), "malformed")
+        .when(F.col("skip"), "blank")
+        .when(F.col("record").isNull(), "malformed")
+        .when(F.col("record") != "E", "other")
+        .when(F.col("submit").isNull(), "malformed")
         .otherwise("job"),
     )
 
@@ -62,42 +100,28 @@ def parse_stats(lines: DataFrame) -> DataFrame:
 
 def parse(lines: DataFrame) -> DataFrame:
     """Canonical jobs of PBS accounting lines."""
-    tokens = F.col("_tokens")
-    jobs = classify(lines).filter(F.col("line_class") == "job").withColumns(
-        {
-            "_start": pbs_timestamp(attribute(tokens, "start")),
-            "_end": pbs_timestamp(attribute(tokens, "end")),
-            "_used": pbs_walltime_sec(attribute(tokens, "resources_used.walltime")),
-            "_asked": pbs_walltime_sec(attribute(tokens, "Resource_List.walltime")),
-            "_cpus": F.coalesce(
-                attribute(tokens, "Resource_List.ncpus").try_cast("bigint"),
-                nodes_spec_cpus(attribute(tokens, "Resource_List.nodes")),
-                F.lit(1),
-            ),
-        }
-    )
-    jobs = jobs.withColumn("_end", F.coalesce("_end", F.col("_start") + F.col("_used")))
-    jobs = jobs.withColumn("_start", F.coalesce("_start", "_submit"))
-    jobs = jobs.withColumn("_end", F.coalesce("_end", F.col("_start") + F.col("_used"), "_start"))
-    jobs = jobs.withColumn("_run", F.coalesce("_used", F.greatest(F.col("_end") - F.col("_start"), F.lit(0))))
-    queue = attribute(tokens, "queue")
+    jobs = classify(lines).filter(F.col("line_class") == "job")
+    jobs = jobs.withColumn("end", F.coalesce("end", F.col("start") + F.col("used")))
+    jobs = jobs.withColumn("start", F.coalesce("start", "submit"))
+    jobs = jobs.withColumn("end", F.coalesce("end", F.col("start") + F.col("used"), "start"))
+    jobs = jobs.withColumn("run", F.coalesce("used", F.greatest(F.col("end") - F.col("start"), F.lit(0))))
     values = {
-        "job_id": pbs_job_id(F.col("_raw_id")),
-        "submit_ts": F.col("_submit"),
-        "start_ts": F.col("_start"),
-        "end_ts": F.col("_end"),
-        "wait_sec": F.greatest(F.col("_start") - F.col("_submit"), F.lit(0)),
-        "runtime_actual_sec": F.col("_run"),
-        "runtime_requested_sec": F.col("_asked"),
-        "allocated_cpus": F.col("_cpus"),
-        "requested_cpus": F.col("_cpus"),
-        "requested_mem": pbs_memory_mb(attribute(tokens, "Resource_List.mem")),
-        "status": attribute(tokens, "Exit_status"),
-        "user_id": attribute(tokens, "user"),
-        "group_id": attribute(tokens, "group"),
-        "queue_id": queue,
-        "partition_id": queue,
-        "runtime_overrequest_ratio": overrequest_ratio(F.nullif(F.col("_asked"), F.lit(0)), F.col("_run")),
+        "job_id": pbs_job_id(F.col("raw_id")),
+        "submit_ts": F.col("submit"),
+        "start_ts": F.col("start"),
+        "end_ts": F.col("end"),
+        "wait_sec": F.greatest(F.col("start") - F.col("submit"), F.lit(0)),
+        "runtime_actual_sec": F.col("run"),
+        "runtime_requested_sec": F.col("asked"),
+        "allocated_cpus": F.col("cpus"),
+        "requested_cpus": F.col("cpus"),
+        "requested_mem": F.col("mem"),
+        "status": F.col("status"),
+        "user_id": F.col("user"),
+        "group_id": F.col("group"),
+        "queue_id": F.col("queue"),
+        "partition_id": F.col("queue"),
+        "runtime_overrequest_ratio": overrequest_ratio(F.nullif(F.col("asked"), F.lit(0)), F.col("run")),
     }
     return jobs.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in JOBS])
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairntrace.functions.rows import once
 from cairntrace.functions.scalars import elapsed_sec, slurm_datetime, slurm_job_id, slurm_memory_mb, slurm_state, strip
 from cairntrace.schema import JOBS
 from cairntrace.sources.lines import class_counts, read_lines, refuse_empty, too_long
@@ -24,46 +25,53 @@ COUNTERS = {
 }
 
 
-def _is_header() -> Column:
-    return F.exists(F.split(strip(F.col("value")), r"\|"), lambda t: F.lower(t) == "jobid")
+def _is_header(tokens: Column) -> Column:
+    return F.exists(tokens, lambda t: F.lower(t) == "jobid")
 
 
 def _fields(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     at = {c.strip().lower(): i for i, c in enumerate(columns)}
-    split = lines.withColumn("_text", strip(F.col("value"))).withColumn("_tokens", F.split("_text", r"\|"))
+    text = strip(F.col("value"))
+    split = once(lines, {"blank": text == "", "long": too_long(), "tokens": F.split(text, r"\|")})
 
-    def text(name: str) -> Column:
+    def field(name: str) -> Column:
         i = at.get(name.lower())
-        return F.nullif(strip(F.get("_tokens", F.lit(i))), F.lit("")) if i is not None else F.lit(None).cast("string")
+        return F.nullif(strip(F.get("tokens", F.lit(i))), F.lit("")) if i is not None else F.lit(None).cast("string")
 
-    return split.withColumns({"_id": slurm_job_id(text("JobID")), "_raw_id": text("JobID")}).withColumns(
+    return once(
+        split,
         {
-            "_submit": slurm_datetime(text("Submit")),
-            "_start": slurm_datetime(text("Start")),
-            "_end": slurm_datetime(text("End")),
-            "_elapsed": elapsed_sec(text("Elapsed")),
-            "_alloc": text("AllocCPUS").try_cast("bigint"),
-            "_req": text("ReqCPUS").try_cast("bigint"),
-            "_mem": slurm_memory_mb(text("ReqMem")),
-            "_user": text("User"),
-            "_group": text("Group"),
-            "_partition": text("Partition"),
-            "_state": slurm_state(text("State")),
-        }
+            "header": _is_header(F.col("tokens")),
+            "short": F.size("tokens") < len(columns),
+            "raw_id": field("JobID"),
+            "id": slurm_job_id(field("JobID")),
+            "submit": slurm_datetime(field("Submit")),
+            "start": slurm_datetime(field("Start")),
+            "end": slurm_datetime(field("End")),
+            "elapsed": elapsed_sec(field("Elapsed")),
+            "alloc": field("AllocCPUS").try_cast("bigint"),
+            "req": field("ReqCPUS").try_cast("bigint"),
+            "mem": slurm_memory_mb(field("ReqMem")),
+            "user": field("User"),
+            "group": field("Group"),
+            "partition": field("Partition"),
+            "state": slurm_state(field("State")),
+        },
+        keep=["blank", "long"],
     )
 
 
 def classify(lines: DataFrame, columns: Sequence[str] = DEFAULT_COLUMNS, skip_job_steps: bool = True) -> DataFrame:
     """Lines with extracted fields and their `line_class`: header, blank, step, malformed or job."""
-    step = F.col("_id.is_step") if skip_job_steps else F.lit(False)
+    step = F.col("id.is_step") if skip_job_steps else F.lit(False)
     return _fields(lines, columns).withColumn(
         "line_class",
-        F.when(too_long(), "malformed")
-        .when(F.col("_text") == "", "blank")
-        .when(_is_header(), "header")
-        .when((F.size("_tokens") < len(columns)) | F.col("_raw_id").isNull(), "malformed")
+        F.when(F.col("long"), "malformed")
+        .when(F.col("blank"), "blank")
+        .when(F.col("header"), "header")
+        .when(F.col("short") | F.col("raw_id").isNull(), "malformed")
         .when(step, "step")
-        .when(F.col("_submit").isNull(), "malformed")
+        .when(F.col("submit").isNull(), "malformed")
         .otherwise("job"),
     )
 
@@ -76,37 +84,33 @@ def parse(lines: DataFrame, columns: Sequence[str] = DEFAULT_COLUMNS, skip_job_s
     """Canonical jobs (plus `array_index`) of sacct lines that share one column order."""
     jobs = classify(lines, columns, skip_job_steps).filter(F.col("line_class") == "job")
     zero = F.lit(0)
-    end = F.coalesce("_end", F.col("_start") + F.col("_elapsed"))
-    jobs = jobs.withColumn("_end", end).withColumn(
-        "_run",
-        F.when(F.col("_elapsed").isNotNull(), F.greatest("_elapsed", zero)).when(
-            F.col("_start").isNotNull() & F.col("_end").isNotNull(), F.greatest(F.col("_end") - F.col("_start"), zero)
-        ),
-    )
-    jobs = jobs.withColumn("_start", F.coalesce("_start", "_submit"))
-    jobs = jobs.withColumn("_end", F.coalesce("_end", F.col("_start") + F.col("_run"), "_start"))
-    run = F.coalesce("_run", F.greatest(F.col("_end") - F.col("_start"), zero))
-    cpus = F.coalesce("_req", "_alloc", F.lit(1))
+    jobs = jobs.withColumn("end", F.coalesce("end", F.col("start") + F.col("elapsed")))
+    run = F.when(F.col("elapsed").isNotNull(), F.greatest("elapsed", zero))
+    run = run.when(F.col("start").isNotNull() & F.col("end").isNotNull(), F.greatest(F.col("end") - F.col("start"), zero))
+    jobs = jobs.withColumn("run", run)
+    jobs = jobs.withColumn("start", F.coalesce("start", "submit"))
+    jobs = jobs.withColumn("end", F.coalesce("end", F.col("start") + F.col("run"), "start"))
+    cpus = F.coalesce("req", "alloc", F.lit(1))
     values = {
-        "job_id": F.col("_id.id"),
-        "submit_ts": F.col("_submit"),
-        "start_ts": F.col("_start"),
-        "end_ts": F.col("_end"),
-        "wait_sec": F.greatest(F.col("_start") - F.col("_submit"), zero),
-        "runtime_actual_sec": run,
+        "job_id": F.col("id.id"),
+        "submit_ts": F.col("submit"),
+        "start_ts": F.col("start"),
+        "end_ts": F.col("end"),
+        "wait_sec": F.greatest(F.col("start") - F.col("submit"), zero),
+        "runtime_actual_sec": F.coalesce("run", F.greatest(F.col("end") - F.col("start"), zero)),
         "runtime_requested_sec": F.lit(None),
-        "allocated_cpus": F.coalesce("_alloc", cpus),
+        "allocated_cpus": F.coalesce("alloc", cpus),
         "requested_cpus": cpus,
-        "requested_mem": F.col("_mem"),
-        "status": F.col("_state"),
-        "user_id": F.col("_user"),
-        "group_id": F.col("_group"),
-        "queue_id": F.col("_partition"),
-        "partition_id": F.col("_partition"),
+        "requested_mem": F.col("mem"),
+        "status": F.col("state"),
+        "user_id": F.col("user"),
+        "group_id": F.col("group"),
+        "queue_id": F.col("partition"),
+        "partition_id": F.col("partition"),
         "runtime_overrequest_ratio": F.lit(None),
     }
     return jobs.select(
-        *[values[f.name].cast(f.dataType).alias(f.name) for f in JOBS], F.col("_id.array_index").alias("array_index")
+        *[values[f.name].cast(f.dataType).alias(f.name) for f in JOBS], F.col("id.array_index").alias("array_index")
     )
 
 
@@ -114,7 +118,8 @@ def header_layouts(lines: DataFrame) -> dict[tuple[str, ...], list[str]]:
     """Column order -> files having it.  One entry per input file reaches the driver, which
     already holds the same file listing to plan the scan."""
     source = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    found = source.groupBy("file").agg(F.min_by("value", F.when(_is_header(), F.col("at"))).alias("header"))
+    tokens = F.split(strip(F.col("value")), r"\|")
+    found = source.groupBy("file").agg(F.min_by("value", F.when(_is_header(tokens), F.col("at"))).alias("header"))
     layouts: dict[tuple[str, ...], list[str]] = {}
     for row in found.toLocalIterator():
         columns = tuple(row.header.strip().split("|")) if row.header else tuple(DEFAULT_COLUMNS)

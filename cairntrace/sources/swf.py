@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairntrace.functions.rows import once
 from cairntrace.functions.scalars import overrequest_ratio, strip, swf_int
 from cairntrace.schema import conform
 from cairntrace.sources.lines import class_counts, read_lines, refuse_empty, too_long
@@ -26,33 +27,58 @@ COUNTERS = {
 }
 
 
+# Fields of the format the canonical table uses.
+USED = {
+    "job_number": "job_id",
+    "submit_time": "submit_ts",
+    "wait_time": "wait_sec",
+    "run_time": "runtime_actual_sec",
+    "allocated_processors": "allocated_cpus",
+    "requested_processors": "requested_cpus",
+    "requested_time": "runtime_requested_sec",
+    "requested_memory": "requested_mem",
+    "status": "status",
+    "user_id": "user_id",
+    "group_id": "group_id",
+    "queue_number": "queue_id",
+    "partition_number": "partition_id",
+}
+
+
 def _tokens(lines: DataFrame) -> DataFrame:
+    """First character and fields of each line, and whether it is too long."""
     text = strip(F.col("value"))
-    return lines.withColumn("_text", text).withColumn("_tokens", F.split("_text", r"\s+"))
+    first = {"first": F.substring(text, 1, 1), "long": too_long(), "tokens": F.split(text, r"\s+")}
+    return once(lines, first)
 
 
-def _line_class(required_fields: bool):
-    whole = F.size("_tokens") == len(FIELDS)
-    if required_fields:
-        for name in REQUIRED:
-            whole = whole & swf_int(F.get("_tokens", F.lit(FIELDS.index(name)))).isNotNull()
+def _class(job: Column) -> Column:
     return (
-        F.when(too_long(), "malformed")
-        .when(F.col("_text") == "", "blank")
-        .when(F.substring("_text", 1, 1).isin(";", "#"), "comment")
-        .when(whole, "job")
+        F.when(F.col("long"), "malformed")
+        .when(F.col("first") == "", "blank")
+        .when(F.col("first").isin(";", "#"), "comment")
+        .when(job, "job")
         .otherwise("malformed")
     )
 
 
+def _whole() -> Column:
+    return F.size("tokens") == len(FIELDS)
+
+
 def classify(lines: DataFrame) -> DataFrame:
-    """Lines with their `line_class`: comment, blank, malformed or job."""
-    return _tokens(lines).withColumn("line_class", _line_class(required_fields=True))
+    """Fields of each line and its `line_class`: comment, blank, malformed or job."""
+    fields = {name: swf_int(F.get("tokens", F.lit(FIELDS.index(field)))) for field, name in USED.items()}
+    df = once(_tokens(lines), {**fields, "whole": _whole()}, keep=["first", "long"])
+    complete = F.col("whole")
+    for field in REQUIRED:
+        complete = complete & F.col(USED[field]).isNotNull()
+    return df.withColumn("line_class", _class(complete))
 
 
 def line_stats(lines: DataFrame) -> DataFrame:
     """Counters by shape only: a line of 18 fields counts as a job whatever they hold."""
-    return class_counts(_tokens(lines).withColumn("line_class", _line_class(required_fields=False)), COUNTERS)
+    return class_counts(_tokens(lines).withColumn("line_class", _class(_whole())), COUNTERS)
 
 
 def parse_stats(lines: DataFrame) -> DataFrame:
@@ -62,33 +88,19 @@ def parse_stats(lines: DataFrame) -> DataFrame:
 
 def parse(lines: DataFrame) -> DataFrame:
     """Canonical jobs of SWF lines (column `value`)."""
-    f = {name: swf_int(F.get("_tokens", F.lit(i))) for i, name in enumerate(FIELDS)}
     zero = F.lit(0)
-    raw = classify(lines).filter(F.col("line_class") == "job").select(
-        f["job_number"].alias("job_id"),
-        f["submit_time"].alias("submit_ts"),
-        F.greatest(f["wait_time"], zero).alias("wait_sec"),
-        F.greatest(f["run_time"], zero).alias("runtime_actual_sec"),
-        f["requested_time"].alias("runtime_requested_sec"),
-        f["allocated_processors"].alias("allocated_cpus"),
-        F.coalesce(f["requested_processors"], f["allocated_processors"]).alias("requested_cpus"),
-        f["requested_memory"].alias("requested_mem"),
-        f["status"].alias("status"),
-        f["user_id"].alias("user_id"),
-        f["group_id"].alias("group_id"),
-        f["queue_number"].alias("queue_id"),
-        f["partition_number"].alias("partition_id"),
+    jobs = classify(lines).filter(F.col("line_class") == "job").withColumns(
+        {
+            "wait_sec": F.greatest("wait_sec", zero),
+            "runtime_actual_sec": F.greatest("runtime_actual_sec", zero),
+            "requested_cpus": F.coalesce("requested_cpus", "allocated_cpus"),
+        }
     )
     start = F.col("submit_ts") + F.col("wait_sec")
+    ratio = overrequest_ratio(F.col("runtime_requested_sec"), F.col("runtime_actual_sec"))
     return conform(
-        raw.withColumns(
-            {
-                "start_ts": start,
-                "end_ts": start + F.col("runtime_actual_sec"),
-                "runtime_overrequest_ratio": overrequest_ratio(
-                    F.col("runtime_requested_sec"), F.col("runtime_actual_sec")
-                ),
-            }
+        jobs.withColumns(
+            {"start_ts": start, "end_ts": start + F.col("runtime_actual_sec"), "runtime_overrequest_ratio": ratio}
         )
     )
 
