@@ -160,16 +160,13 @@ def psi(
     tags = [f"p{p * 100:g}".replace(".", "_") for p in probs]
     edges = spread.select(*[F.array_distinct(F.array(*[f"{f}_{t}" for t in tags])).alias(f) for f in features])
 
-    def long(df: DataFrame, side: str) -> DataFrame:
-        rows = F.array(
-            *[
-                F.struct(F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("v"), F.col(f"_edges.{f}").alias("e"))
-                for f in features
-            ]
-        )
-        return with_fact(df, edges, "_edges").select(F.inline(rows)).filter(F.col("v").isNotNull()).withColumn("side", F.lit(side))
-
-    both = long(train, "train").unionByName(long(evaluated, "eval"))
+    sides = [df.select(*features, F.lit(name).alias("side")) for df, name in ((train, "train"), (evaluated, "eval"))]
+    rows = [
+        F.struct(F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("v"), F.col(f"_edges.{f}").alias("e"))
+        for f in features
+    ]
+    both = with_fact(sides[0].unionByName(sides[1]), edges, "_edges").select("side", F.inline(F.array(*rows)))
+    both = both.filter(F.col("v").isNotNull())
     last = F.size("e") - 1
     at = F.size(F.filter("e", lambda x: x <= F.col("v"))) - 1
     inside = (F.col("v") >= F.element_at("e", 1)) & (F.col("v") <= F.element_at("e", -1)) & (last >= 1)

@@ -22,14 +22,18 @@ EXCLUDED_RULES = "spark.sql.optimizer.excludedRules"
 MERGE_RULE = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
 
 
+def keep_subqueries_apart(spark: SparkSession) -> None:
+    excluded = spark.conf.get(EXCLUDED_RULES, None) or ""
+    if MERGE_RULE not in excluded:
+        spark.conf.set(EXCLUDED_RULES, ",".join(filter(None, [excluded, MERGE_RULE])))
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    excluded = spark.conf.get(EXCLUDED_RULES, None) or ""
-    if MERGE_RULE not in excluded:
-        spark.conf.set(EXCLUDED_RULES, ",".join(filter(None, [excluded, MERGE_RULE])))
+    keep_subqueries_apart(spark)
     return spark
 
 
