@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,13 +53,35 @@ def local_session(app: str = "cairntrace", cores: int | str = "*", shuffle_parti
     return tune(spark)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python workers find it
+    wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_cairntrace_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "cairntrace.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._cairntrace_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediates: `spark.checkpoint.dir`, or a fresh local one where it is unset."""
+    """Folder for written intermediates: `spark.checkpoint.dir`.  Only a local session may do
+    without it and gets a fresh folder; executors elsewhere would not see one of the driver's."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jdir.get() if jdir.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
