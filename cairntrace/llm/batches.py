@@ -39,13 +39,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(kind).to_pylist()]
 
 
-def steps(batches: Iterator[pa.RecordBatch], text_col: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with their texts, of about STEP_BYTES each (one longer text alone)."""
+def steps(
+    batches: Iterator[pa.RecordBatch], text_col: str = "text", each: int = STEP_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with their texts, of at most `each` bytes (a longer text alone)."""
     for batch in batches:
         texts = as_bytes(batch.column(batch.schema.get_field_index(text_col)))
         first = size = 0
         for i, t in enumerate(texts):
-            if size and size + len(t) > STEP_BYTES:
+            if size and size + len(t) > each:
                 yield batch.slice(first, i - first), texts[first:i]
                 first, size = i, 0
             size += len(t)

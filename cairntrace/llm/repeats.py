@@ -26,8 +26,8 @@ from cairntrace.llm.common import NO_ID, written
 LENGTH, ANCHOR = 100, 24
 #: Bytes of text for one shard of phrases, and for one group of documents.
 SHARD_BYTES, GROUP_BYTES = 12_000_000, 8_000_000
-#: Bytes of phrases of one index.
-INDEX_BYTES = 4_000_000
+#: Bytes of text that are parsed at once, and bytes of phrases of one index.
+PHRASE_BYTES, INDEX_BYTES = 1_000_000, 1_500_000
 #: Phrases of one anchor from which on their strings are compared in smaller blocks.
 CROWDED = 8_192
 
@@ -148,7 +148,7 @@ def _occurrences(rows: DataFrame, shards: int, length: int, anchor: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binary = pa.binary()
-        for batch, texts in steps(batches, "__text"):
+        for batch, texts in steps(batches, "__text", PHRASE_BYTES):
             ids, hashes, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             order = np.lexsort((hashes, ids))
             ids, hashes, keys = ids[order], hashes[order], keys[order]
