@@ -246,7 +246,9 @@ def _frequencies(sets: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(count, "home long, v binary, sig binary, f binary")
 
 
-ENTRY = np.dtype([("v", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("at", "<u4")])
+#: A class in a shingle's list: its size, how many of its shingles are its own alone, and the place of the
+#: listed one among its shingles, rarest first.
+ENTRY = np.dtype([("v", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("own", "<u4"), ("at", "<u4")])
 
 
 def _prefixes(sets: DataFrame, counts: DataFrame, shards: int, percent: int) -> DataFrame:
@@ -270,10 +272,11 @@ def _prefixes(sets: DataFrame, counts: DataFrame, shards: int, percent: int) ->
         n = np.array([size_of[s] for s in sig[start].tolist()], np.int64)
         within = np.arange(len(sig)) - np.repeat(start, held)
         place = within + np.repeat(n - held, held)
+        own = np.repeat(n - held, held)
         n = np.repeat(n, held)
         use = place < n - (-(-percent * n // 100)) + 1
         out = np.zeros(int(use.sum()), ENTRY)
-        out["v"], out["sig"], out["n"], out["at"] = v[use], sig[use], n[use], place[use]
+        out["v"], out["sig"], out["n"], out["own"], out["at"] = v[use], sig[use], n[use], own[use], place[use]
         dealt = _dealt(out, ((out["v"] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64))
         return pd.DataFrame({"shard": [k for k, _ in dealt], "entries": [x.tobytes() for _, x in dealt]}).astype(
             {"shard": "int64"}
@@ -288,11 +291,13 @@ def _home(shards: int) -> str:
     return f"cast(pmod(cast(sig AS decimal(20, 0)) + if(sig < 0, 18446744073709551616BD, 0BD), {shards}BD) AS long)"
 
 
-def _possible(na, pa_, nb, pb, percent: int):
-    """Whether sets of these sizes that share the hash at these places may link: the larger must
-    not be too large, and before and after the place there must be enough to share."""
+def _possible(a: tuple, b: tuple, percent: int):
+    """Whether sets (size, own shingles, place of the one they share) may link: the larger must not be
+    too large, and before and after the place there must be enough to share, of which the
+    shingles that are a set's own are no part."""
+    (na, ua, pa_), (nb, ub, pb) = a, b
     lo, hi = np.minimum(na, nb), np.maximum(na, nb)
-    most = 1 + np.minimum(pa_, pb) + np.minimum(na - pa_ - 1, nb - pb - 1)
+    most = 1 + np.minimum(pa_ - ua, pb - ub) + np.minimum(na - pa_ - 1, nb - pb - 1)
     return (100 * lo >= percent * hi) & ((100 + percent) * most >= percent * (na + nb))
 
 
@@ -301,7 +306,8 @@ def _list_pairs(e: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[np.
     can hold none being skipped whole."""
     by = np.lexsort((e["at"], e["n"]))
     e, comp = e[by], comp[by]
-    n, at, sig = e["n"].astype(np.int64), e["at"].astype(np.int64), e["sig"]
+    facts = [e[name].astype(np.int64) for name in ("n", "own", "at")]
+    n, sig = facts[0], e["sig"]
     out = []
     starts = list(range(0, len(e), BLOCK))
     one = [comp[s] if (comp[s : s + BLOCK] == comp[s]).all() else None for s in starts]
@@ -314,7 +320,8 @@ def _list_pairs(e: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[np.
             if one[x] is not None and one[x] == one[y]:
                 continue  # one component already
             a, b = slice(s, s + BLOCK), slice(t, t + BLOCK)
-            ok = _possible(n[a, None], at[a, None], n[None, b], at[None, b], percent) & (comp[a, None] != comp[None, b])
+            ok = _possible([x[a, None] for x in facts], [x[None, b] for x in facts], percent)
+            ok &= comp[a, None] != comp[None, b]
             i, j = np.nonzero(ok)
             if x == y:
                 i, j = i[i < j], j[i < j]
@@ -336,10 +343,10 @@ def _spread(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pairs(entries: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes to be compared: in the first turns of each list's entries with
-    the list's leader, the class whose hash of the turn is smallest; in the last turn all that
-    are left between components."""
-    salt = np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    """Distinct pairs (a, b) of classes to be compared.  In the first turn each list's entries are
+    compared with its leader, the class with the fewest rarer shingles, which is nearest to
+    the others; in the next ones with the leader of those outside the first one's component; in
+    the last turn all that are left between components."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         raw = [np.frombuffer(x, ENTRY) for x in left["entries"]]
@@ -357,12 +364,13 @@ def _pairs(entries: DataFrame, labels: DataFrame | None, turn: int, percent: int
         starts = np.flatnonzero(new)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if turn < LEADERS:
-            order = mixed(e["sig"].view(np.uint64) ^ salt)
             group = np.cumsum(new) - 1
-            ranked = np.lexsort((e["sig"], order, group))
-            lead = ranked[starts][group]
-            n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
-            ok = (comp != comp[lead]) & _possible(n, at, n[lead], at[lead], percent)
+            facts = [e[name].astype(np.int64) for name in ("n", "own", "at")]
+            middle = facts[2] / facts[0]
+            lead = np.lexsort((e["sig"], middle, group))[starts][group]
+            if turn:
+                lead = np.lexsort((e["sig"], middle, comp == comp[lead], group))[starts][group]
+            ok = (comp != comp[lead]) & _possible(facts, [x[lead] for x in facts], percent)
             found.append((e["sig"][ok], e["sig"][lead[ok]]))
         else:
             for a, b in zip(starts.tolist(), np.append(starts[1:], len(e)).tolist(), strict=True):
