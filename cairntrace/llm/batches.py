@@ -55,6 +55,18 @@ def steps(
             yield batch.slice(first), texts[first:]
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process remembers under `key`, made if need be.  Workers are used again by
+    later tasks of other operators, so only the last key's memory is kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class IdStore:
     """Lists of small integers, appended one after the other and gathered many at once."""
 

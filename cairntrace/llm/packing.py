@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import IdStore, steps
+from cairntrace.llm.batches import IdStore, held, steps
 from cairntrace.llm.common import NO_ID, parts_for, written
 
 WINDOW = 2048
@@ -23,7 +23,7 @@ END_ID = 1
 #: Tokens of a shard: what one inverted index holds.
 SHARD_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Terms of a seed that are looked up.
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
@@ -121,23 +121,13 @@ class WordTokenizer:
         return ids, ends[first]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    """One per worker process and file."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit or, for vocabularies that allow it, 16-bit, with the
     end id), n; and one row per partition with a null `ids` and the numbers of documents in
     which each id occurs (`counts`, unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = held(("word ids", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         size = tokenizer.model.get_vocab_size()
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         counts = np.zeros(size, np.int64)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import mixed, steps
+from cairntrace.llm.batches import held, mixed, steps
 from cairntrace.llm.common import NO_ID, written
 from cairntrace.llm.repeats import _dealt
 
@@ -40,7 +40,7 @@ BLOCK = 64
 #: Rounds that ask for pairs with leaders only.
 LEADERS = 2
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
@@ -70,15 +70,12 @@ class _Words:
         return self.hashes[which]
 
 
-_WORDS = _Words()
-
-
 def shingles(texts: list[bytes], words_each: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, one text after the other; and where each
     text's begin (with the end).  A text of fewer words is one shingle, one without words none."""
     split = [t.translate(_LOWER).split() for t in texts]
     counts = np.array([len(s) for s in split], np.int64)
-    hashes = _WORDS.of(list(chain.from_iterable(split)))
+    hashes = held("words", _Words).of(list(chain.from_iterable(split)))
     first = np.cumsum(counts) - counts
     total = len(hashes)
     rolled = np.zeros(total, np.uint64)

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import IdStore, mixed, mixed_int, steps
+from cairntrace.llm.batches import IdStore, held, mixed, mixed_int, steps
 from cairntrace.llm.common import NO_ID
 
 SPACE = "▁"
 #: Words whose segmentations a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 80_000
 #: Longest word whose agenda is a plain list.
 SHORT = 48
 
@@ -281,7 +281,6 @@ class Encoder:
 
 
 _MODELS: dict[str, MergeModel] = {}
-_ENCODERS: dict[tuple, Encoder] = {}
 
 
 def _model(path: str) -> MergeModel:
@@ -290,13 +289,6 @@ def _model(path: str) -> MergeModel:
     return _MODELS[path]
 
 
-def _encoder(path: str, *settings) -> Encoder:
-    """One per worker process and setting."""
-    if (path, *settings) not in _ENCODERS:
-        _ENCODERS[path, *settings] = Encoder(_model(path), *settings)
-    return _ENCODERS[path, *settings]
-
-
 def encode(
     docs: DataFrame,
     model_path: str,
@@ -319,7 +311,8 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model_path, dropout, seed, streams)
+        settings = (dropout, seed, streams)
+        encoder = held(("pieces", model_path, *settings), lambda: Encoder(_model(model_path), *settings))
         for batch, texts in steps(batches):
             numbers = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             flat, ends = encoder.encode(texts, numbers)

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cairntrace.llm.batches import steps
+from cairntrace.llm.batches import held, steps
 from cairntrace.llm.common import written
 
 #: Hashed tables of the character model: a fixed size, whatever the corpus.
 TABLE_BITS = 18
 #: Words whose features a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 #: Rows of the labelled sample that calibrate the score; the others find the words.
 CALIBRATE = 3
 #: Labelled toxic documents in which a word or prefix must occur.
@@ -239,16 +239,9 @@ def lower_bound(right: float, total: float, z: float = 2.5) -> float:
     return max(0.0, (p + z * z / (2 * total) - z * math.sqrt(p * (1 - p) / total + z * z / (4 * total**2))) / (1 + z * z / total))
 
 
-_READERS: dict[int, tuple[object, Reader]] = {}
-
-
 def _reader(model: CharModel) -> Reader:
     """One per worker process and model; a model is told by its counts."""
-    key = hash((model.fours.tobytes(), model.ones.tobytes()))
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(model)
-    return _READERS[key]
+    return held(("reader", hash((model.fours.tobytes(), model.ones.tobytes()))), lambda: Reader(model))
 
 
 def _frequencies(sample: DataFrame, model: CharModel) -> DataFrame:
