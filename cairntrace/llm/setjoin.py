@@ -37,6 +37,8 @@ COUNTED = 96
 SHARD = 1_000_000
 #: Entries of a block of a list.
 BLOCK = 64
+#: Bits of a set's parities.
+BITS = 1024
 #: Rounds that ask for pairs with leaders only.
 LEADERS = 2
 #: Words whose hashes a worker remembers.
@@ -298,11 +300,26 @@ def _possible(a: tuple, b: tuple, percent: int):
     return (100 * lo >= percent * hi) & ((100 + percent) * most >= percent * (na + nb))
 
 
-def _list_pairs(e: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bitmaps(sets: DataFrame) -> DataFrame:
+    """(sig, bits): the parities of each set's hashes in BITS buckets.  Sets differ in at least as many
+    hashes as their parities differ in bits."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            bits = [
+                np.packbits(np.bincount((np.frombuffer(x, "<u8") % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1)
+                for x in frame["v"]
+            ]
+            yield pd.DataFrame({"sig": frame["sig"], "bits": [b.tobytes() for b in bits]})
+
+    return sets.select("sig", "v").mapInPandas(run, "sig long, bits binary")
+
+
+def _list_pairs(e: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """All pairs of one shingle's entries that lie in different components and may link, blocks that
     can hold none being skipped whole."""
     by = np.lexsort((e["at"], e["n"]))
-    e, comp = e[by], comp[by]
+    e, comp, bits = e[by], comp[by], bits[by]
     facts = [e[name].astype(np.int64) for name in ("n", "own", "at")]
     n, sig = facts[0], e["sig"]
     out = []
@@ -323,20 +340,27 @@ def _list_pairs(e: np.ndarray, comp: np.ndarray, percent: int) -> list[tuple[np.
             if x == y:
                 i, j = i[i < j], j[i < j]
             if len(i):
-                out.append((sig[a][i], sig[b][j]))
+                differ = np.bitwise_count(bits[a][i] ^ bits[b][j]).sum(1, dtype=np.int64)
+                both = n[a][i] + n[b][j]
+                near = (100 + percent) * (both - differ) >= 2 * percent * both
+                out.append((sig[a][i[near]], sig[b][j[near]]))
     return out
 
 
-def _spread(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """(shard, sig, comp): the labels of the classes that have entries in a shard."""
+def _spread(entries: DataFrame, labels: DataFrame, bitmaps: DataFrame | None) -> DataFrame:
+    """(shard, sig, comp, bits): the labels, and in the last turn the bits, of the classes that have entries in a shard."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard, raw in zip(frame["shard"], frame["entries"], strict=True):
                 yield pd.DataFrame({"shard": shard, "sig": np.unique(np.frombuffer(raw, ENTRY)["sig"])})
 
-    held = entries.mapInPandas(run, "shard long, sig long").distinct()
-    return held.join(labels, "sig").select("shard", "sig", "comp")
+    held_ = entries.mapInPandas(run, "shard long, sig long").distinct()
+    if bitmaps is None:
+        return held_.join(labels, "sig").select("shard", "sig", "comp", F.lit(b"").alias("bits"))
+    # a class that distinct texts of one id repeat has its bits once
+    known = bitmaps.dropDuplicates(["sig"]).join(labels, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "bits")
+    return held_.join(known, "sig").select("shard", "sig", "comp", "bits")
 
 
 def _pairs(entries: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
@@ -349,18 +373,22 @@ def _pairs(entries: DataFrame, labels: DataFrame | None, turn: int, percent: int
         raw = [np.frombuffer(x, ENTRY) for x in left["entries"]]
         e = np.concatenate(raw) if raw else np.empty(0, ENTRY)
         comp = e["sig"].copy()
+        last = turn == LEADERS
         if len(right):
             known = right.sort_values("sig")
             names, labels = known["sig"].to_numpy(), known["comp"].to_numpy()
             at = np.minimum(np.searchsorted(names, comp), len(names) - 1)
             comp = np.where(names[at] == comp, labels[at], comp)
+            if last:
+                bits = np.frombuffer(b"".join(known["bits"]), np.uint64).reshape(len(names), -1)[at]
         by = np.argsort(e["v"], kind="stable")
         e, comp = e[by], comp[by]
+        bits = bits[by] if last and len(right) else None
         new = np.ones(len(e), bool)
         new[1:] = e["v"][1:] != e["v"][:-1]
         starts = np.flatnonzero(new)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        if turn < LEADERS:
+        if not last:
             group = np.cumsum(new) - 1
             facts = [e[name].astype(np.int64) for name in ("n", "own", "at")]
             middle = facts[2] / facts[0]
@@ -372,14 +400,14 @@ def _pairs(entries: DataFrame, labels: DataFrame | None, turn: int, percent: int
         else:
             for a, b in zip(starts.tolist(), np.append(starts[1:], len(e)).tolist(), strict=True):
                 if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    found += _list_pairs(e[a:b], comp[a:b], percent)
+                    found += _list_pairs(e[a:b], comp[a:b], bits[a:b], percent)
         a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
         # the leader stays on one side, so that its set travels once
         pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    none = entries.select("shard", F.col("shard").alias("sig"), F.col("shard").alias("comp")).limit(0)
+    none = entries.select("shard", *[F.col("shard").alias(c) for c in ("sig", "comp", "bits")]).limit(0)
     sides = entries.groupBy("shard").cogroup((none if labels is None else labels).groupBy("shard"))
     return sides.applyInPandas(run, "a long, b long").distinct()
 
@@ -454,7 +482,7 @@ def near_duplicates(
     entries = written(_prefixes(sets, _frequencies(sets, shards), shards, percent), "entries")
     links = labels = None
     for turn in range(LEADERS + 1):
-        spread = None if labels is None else _spread(entries, labels)
+        spread = None if labels is None else _spread(entries, labels, _bitmaps(sets) if turn == LEADERS else None)
         found = written(_links(_pairs(entries, spread, turn, percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
