@@ -114,17 +114,20 @@ def _lattice(token: str) -> list[list[tuple[str, float]]] | None:
         while j < n and token[j] == c:
             j += 1
         if c.isalpha():
-            long = j - i > 2
-            out.append([(c, WRITE_LONG), (c * 2, WRITE_LONG)] if long else [(c * (j - i), 0.0)])
+            out.append([(c, WRITE_LONG), (c * 2, WRITE_LONG)] if j - i > 2 else [(c * (j - i), 0.0)])
             i = j
             continue
+        long = j - i > 2
+        j = j if long else i + 1
         meant = [(x, WRITE_AS - math.log(len(LOOKS[c]))) for x in LOOKS.get(c, "")]
-        if c in GAPS and 0 < i < n - 1:
+        if long:
+            meant = [(x * n, p + WRITE_LONG) for x, p in meant for n in (1, 2)]
+        if c in GAPS and 0 < i and j < n:
             meant.append(("", WRITE_GAP))
         if not meant:
             return None
         out.append(meant)
-        i += 1
+        i = j
     return out
 
 
@@ -212,7 +215,9 @@ class Reader:
                         token = "".join(s[i].decode() for i in run.tolist()).lower()
                         word = restore(token, self.model) if _ODD.search(token) else None
                         if word:
-                            apart.append(word)
+                            # where one word ends and the next begins is not told
+                            ends = range(3, 13)
+                            apart += {word[i : i + k] for i in range(len(word) - 2) for k in ends if i + k <= len(word)}
             yield numbers, apart
             at += len(s)
 
