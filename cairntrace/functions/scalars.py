@@ -187,7 +187,7 @@ def nodes_spec_cpus(c: Column) -> Column:
     def chunk_cpus(chunk: Column) -> Column:
         parts = F.transform(F.split(chunk, ":"), lambda p: F.lower(F.trim(p)))
         is_ppn = lambda p: F.startswith(p, F.lit("ppn="))
-        ppn = latest(F.transform(F.filter(parts, is_ppn), lambda p: _int(F.substring(p, 5, 40))))
+        ppn = latest(F.transform(F.filter(parts, is_ppn), lambda p: _int(F.substr(p, F.lit(5)))))
         nodes = latest(F.transform(F.filter(parts, lambda p: ~is_ppn(p)), _int))
         return nodes * ppn
 

@@ -27,6 +27,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairntrace.session import settle
+
 SLICE = "_slice"
 TICK_WIDTH = 1 << 18
 
@@ -47,9 +49,14 @@ def release() -> None:
 
 
 def slice_by_range(df: DataFrame, keys: Sequence[Column | str], slices: int | None = None) -> DataFrame:
-    """Label rows with contiguous, balanced slices of the order `keys` (which must be unique)."""
+    """Label rows with contiguous, balanced slices of the order `keys` (which must be unique).
+
+    The range partitioner samples, so a second run may cut elsewhere.  The labelled rows are
+    written once; every reader then sees the same slices, also after `release` or when
+    executors are lost.
+    """
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return hold(df.repartitionByRange(n, *keys).withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+    return settle(df.repartitionByRange(n, *keys).withColumn(SLICE, F.spark_partition_id().cast("bigint")))
 
 
 def slice_by_time(ticks: DataFrame, ts: str = "ts", width: int = TICK_WIDTH) -> DataFrame:

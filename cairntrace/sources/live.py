@@ -17,9 +17,9 @@ from cairntrace.sources.lines import read_lines
 
 # Field order of the extract.
 EXTRACT_FIELDS = (
-    "JobID JobName User Group Partition Account State Submit Start End Elapsed Timelimit "
-    "NCPUS NNodes ReqMem MaxRSS ExitCode"
-).split()
+    "JobID", "JobName", "User", "Group", "Partition", "Account", "State", "Submit", "Start", "End", "Elapsed",
+    "Timelimit", "NCPUS", "NNodes", "ReqMem", "MaxRSS", "ExitCode",
+)
 
 _RESOURCES = "struct<walltime:string,ncpus:string,select:string,mem:string>"
 QSTAT_SCHEMA = (

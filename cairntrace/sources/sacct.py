@@ -14,7 +14,10 @@ from cairntrace.schema import JOBS
 from cairntrace.sources.lines import class_counts, read_lines, refuse_empty, too_long
 
 # Column order assumed for files without a header.
-DEFAULT_COLUMNS = "JobID Submit Start End Elapsed AllocCPUS ReqCPUS ReqMem User Group Partition State".split()
+DEFAULT_COLUMNS = (
+    "JobID", "Submit", "Start", "End", "Elapsed", "AllocCPUS", "ReqCPUS", "ReqMem", "User", "Group",
+    "Partition", "State",
+)
 
 COUNTERS = {
     "header": "header_lines",

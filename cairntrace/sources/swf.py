@@ -12,10 +12,10 @@ from cairntrace.sources.lines import class_counts, read_lines, refuse_empty, too
 
 # Field order of the format.
 FIELDS = (
-    "job_number submit_time wait_time run_time allocated_processors avg_cpu_time_used used_memory "
-    "requested_processors requested_time requested_memory status user_id group_id executable_number "
-    "queue_number partition_number preceding_job_number think_time"
-).split()
+    "job_number", "submit_time", "wait_time", "run_time", "allocated_processors", "avg_cpu_time_used",
+    "used_memory", "requested_processors", "requested_time", "requested_memory", "status", "user_id",
+    "group_id", "executable_number", "queue_number", "partition_number", "preceding_job_number", "think_time",
+)
 
 REQUIRED = ("job_number", "submit_time", "wait_time", "run_time", "allocated_processors")
 

@@ -15,15 +15,18 @@ from cairntrace.streaming.increments import PARSERS
 POLL_SEC = 300
 
 
-def stream_jobs(spark: SparkSession, folder: str, fmt: str, lateness: str = "30 days") -> DataFrame:
-    """Jobs of log files landing in a folder, each job id once within the lateness bound.
+def stream_jobs(spark: SparkSession, folder: str, fmt: str, lateness: str | None = None) -> DataFrame:
+    """Jobs of log files landing in a folder, each job id once.
 
-    Files are read once, when they appear; a job reported again later than the bound
-    after its first event time would be kept as new (the watermark bounds the state).
+    Files are read once, when they appear, in whatever order; no job is lost for being old.
+    The state holds every id seen.  A `lateness` bounds it, but then Spark drops rows whose
+    submit time lies further than that behind the latest one.
     """
     if fmt not in PARSERS:
         raise ValueError(f"unsupported source {fmt!r}: use one of {sorted(PARSERS)}")
     jobs = PARSERS[fmt](spark.readStream.text(folder)).select(*JOBS.names)
+    if lateness is None:
+        return jobs.dropDuplicates(["job_id"])
     timed = jobs.withColumn("submit_time", F.timestamp_seconds("submit_ts")).withWatermark("submit_time", lateness)
     return timed.dropDuplicatesWithinWatermark(["job_id"]).drop("submit_time")
 
@@ -66,15 +69,19 @@ def poll_totals(stats: DataFrame) -> DataFrame:
     )
 
 
-def stream_feedback(predictions: DataFrame, actuals: DataFrame, within: str = "30 days") -> DataFrame:
+def stream_feedback(predictions: DataFrame, actuals: DataFrame, within: str | None = None) -> DataFrame:
     """Predictions (job_id, predicted_at, p10, p50, p90) joined with the run time reported for the
-    job (job_id, done_at, actual_sec) up to `within` later, with errors.  Both sides' state is
-    bounded by their watermarks."""
-    p = predictions.withWatermark("predicted_at", within).alias("p")
-    a = actuals.withWatermark("done_at", within).alias("a")
-    same = F.expr(
-        f"p.job_id = a.job_id AND a.done_at >= p.predicted_at AND a.done_at <= p.predicted_at + INTERVAL {within}"
-    )
+    job (job_id, done_at, actual_sec) at or after the prediction, with errors.
+
+    Rows wait in the state for the other side, however late it comes.  With `within`, outcomes
+    must follow in that time and watermarks bound the state, but Spark then drops rows further
+    behind the latest ones."""
+    p, a = predictions, actuals
+    same = "p.job_id = a.job_id AND a.done_at >= p.predicted_at"
+    if within is not None:
+        p, a = p.withWatermark("predicted_at", within), a.withWatermark("done_at", within)
+        same += f" AND a.done_at <= p.predicted_at + INTERVAL {within}"
+    p, a, same = p.alias("p"), a.alias("a"), F.expr(same)
     both = p.join(a, same, "inner").select("p.job_id", "p.p10", "p.p50", "p.p90", "a.actual_sec", "a.done_at")
     return both.withColumns(outcome_columns(F.col("actual_sec")))
 

@@ -714,7 +714,7 @@ put(
     f"""SELECT job_id, node AS optimal_node_cpus, {r('greatest(node - asked, 0) / CAST(node AS DOUBLE)', 6, 'waste_ratio')}
   FROM (SELECT job_id, asked, coalesce(min(s) FILTER (s >= asked), max(s)) AS node
         FROM (SELECT job_id, 1 + (job_id * 31 + wait_sec) % 60 AS asked FROM jobs),
-             (SELECT DISTINCT CAST(p_size AS BIGINT) AS s FROM part WHERE p_size % 7 = 0) GROUP BY ALL)""",
+             (SELECT DISTINCT CAST(p_size AS BIGINT) AS s FROM part) GROUP BY ALL)""",
 )
 
 # --------------------------------------------------------------------------- comparison
@@ -752,7 +752,7 @@ ks AS (SELECT policy_id, max(abs(fo - fc)) AS slowdown_ks_statistic FROM (SELECT
 
 def qcorr(cands: str = "cands") -> str:
     return f"""{obs_queue('jobs', 'qo')}, {obs_queue(cands, 'qc', 'policy_id')},
-grid AS (SELECT policy_id, unnest(generate_series(least(lo, l0), greatest(hi, h0), 3600)) AS ts
+grid AS (SELECT policy_id, unnest(generate_series(least(lo, l0), greatest(hi, h0), 60)) AS ts
   FROM (SELECT policy_id, min(submit_ts) AS lo, max(end_ts) AS hi FROM {cands} GROUP BY policy_id),
        (SELECT min(submit_ts) AS l0, max(end_ts) AS h0 FROM jobs)),
 qu AS (SELECT policy_id, ts, 0 AS probe, queue_len_jobs AS o, NULL AS c FROM qo, (SELECT DISTINCT policy_id FROM {cands})
@@ -839,7 +839,8 @@ put(
 put(
     "regime",
     f"""SELECT policy_id, CASE WHEN t > 50 THEN 'heavy_tail' WHEN q < 2 THEN 'low_congestion' WHEN u > 0.5e0 THEN 'user_skew' ELSE 'balanced' END AS workload_regime,
-  'Standard workload with moderate congestion and runtime distribution.' AS regime_explanation,
+  CASE WHEN t > 50 THEN 'tail_ratio' WHEN q < 2 THEN 'mean_queue' WHEN u > 0.5e0 THEN 'top_user_share' ELSE 'none' END AS regime_cause,
+  CASE WHEN t > 50 THEN 'raise guard_k' WHEN q < 2 THEN 'test under more load' WHEN u > 0.5e0 THEN 'allow more deviation between users' ELSE 'vary guard_k' END AS regime_advice,
   {r('d1', 7, 'delta_p95_bsld')}, {r('d2', 7, 'delta_utilization')} FROM scored,
   (SELECT {qc('runtime_actual_sec', 0.99)} / {qc('runtime_actual_sec', 0.5)} AS t FROM jobs), (SELECT avg(clipped) AS q FROM q),
   (SELECT top_user_share AS u FROM ({users(9)}))""",
@@ -1127,3 +1128,6 @@ put(
     "SELECT queue_id, ts, queue_len_jobs, queue_len_cpu_demand FROM q",
     f"{JOBS}, {obs_queue('jobs', 'q', 'queue_id')}",
 )
+
+ORACLES["stream_ingest_two_landings"] = ORACLES["stream_ingest"]
+ORACLES["stream_feedback_two_landings"] = ORACLES["stream_feedback"]

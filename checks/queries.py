@@ -635,7 +635,7 @@ def best_fit_node(jobs):
 @query
 def best_fit_size_table(spark, sf_dir):
     """Node sizes from a table: the distinct part sizes."""
-    sizes = fx.table(spark, sf_dir, "part").select("p_size").filter("p_size % 7 = 0")
+    sizes = fx.table(spark, sf_dir, "part").select("p_size")
     df = fx.jobs(spark, sf_dir).withColumn("asked", 1 + (F.col("job_id") * 31 + F.col("wait_sec")) % 60)
     out = placement.best_fit(df, sizes, request="asked")
     return rounded(out.select("job_id", "optimal_node_cpus", "waste_ratio"))
@@ -667,7 +667,7 @@ def slowdown_ks(jobs):
 
 @on_jobs
 def queue_corr(jobs):
-    return rounded(compare.queue_corr(jobs, fx.candidates(jobs), 3600, ["policy_id"]), 7)
+    return rounded(compare.queue_corr(jobs, fx.candidates(jobs), 60, ["policy_id"]), 7)
 
 
 @on_jobs
@@ -675,11 +675,11 @@ def self_distance(jobs):
     """A table compared with itself: no divergence, no distance, full correlation."""
     same = jobs.withColumn("policy_id", F.lit("same"))
     out = compare.wait_kl(jobs, same, ["policy_id"]).join(compare.slowdown_ks(jobs, same, ["policy_id"]), "policy_id")
-    return rounded(out.join(compare.queue_corr(jobs, same, 3600, ["policy_id"]), "policy_id"), 7)
+    return rounded(out.join(compare.queue_corr(jobs, same, 60, ["policy_id"]), "policy_id"), 7)
 
 
 def _gate(jobs):
-    limits = compare.GateThresholds(cadence_sec=3600)
+    limits = compare.GateThresholds()
     return compare.fidelity_gate(jobs, fx.candidates(jobs), CAPACITY, ["policy_id"], limits)
 
 
@@ -758,7 +758,7 @@ def pareto_front(jobs):
 @on_jobs
 def regime(jobs):
     out = decide.regime(profile.trace_profile(jobs), *reversed(_cands_and_base(jobs)))
-    return rounded(out.drop("sensitivity_hint"), 7)
+    return rounded(out, 7)
 
 
 @on_jobs
@@ -1075,6 +1075,20 @@ def stream_ingest(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
+@query
+def stream_ingest_two_landings(spark, sf_dir):
+    """The newer half of the jobs lands and is polled, then the older half with the same checkpoint."""
+    from cairntrace.streaming import jobs as st
+
+    landed, out, mark = (scratch(spark, n) for n in ("landed", "ingested", "mark"))
+    jobs = fx.jobs(spark, sf_dir)
+    middle = jobs.agg(F.percentile_approx("submit_ts", 0.5).alias("m")).first()["m"]
+    for part in (jobs.where(F.col("submit_ts") >= middle), jobs.where(F.col("submit_ts") < middle)):
+        fx.raw_swf(part).repartition(3).write.mode("append").text(landed)
+        st.write_stream(st.stream_jobs(spark, landed, "swf"), out, mark, poll_sec=None).awaitTermination()
+    return rounded(spark.read.parquet(out))
+
+
 @query
 def stream_poll_totals(spark, sf_dir):
     """Statistics of a polled stream."""
@@ -1113,6 +1127,24 @@ def stream_feedback(spark, sf_dir):
     return rounded(spark.read.parquet(out).drop("done_at"))
 
 
+@query
+def stream_feedback_two_landings(spark, sf_dir):
+    """Newer predictions and outcomes land first, older ones second, with the same checkpoint."""
+    from cairntrace.streaming import jobs as st
+
+    preds, done = _feedback_tables(spark, sf_dir)
+    out, mark = scratch(spark, "feedback"), scratch(spark, "mark")
+    folders = scratch(spark, "predicted"), scratch(spark, "done")
+    middle = done.agg(F.percentile_approx(F.unix_seconds("done_at"), 0.5).alias("m")).first()["m"]
+    for newer in (True, False):
+        for table, folder, at in zip((preds, done), folders, ("predicted_at", "done_at")):
+            late = F.unix_seconds(at) < middle
+            table.where(~late if newer else late).write.mode("append").parquet(folder)
+        sides = [spark.readStream.schema(t.schema).parquet(f) for t, f in zip((preds, done), folders)]
+        st.write_stream(st.stream_feedback(*sides), out, mark, poll_sec=None).awaitTermination()
+    return rounded(spark.read.parquet(out).drop("done_at"))
+
+
 @query
 def rolling_accuracy(spark, sf_dir):
     """Accuracy per 30 days of outcomes."""

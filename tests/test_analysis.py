@@ -142,16 +142,19 @@ def test_estimates(spark):
     assert out[3].estimate_source == "actual_fallback"
 
 
-def test_fold_plans():
-    plan = features.fold_plan(20)
-    bounds = [(f, s, a, b) for f, _, s, a, b in plan]
+def test_fold_plans(spark):
+    def ranges(n, **settings):
+        rows = spark.range(1).select(F.lit(n).alias("n")).select(F.inline(features.fold_ranges(F.col("n"), **settings)))
+        return [tuple(r) for r in rows.collect()]
+
+    bounds = [(f, s, a, b) for f, _, s, a, b in ranges(20)]
     assert bounds[:3] == [(1, "train", 0, 14), (1, "validation", 14, 17), (1, "test", 17, 18)]
     assert bounds[-1] == (3, "test", 19, 20)
-    assert features.fold_plan(3)[0][1] == "anchored_expanding" or features.fold_plan(3)[0][1] == "single_fallback"
-    with pytest.raises(ValueError):
-        features.fold_plan(2)
+    assert [r[2:] for r in ranges(3)] == [("train", 0, 1), ("validation", 1, 2), ("test", 2, 3)]
+    with pytest.raises(Exception, match="three rows"):
+        ranges(2)
     with pytest.raises(ValueError):
-        features.fold_plan(20, train_fraction=0.9, val_fraction=0.2)
+        ranges(20, train_fraction=0.9, val_fraction=0.2)
     assert [(s, a, b) for _, _, s, a, b in features.time_split_plan(1)] == [("train", 0, 1), ("valid", 0, 1), ("test", 0, 1)]
     with pytest.raises(ValueError):
         features.cv_plan(39)

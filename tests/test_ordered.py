@@ -158,3 +158,15 @@ def test_quantiles_match_numpy(spark):
                 assert out[g][f"{name}_{tag}"] == pytest.approx(np.quantile(x, p))
     empty = quantiles(df.filter("g > 9"), {"a": F.col("a")}, [0.5]).first()
     assert (empty.a_n, empty.a_p50) == (0, None)
+
+
+def test_release_before_the_action_changes_nothing(spark):
+    from cairntrace.operators import queues
+    from cairntrace.operators.ordered import release
+    from cairntrace.plans import fixtures as fx
+
+    jobs = fx.jobs(spark, "/root/testdata/sf0.001")
+    kept = queues.queue_at_submit(jobs).orderBy("job_id").collect()
+    again = queues.queue_at_submit(jobs)
+    release()
+    assert again.orderBy("job_id").collect() == kept
