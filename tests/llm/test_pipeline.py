@@ -11,7 +11,7 @@ from cairntrace.llm.oracles import ORACLES
 from cairntrace.llm.queries import QUERIES
 from checks.compare import compare_one, duck
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -40,10 +40,13 @@ def test_stages_take_effect(spark):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "near_duplicates", "repeated_passages", "pseudonyms", "packing"]
     kept = stages["toxicity"](spark, at, SF)
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    assert kept.columns == docs.columns and kept.count() < docs.count()
-    clean = labels.where("toxic = 0").join(docs, "doc_id").count()
-    assert kept.join(labels.where("toxic = 0"), "doc_id").count() >= 0.95 * clean
+    assert kept.columns == docs.columns
+    # too few labels there to learn from
+    larger, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    left = stages["toxicity"](spark, larger, LARGER)
+    toxic, clean = (labels.where(f"toxic = {y}") for y in (1, 0))
+    assert left.join(toxic, "doc_id").count() <= 0.6 * toxic.count()
+    assert left.join(clean, "doc_id").count() >= 0.98 * clean.count()
     one = stages["near_duplicates"](spark, kept, SF)
     ids = {r["doc_id"] for r in one.collect()}
     assert 10**6 in ids and not ids & {10**6 + 1, 10**6 + 2} and {10**6 + 3, 10**6 + 4, 10**6 + 5, None} <= ids
