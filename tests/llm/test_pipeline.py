@@ -31,7 +31,7 @@ def test_stages_take_effect(spark):
     passage = " ".join(words[:60])
     extra = [
         (10**6, " ".join(words[60:160])), (10**6 + 1, " ".join(words[60:160])), (10**6 + 2, " ".join(words[60:159] + ["new"])),
-        (10**6 + 3, "Start " + passage + " end one."), (10**6 + 4, "Other " + passage + " end two 4111111111111111."),
+        (10**6 + 3, "Start " + passage + " end one."), (10**6 + 4, " ".join(words[160:]) + " " + passage + " end two 4111111111111111."),
         (10**6 + 5, None), (None, "no id"),
     ]
     more = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in extra], docs.schema)
