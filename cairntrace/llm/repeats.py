@@ -27,7 +27,7 @@ LENGTH, ANCHOR = 100, 24
 #: Bytes of text for one shard of phrases, and for one group of documents.
 SHARD_BYTES, GROUP_BYTES = 12_000_000, 8_000_000
 #: Bytes of text that are parsed at once, and bytes of phrases of one index.
-PHRASE_BYTES, INDEX_BYTES = 1_000_000, 1_500_000
+PHRASE_BYTES, INDEX_BYTES = 500_000, 1_500_000
 #: Phrases of one anchor from which on their strings are compared in smaller blocks.
 CROWDED = 8_192
 
