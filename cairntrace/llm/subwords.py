@@ -17,7 +17,7 @@ from cairntrace.llm.common import NO_ID
 
 SPACE = "▁"
 #: Words whose segmentations a worker remembers.
-REMEMBERED = 80_000
+REMEMBERED = 240_000
 #: Longest word whose agenda is a plain list.
 SHORT = 48
 
