@@ -29,10 +29,11 @@ def run_ingest(spark: SparkSession, fmt: str, path, out: str, dataset_id: str) -
     """
     if fmt not in SOURCES:
         raise ValueError(f"unsupported source {fmt!r}: use one of {sorted(SOURCES)}")
-    jobs = sacct.read_sacct(spark, path) if fmt == "slurm" else SOURCES[fmt].parse(read_lines(spark, path))
+    lines = sacct.headed_lines(spark, path) if fmt == "slurm" else read_lines(spark, path)
+    jobs = SOURCES[fmt].parse(lines)
     tables.write_jobs(jobs.select(*JOBS.names), f"{out}/jobs", dataset_id)
     written = refuse_empty(tables.load_jobs(spark, f"{out}/jobs", dataset_id), fmt)
-    report = quality.quality_report(written, SOURCES[fmt].parse_stats(read_lines(spark, path)))
+    report = quality.quality_report(written, SOURCES[fmt].parse_stats(lines))
     report.withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").json(f"{out}/quality/{dataset_id}")
     files = quality.dataset_fingerprint(spark, path).withColumns(
         {"dataset_id": F.lit(dataset_id), "source_format": F.lit(fmt)}

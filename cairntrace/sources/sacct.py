@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +34,23 @@ def _is_header(tokens: Column) -> Column:
 def _fields(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     at = {c.strip().lower(): i for i, c in enumerate(columns)}
     text = strip(F.col("value"))
-    split = once(lines, {"blank": text == "", "long": too_long(), "tokens": F.split(text, r"\|")})
+    # Lines may carry the names of their own file's header, see `with_layouts`.
+    own = F.col("layout") if "layout" in lines.columns else F.lit(None).cast("array<string>")
+    split = once(lines.withColumn("layout", own), {"blank": text == "", "long": too_long(), "tokens": F.split(text, r"\|")}, ["layout"])
+    headed = F.col("layout").isNotNull()
 
     def field(name: str) -> Column:
-        i = at.get(name.lower())
-        return F.nullif(strip(F.get("tokens", F.lit(i))), F.lit("")) if i is not None else F.lit(None).cast("string")
+        from_end = F.array_position("layout", name.lower())
+        named = F.when(from_end > 0, F.size("layout") - from_end)
+        place = F.when(headed, named).otherwise(F.lit(at.get(name.lower())))
+        return F.nullif(strip(F.get("tokens", place.cast("int"))), F.lit(""))
 
     return once(
         split,
         {
-            "header": _is_header(F.col("tokens")),
-            "short": F.size("tokens") < len(columns),
+            # a second header of a file is a malformed line
+            "header": ~headed & _is_header(F.col("tokens")),
+            "short": F.size("tokens") < F.when(headed, F.size("layout")).otherwise(F.lit(len(columns))),
             "raw_id": field("JobID"),
             "id": slurm_job_id(field("JobID")),
             "submit": slurm_datetime(field("Submit")),
@@ -117,30 +122,38 @@ def parse(lines: DataFrame, columns: Sequence[str] = DEFAULT_COLUMNS, skip_job_s
     )
 
 
-def header_layouts(lines: DataFrame) -> dict[tuple[str, ...], list[str]]:
-    """Column order -> files having it.  One entry per input file reaches the driver, which
-    already holds the same file listing to plan the scan."""
-    source = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    tokens = F.split(strip(F.col("value")), r"\|")
-    found = source.groupBy("file").agg(F.min_by("value", F.when(_is_header(tokens), F.col("at"))).alias("header"))
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in found.toLocalIterator():
-        columns = tuple(row.header.strip().split("|")) if row.header else tuple(DEFAULT_COLUMNS)
-        layouts.setdefault(columns, []).append(row.file)
-    return layouts
+def with_origin(lines: DataFrame) -> DataFrame:
+    """Lines of a text scan with their file and the place where their split begins."""
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+
+
+def with_layouts(lines: DataFrame) -> DataFrame:
+    """Lines `with_origin` and their `layout`: lower-cased column names, last one first, of the
+    file's first header line; null up to that line and in files without one.
+
+    A line's place is (start of its split, running number); both scans cut the files alike, so
+    places agree.  Headers, one row per file that has one, are joined to the lines."""
+    placed = lines.select("value", "file", F.struct("at", F.monotonically_increasing_id().alias("n")).alias("place"))
+    headers = placed.filter(_is_header(F.split(strip(F.col("value")), r"\|"))).groupBy("file").agg(
+        F.min("place").alias("first"), F.min_by("value", "place").alias("names")
+    )
+    names = F.reverse(F.transform(F.split(strip(F.col("names")), r"\|"), lambda t: F.lower(strip(t))))
+    both = placed.join(headers, "file", "left")
+    return both.select("value", F.when(F.col("place") > F.col("first"), names).alias("layout"))
+
+
+def headed_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of sacct dumps, each with the column order that holds where it stands."""
+    return with_layouts(with_origin(read_lines(spark, path)))
 
 
 def read_sacct(
     spark: SparkSession, path, skip_job_steps: bool = True, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Canonical jobs of sacct dumps.  Files are grouped by header, each group parsed with its own
-    column order; give `columns` to skip the header pass.  Column names match in any case."""
-    lines = read_lines(spark, path)
-    layouts = {tuple(columns): None} if columns else header_layouts(lines)
-    parts = [
-        parse(lines if files is None else read_lines(spark, files), layout, skip_job_steps)
-        for layout, files in layouts.items()
-    ]
-    if not parts:
-        raise ValueError("no parsable sacct rows were produced")
-    return refuse_empty(reduce(DataFrame.unionByName, parts), "sacct")
+    """Canonical jobs of sacct dumps.  Lines after a file's header have its column order, lines
+    before it and files without one the default order; give `columns` to skip the header pass.
+    Column names match in any case."""
+    jobs = parse(read_lines(spark, path), columns, skip_job_steps) if columns else parse(
+        headed_lines(spark, path), skip_job_steps=skip_job_steps
+    )
+    return refuse_empty(jobs, "sacct")

@@ -13,6 +13,8 @@ from cairntrace.sources import pbs, sacct, swf
 from cairntrace.sources.lines import read_lines
 
 PARSERS = {"swf": swf.parse, "slurm": sacct.parse, "pbs": pbs.parse}
+#: How files are read where lines alone don't tell their meaning.
+LINES = {"slurm": sacct.headed_lines}
 STATE = "last_submit_ts bigint, total_rows bigint, poll_count bigint, last_poll string, source string"
 
 
@@ -49,7 +51,7 @@ def ingest_increment(spark: SparkSession, fmt: str, source: str, out: str, state
     if fmt not in PARSERS:
         raise ValueError(f"unsupported source {fmt!r}: use one of {sorted(PARSERS)}")
     state = read_state(spark, state_path)
-    jobs = PARSERS[fmt](read_lines(spark, source)).select(*JOBS.names)
+    jobs = PARSERS[fmt](LINES.get(fmt, read_lines)(spark, source)).select(*JOBS.names)
     new = increment(jobs, state["last_submit_ts"])
     batch = f"{out}/poll={state['poll_count'] + 1}"
     new.write.mode("overwrite").parquet(batch)

@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 from cairntrace.operators.accuracy import outcome_columns, severity
 from cairntrace.operators.ordered import clamped_sums, release, slice_by_time
 from cairntrace.schema import JOBS
+from cairntrace.sources import sacct
 from cairntrace.streaming.increments import PARSERS
 
 POLL_SEC = 300
@@ -31,6 +32,31 @@ def stream_jobs(spark: SparkSession, folder: str, fmt: str, lateness: str | None
     return timed.dropDuplicatesWithinWatermark(["job_id"]).drop("submit_time")
 
 
+def land_jobs(
+    spark: SparkSession, folder: str, fmt: str, out: str, checkpoint: str, poll_sec: int | None = None, files: int = 1000
+) -> StreamingQuery:
+    """Write the jobs of log files landing in a folder, each job id once, under `out/batch=N`.
+
+    Unlike `stream_jobs`, Slurm files may have headers of their own.  Instead of a state of all
+    ids, the jobs of a batch are held against those that earlier batches wrote; a repeated
+    batch overwrites itself.
+    """
+    if fmt not in PARSERS:
+        raise ValueError(f"unsupported source {fmt!r}: use one of {sorted(PARSERS)}")
+    lines = sacct.with_origin(spark.readStream.option("maxFilesPerTrigger", files).text(folder))
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        parsed = PARSERS[fmt](sacct.with_layouts(batch) if fmt == "slurm" else batch.select("value"))
+        jobs = parsed.select(*JOBS.names).dropDuplicates(["job_id"])
+        if batch_id:
+            earlier = batch.sparkSession.read.schema(JOBS).parquet(out).filter(F.col("batch") < batch_id)
+            jobs = jobs.join(earlier.select("job_id"), "job_id", "left_anti").select(*JOBS.names)
+        jobs.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    trigger = {"processingTime": f"{poll_sec} seconds"} if poll_sec else {"availableNow": True}
+    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def write_stream(df: DataFrame, out: str, checkpoint: str, poll_sec: int | None = POLL_SEC) -> StreamingQuery:
     """Append to parquet, exactly once; without an interval, process what is there and stop."""
     writer = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)

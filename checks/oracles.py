@@ -154,6 +154,7 @@ put(
           CASE WHEN job_id % 11 = 0 THEN submit_ts ELSE start_ts END AS s,
           CASE WHEN job_id % 4 = 0 THEN NULL ELSE end_ts END AS e FROM jobs)""",
 )
+ORACLES["sacct_mixed_headers"] = ORACLES["sacct_parse"]
 put(
     "sacct_line_stats",
     """SELECT count(*) + count(*) FILTER (job_id % 20 = 7) AS total_lines, CAST(0 AS BIGINT) AS header_lines,
@@ -1040,6 +1041,16 @@ put(
 put("incremental_rows", "SELECT CAST(job_id AS VARCHAR) AS job_id, submit_ts FROM fresh", f"{JOBS}, {MARK}")
 
 
+SLURM_JOBS = """SELECT CASE WHEN job_id % 10 = 0 THEN job_id || '_1' ELSE CAST(job_id AS VARCHAR) END AS job_id, submit_ts,
+  CAST(user_id AS VARCHAR) AS user_id"""
+put(
+    "incremental_poll_slurm",
+    f"""{SLURM_JOBS}, CASE WHEN submit_ts < (SELECT (min(submit_ts) + max(submit_ts)) // 2 FROM jobs) THEN 1 ELSE 2 END AS poll
+  FROM jobs""",
+)
+put("stream_slurm_two_landings", f"{SLURM_JOBS} FROM jobs")
+
+
 def draw(i: str, stream: int, seed: int = 42) -> str:
     x = f"(({i} * 48271 + {seed * 69621 + stream * 40692}) % 2147483647)"
     return f"(({x} * {x} % 2147483647 * 16807 + {x}) % 2147483647)"

@@ -126,6 +126,25 @@ def sacct_line_stats(jobs):
     return sacct.parse_stats(fx.raw_sacct(jobs))
 
 
+def _headed_dump(lines, folder):
+    """Write sacct lines with the columns turned round, each file with its header."""
+    names = sacct.DEFAULT_COLUMNS
+    fields = [F.get("t", F.lit(i)).alias(n) for i, n in reversed(list(enumerate(names)))]
+    turned = lines.select(F.split("value", r"\|").alias("t")).select(*fields)
+    turned.write.mode("append").csv(folder, sep="|", header=True, quote="\0", emptyValue="", nullValue="")
+
+
+@query
+def sacct_mixed_headers(spark, sf_dir):
+    """Half of the dump in files without a header, half in files with another column order."""
+    folder = scratch(spark, "sacct")
+    lines = fx.raw_sacct(fx.jobs(spark, sf_dir))
+    half = F.pmod(F.xxhash64("value"), F.lit(2))
+    lines.where(half == 0).write.mode("append").text(folder)
+    _headed_dump(lines.where(half == 1), folder)
+    return sacct.read_sacct(spark, folder).drop("runtime_requested_sec", "runtime_overrequest_ratio")
+
+
 @on_jobs
 def pbs_parse(jobs):
     return rounded(pbs.parse(fx.raw_pbs(jobs)))
@@ -974,6 +993,21 @@ def incremental_rows(jobs):
     return increment(swf.parse(fx.raw_swf(jobs)), cut.agg(F.max("submit_ts")).scalar()).select("job_id", "submit_ts")
 
 
+@query
+def incremental_poll_slurm(spark, sf_dir):
+    """Jobs of the older half of the time are polled, then the others from files with their own header."""
+    from cairntrace.streaming.increments import ingest_increment
+
+    landed, out, state = (scratch(spark, n) for n in ("landed", "polled", "state"))
+    jobs = fx.jobs(spark, sf_dir)
+    middle = jobs.agg(F.expr("(min(submit_ts) + max(submit_ts)) DIV 2").alias("m")).first()["m"]
+    fx.raw_sacct(jobs.where(F.col("submit_ts") < middle)).write.mode("append").text(landed)
+    ingest_increment(spark, "slurm", landed, out, state)
+    _headed_dump(fx.raw_sacct(jobs.where(F.col("submit_ts") >= middle)), landed)
+    ingest_increment(spark, "slurm", landed, out, state)
+    return spark.read.parquet(out).select("job_id", "submit_ts", "user_id", "poll")
+
+
 def _ids(jobs):
     """Generator ids 1..n, one per job of the given table."""
     return jobs.select((F.col("job_id") + 1).alias("id"))
@@ -1089,6 +1123,21 @@ def stream_ingest_two_landings(spark, sf_dir):
     return rounded(spark.read.parquet(out))
 
 
+@query
+def stream_slurm_two_landings(spark, sf_dir):
+    """The newer half of the jobs lands under headers and is polled, then the older half without."""
+    from cairntrace.streaming import jobs as st
+
+    landed, out, mark = (scratch(spark, n) for n in ("landed", "ingested", "mark"))
+    jobs = fx.jobs(spark, sf_dir)
+    middle = jobs.agg(F.percentile_approx("submit_ts", 0.5).alias("m")).first()["m"]
+    _headed_dump(fx.raw_sacct(jobs.where(F.col("submit_ts") >= middle)), landed)
+    st.land_jobs(spark, landed, "slurm", out, mark).awaitTermination()
+    fx.raw_sacct(jobs).write.mode("append").text(landed)
+    st.land_jobs(spark, landed, "slurm", out, mark).awaitTermination()
+    return spark.read.parquet(out).select("job_id", "submit_ts", "user_id")
+
+
 @query
 def stream_poll_totals(spark, sf_dir):
     """Statistics of a polled stream."""

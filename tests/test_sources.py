@@ -184,3 +184,24 @@ def test_polling_keeps_a_watermark(spark, tmp_path):
     assert increments.read_state(spark, str(tmp_path / "bad"))["poll_count"] == 0
     with pytest.raises(ValueError, match="unsupported source"):
         increments.ingest_increment(spark, "lsf", source, out, state)
+
+
+def test_sacct_header_holds_from_its_line_on(spark, tmp_path):
+    turned = "user|JOBID|Submit|Elapsed|ReqCPUS"
+    text = [SACCT[0], turned, "eve|200|2024-01-02 00:00|05:00|3", turned, "eve|201|2024-01-02 00:01|05:00|3"]
+    (tmp_path / "a.txt").write_text("\n".join(text))
+    (tmp_path / "b.txt").write_text(SACCT[0].replace("100", "300", 1))
+    jobs = {r.job_id: r for r in sacct.read_sacct(spark, str(tmp_path)).collect()}
+    assert sorted(jobs) == ["100", "200", "201", "300"]
+    assert jobs["100"].user_id == "ann" and jobs["201"].user_id == "eve" and jobs["300"].user_id == "ann"
+    stats = sacct.parse_stats(sacct.headed_lines(spark, str(tmp_path))).first()
+    # the second header of a file is no header any more
+    assert (stats.header_lines, stats.malformed_lines, stats.parsed_rows) == (1, 1, 4)
+
+
+def test_sacct_poll_reads_headers(spark, tmp_path):
+    source = tmp_path / "dump.txt"
+    source.write_text("user|JobID|Submit|Elapsed|ReqCPUS\neve|200|2024-01-02 00:00|05:00|3")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    assert increments.ingest_increment(spark, "slurm", str(source), out, state)["new_rows"] == 1
+    assert increments.ingest_increment(spark, "slurm", str(source), out, state)["new_rows"] == 0
