@@ -246,7 +246,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """
     others = [c for c in docs.columns if c not in (text_col, "pii_kinds")]
     text = F.col(text_col)
-    worth = text.rlike("[0-9]{2}|@")
+    # Each form has one of these: addresses like 8.8.8.8 have no two digits side by side.
+    worth = text.rlike(r"[0-9]{2}|[0-9]\.[0-9]|@")
     found = once(
         docs,
         {

@@ -172,6 +172,15 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert got[200]["text"] is None and got[201]["text"] == "" and got[200]["pii_kinds"] == []
 
 
+def test_addresses_of_single_digits_are_seen(spark):
+    texts = ["ask 8.8.8.8", "8.8.8.8 and 42", "1.2.3.4", "v 1.2.3", "no"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, "k").collect()}
+    assert [got[i]["pii_kinds"] for i in range(5)] == [["ip"], ["ip"], ["ip"], [], []]
+    assert got[0]["text"].split()[1] == got[1]["text"].split()[0] != "8.8.8.8" and got[2]["text"] != "1.2.3.4"
+    assert got[3]["text"] == texts[3] and got[4]["text"] == texts[4]
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
 
