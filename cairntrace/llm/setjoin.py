@@ -118,7 +118,7 @@ def _uid(step: int) -> int:
 
 def _counted(rows: DataFrame, shards: int, words_each: int) -> DataFrame:
     """Per step of a task and shard: hashes in the counted range with the number of their document
-    within the step; and once per step the documents (id, signature, size, counted shingles)."""
+    within the step; and once per step the documents (id, text hash, signature, size, counted shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step, (batch, texts) in enumerate(steps(batches)):
@@ -129,7 +129,8 @@ def _counted(rows: DataFrame, shards: int, words_each: int) -> DataFrame:
             owner = np.repeat(np.arange(len(texts)), sizes)
             inside = (values >> np.uint64(56)) < np.uint64(COUNTED)
             per = np.bincount(owner[inside], minlength=len(texts))
-            docs = np.stack([batch.column(0).to_numpy(zero_copy_only=False), names.view(np.int64), sizes, per])
+            named = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th")]
+            docs = np.stack([*named, names.view(np.int64), sizes, per])
             # copies within the step count once
             lead = np.zeros(len(texts), bool)
             lead[np.unique(names, return_index=True)[1]] = True
@@ -182,20 +183,20 @@ def _shared(packed: DataFrame) -> DataFrame:
 
 
 def _classified(shared: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, sig, n, open): one row per document; `open` if it may link to another class."""
+    """(doc_id, th, sig, n, open): one row per document; `open` if it may link to another class."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        docs = np.concatenate([np.frombuffer(x, "<i8").reshape(4, -1) for x in frame["docs"].dropna()], axis=1)
+        docs = np.concatenate([np.frombuffer(x, "<i8").reshape(5, -1) for x in frame["docs"].dropna()], axis=1)
         common = np.zeros(docs.shape[1], np.int64)
         for x in frame["counts"].dropna():
             number, n = np.frombuffer(x, "<u4").reshape(2, -1)
             common[number] += n
-        ids, names, sizes, per = docs
+        ids, hashes, names, sizes, per = docs
         # what only this document holds cannot be more than a link leaves out
         may = (sizes > 0) & (100 * (per - common) <= (100 - percent) * sizes)
-        return pd.DataFrame({"doc_id": ids, "sig": names, "n": sizes, "open": may})
+        return pd.DataFrame({"doc_id": ids, "th": hashes, "sig": names, "n": sizes, "open": may})
 
-    return shared.groupBy("uid").applyInPandas(run, "doc_id long, sig long, n long, open boolean")
+    return shared.groupBy("uid").applyInPandas(run, "doc_id long, th long, sig long, n long, open boolean")
 
 
 def _sets_of(texts: DataFrame, words_each: int) -> DataFrame:
@@ -358,8 +359,7 @@ def _spread(entries: DataFrame, labels: DataFrame, bitmaps: DataFrame | None) ->
     held_ = entries.mapInPandas(run, "shard long, sig long").distinct()
     if bitmaps is None:
         return held_.join(labels, "sig").select("shard", "sig", "comp", F.lit(b"").alias("bits"))
-    # a class that distinct texts of one id repeat has its bits once
-    known = bitmaps.dropDuplicates(["sig"]).join(labels, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "bits")
+    known = bitmaps.join(labels, "sig", "left").select("sig", F.coalesce("comp", "sig").alias("comp"), "bits")
     return held_.join(known, "sig").select("shard", "sig", "comp", "bits")
 
 
@@ -454,30 +454,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
-    docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row.
-
-    Words are the runs of characters other than ASCII white space, A-Z in lower case; a set
-    holds the distinct shingles of `words_each` words, or the whole sequence if it is shorter.
-    Null and empty texts have no shingles and link to nothing; their component is their own id.
-    A null id counts as the smallest.  Repeated rows are documents of one class.  Further
-    columns are not read.
-    """
+def _grouped(docs: DataFrame, words_each: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th (its text's hash), n, and the smallest (doc_id, th) that links reach, `first`, of every
+    row; a null id is NO_ID.  Ids may be null or repeated, so a document is told by both."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text.alias("text"))
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")
+    )
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     # a word and its space are some six bytes
     shards = int(size / 6 * COUNTED / 256 / SHARD) + 1
     known = written(_classified(_shared(_counted(rows, shards, words_each)), percent), "documents")
-    classes = known.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("open").alias("open"), F.first("n").alias("n"))
+    classes = known.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max("open").alias("open"), F.first("n").alias("n"))
     open_classes = written(classes.where("open").select("sig", "rep", "n"), "classes")
     total = open_classes.agg(F.sum("n")).first()[0] or 0
     shards = int(total / SHARD) + 1
-    # a representative's id may be shared by other texts: their sets have other names
-    texts = rows.join(open_classes.select(F.col("rep").alias("doc_id"), "sig").distinct(), "doc_id")
-    texts = texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "sig", "th"]).select("sig", "text")
+    # one text per class: the set of a class must be counted once
+    one = open_classes.select("rep.doc_id", "rep.th", "sig")
+    texts = rows.join(one, ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "sig"]).select("sig", "text")
     sets = written(_sets_of(texts, words_each), "sets")
     entries = written(_prefixes(sets, _frequencies(sets, shards), shards, percent), "entries")
     links = labels = None
@@ -486,17 +480,42 @@ def near_duplicates(
         found = written(_links(_pairs(entries, spread, turn, percent), sets, percent), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    names = known.join(labels, "sig", "left").select("doc_id", "n", "sig", F.coalesce("comp", "sig").alias("comp"))
+    names = known.join(labels, "sig", "left").select("doc_id", "th", "n", F.coalesce("comp", "sig").alias("comp"))
     smallest = (
-        classes.join(labels, "sig", "left")
-        .groupBy(F.coalesce("comp", "sig").alias("comp"))
-        .agg(F.min("rep").alias("component_id"))
+        classes.join(labels, "sig", "left").groupBy(F.coalesce("comp", "sig").alias("comp")).agg(F.min("rep").alias("first"))
     )
     none = F.col("n") == 0
-    linked = names.where(~none).join(smallest, "comp").select("doc_id", "n", "component_id")
-    alone = names.where(none).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    linked = names.where(~none).join(smallest, "comp").select("doc_id", "th", "n", "first")
+    alone = names.where(none).select("doc_id", "th", "n", F.struct("doc_id", "th").alias("first"))
+    return linked.unionByName(alone)
+
+
+def representatives(
+    docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, th: id and text hash (xxhash64) of the one document that stands for each component of
+    `near_duplicates`, that of the smallest id and then hash; each text without shingles stands for itself."""
+    found = _grouped(docs, words_each, percent, id_col, text_col)
+    kept = found.where(F.struct("doc_id", "th") == F.col("first")).select("doc_id", "th").distinct()
+    return kept.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "th")
+
+
+def near_duplicates(
+    docs: DataFrame, words_each: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row.
+
+    Words are the runs of characters other than ASCII white space, A-Z in lower case; a set
+    holds the distinct shingles of `words_each` words, or the whole sequence if it is shorter.
+    Null and empty texts have no shingles and link to nothing; their component is their own id.
+    A null id counts as the smallest.  Repeated rows are documents of one class.  Further
+    columns are not read.
+    """
+    found = _grouped(docs, words_each, percent, id_col, text_col)
 
     def back(c: str):
-        return F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
+        return F.when(F.col(c) != NO_ID, F.col(c))
 
-    return linked.unionByName(alone).select(back("doc_id"), F.col("n").alias("n_shingles"), back("component_id"))
+    return found.select(
+        back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("first.doc_id").alias("component_id")
+    )

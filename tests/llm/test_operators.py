@@ -377,6 +377,25 @@ def test_near_duplicates_are_exact(spark, corpus):
     assert setjoin.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_classes_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words, other, third, fourth = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (120, 90, 70, 60))
+    near = " ".join([*words[:119], "changed"])
+    other, third = " ".join(other), " ".join(third)
+    rows = [(1, " ".join(words)), (1, " ".join(words).upper()), (2, near), (None, other), (None, other.upper()),
+            (3, other + " end"), (None, third), (None, third + " end"), (None, ""), (4, " ".join(fourth)), (4, near + " end"),
+            (5, "")]
+    got = setjoin.near_duplicates(frame(spark, rows))
+    assert sorted(repr(tuple(r)) for r in got.collect()) == brute_components(rows)
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in corpus_pipeline.one_of_each_group(spark, frame(spark, rows), "").collect()]
+    assert len(kept) == 6 and {i for i, _ in kept} == {1, None, 4, 5}
+    assert sum(i is None and t.startswith(other) for i, t in kept) == 1
+    assert sum(i is None and t.startswith(third) for i, t in kept) == 1
+    assert (4, near + " end") not in kept
+
+
 def toxic_rows():
     rng = random.Random(8)
     rows = []
