@@ -16,8 +16,10 @@ from cairntrace.llm.batches import IdStore, held, mixed, mixed_int, steps
 from cairntrace.llm.common import NO_ID
 
 SPACE = "▁"
-#: Words whose segmentations a worker remembers.
-REMEMBERED = 240_000
+#: States of words, and steps between them, that a worker remembers.
+REMEMBERED = 400_000
+#: Words that a task works on at once.
+AT_ONCE = 1 << 16
 #: Longest word whose agenda is a plain list.
 SHORT = 48
 
@@ -107,15 +109,22 @@ class MergeModel:
                 out.extend(self.bytes[b] for b in s.lstrip("\0").encode() or b"\0")
         return out
 
-    def merge(self, word: str, key: int | None, below: int, made: list[tuple[int, int]] | None = None) -> list[int]:
+    def merge(
+        self,
+        word: str,
+        key: int | None,
+        below: int,
+        made: list[tuple[int, int]] | None = None,
+        skipped: frozenset[int] = frozenset(),
+    ) -> list[int]:
         """Ids of a word.
 
         The agenda holds the candidate merges; the best piece comes up first, then the leftmost.
-        With a key, a candidate whose keyed hash is below `below` is skipped for good.  Merges
-        made are noted as (place, id).
+        With a key, a candidate whose keyed hash is below `below` is skipped for good, as
+        are those in `skipped`, as id * 2^32 + place.  Merges made are noted as (place, id).
         """
         if len(word) > SHORT:
-            return self._merge_long(word, key, below, made)
+            return self._merge_long(word, key, below, made, skipped)
         symbols = self.symbols(word)
         rank, none = self.rank, self.none
         places = list(range(len(symbols)))
@@ -126,7 +135,7 @@ class MergeModel:
                 break
             i = agenda.index(best)
             got = self.by_rank[best]
-            if key is not None and chance(key, got, places[i]) < below:
+            if (skipped and got << 32 | places[i] in skipped) or (key is not None and chance(key, got, places[i]) < below):
                 agenda[i] = none
                 continue
             if made is not None:
@@ -139,7 +148,14 @@ class MergeModel:
                 agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], none)
         return self.ids_of(symbols)
 
-    def _merge_long(self, word: str, key: int | None, below: int, made: list[tuple[int, int]] | None) -> list[int]:
+    def _merge_long(
+        self,
+        word: str,
+        key: int | None,
+        below: int,
+        made: list[tuple[int, int]] | None,
+        skipped: frozenset[int] = frozenset(),
+    ) -> list[int]:
         """The same with a heap and linked neighbours: near-linear for texts without cuts."""
         rank, by_rank = self.rank, self.by_rank
         symbols: list[str | None] = list(self.symbols(word))
@@ -156,10 +172,11 @@ class MergeModel:
             best, i, merged = heapq.heappop(agenda)
             if symbols[i] is None or after[i] >= n or symbols[i] + symbols[after[i]] != merged:
                 continue
-            if key is not None and chance(key, by_rank[best], i) < below:
+            got = by_rank[best]
+            if (skipped and got << 32 | i in skipped) or (key is not None and chance(key, got, i) < below):
                 continue
             if made is not None:
-                made.append((i, by_rank[best]))
+                made.append((i, got))
             j = after[i]
             symbols[i], symbols[j] = merged, None
             after[i] = k = after[j]
@@ -184,26 +201,28 @@ class MergeModel:
 
 
 class Encoder:
-    """Encodes many texts, remembering each word's segmentation in each of `streams` keyed streams."""
+    """Encodes many texts.  Each occurrence of a word draws for its own candidate merges; what follows from
+    a word and the candidates it skips, a state, is remembered: the ids, and the merges that lead to them."""
 
-    def __init__(self, model: MergeModel, dropout: float, seed: int, streams: int) -> None:
-        self.model, self.streams = model, streams
+    def __init__(self, model: MergeModel, dropout: float, seed: int) -> None:
+        self.model = model
         self.below = min(int(dropout * 2.0**64), 2**64 - 1)
-        self.keys = np.array([mixed_int(seed * 0x9E3779B97F4A7C15 + v + 1) for v in range(streams)], np.uint64)
         self.seed = np.uint64(mixed_int(seed))
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: list[str] = []
-        self.slots = np.full((1 << 12, self.streams), -1, np.int64)
         self.store = IdStore()
-        self.plain = np.empty(0, np.int64)
-        # merges of the plain segmentations, as id * 2^32 + place
+        # merges of the states, as id * 2^32 + place
         self.merges = IdStore(np.int64)
+        # per state its word and the candidates skipped; and the states by both
+        self.words: list[str] = []
+        self.skipped: list[frozenset[int]] = []
+        self.states: dict[tuple[str, frozenset[int]], int] = {}
+        self.steps: dict[tuple[int, bytes], int] = {}
 
     def _number(self, words: list[str]) -> None:
-        """Gives new words their numbers and their segmentations without dropout."""
+        """Gives new words their states without dropout."""
         flat, ends, merges, merge_ends = [], [], [], []
         model = self.model
         tree, sizes = model.tree, model.sizes
@@ -222,62 +241,84 @@ class Encoder:
             flat += ids
             ends.append(len(flat))
             merge_ends.append(len(merges))
-        first, n = self.store.n, len(self.words)
+        first = self.store.n
         self.store.add_all(np.array(flat, np.int32), np.array(ends, np.int64))
         self.merges.add_all(np.array(merges, np.int64), np.array(merge_ends, np.int64))
-        self.plain = np.concatenate([self.plain, np.arange(first, self.store.n)])
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.known.update(zip(words, range(first, self.store.n), strict=True))
         self.words += words
-        while len(self.words) > len(self.slots):
-            self.slots = np.concatenate([self.slots, np.full_like(self.slots, -1)])
-
-    def _segment(self, number: np.ndarray, stream: np.ndarray) -> None:
-        """Fills slots: a word's plain list, or a new one if one of its merges is skipped."""
-        word_key = np.fromiter((zlib.crc32(self.words[i].encode()) for i in number.tolist()), np.uint64, len(number))
-        keys = self.keys[stream] ^ word_key
-        self.slots[number, stream] = self.plain[number]
-        made, ends = self.merges.gather(number)
-        if not self.below or not len(made):
-            return
-        owner = np.repeat(np.arange(len(number)), np.diff(ends))
-        drawn = chances(keys[owner], made >> 32, made & 0xFFFFFFFF)
-        skipped = np.unique(owner[drawn < np.uint64(self.below)])
-        flat, list_ends = [], []
-        merge, words, below = self.model.merge, self.words, self.below
-        for i, key in zip(number[skipped].tolist(), keys[skipped].tolist(), strict=True):
-            flat += merge(words[i], key, below)
-            list_ends.append(len(flat))
-        first = self.store.n
-        self.store.add_all(np.array(flat, np.int32), np.array(list_ends, np.int64))
-        self.slots[number[skipped], stream[skipped]] = np.arange(first, self.store.n)
+        self.skipped += [frozenset()] * len(words)
+
+    def _after(self, state: int, more: frozenset[int]) -> int:
+        """The state of the same word that skips `more` candidates."""
+        word, skipped = self.words[state], self.skipped[state] | more
+        got = self.states.get((word, skipped))
+        if got is None:
+            made: list[tuple[int, int]] = []
+            ids = self.model.merge(word, None, 0, made, skipped)
+            got = self.states[word, skipped] = self.store.n
+            self.store.add_all(np.array(ids, np.int32), np.array([len(ids)], np.int64))
+            merges = np.array([m << 32 | i for i, m in made], np.int64)
+            self.merges.add_all(merges, np.array([len(merges)], np.int64))
+            self.words.append(word)
+            self.skipped.append(skipped)
+        return got
+
+    def _drawn(self, states: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The last states of occurrences with these keys.  A merge of a state that the occurrence's draw
+        skips leads on to the state without it, until none is skipped: what is skipped is skipped for
+        good, so the order in which this comes out makes no difference."""
+        states = states.copy()
+        open_ = np.arange(len(states))
+        while len(open_):
+            made, ends = self.merges.gather(states[open_])
+            owner = np.repeat(np.arange(len(open_)), np.diff(ends))
+            hit = np.flatnonzero(chances(keys[open_][owner], made >> 32, made & 0xFFFFFFFF) < np.uint64(self.below))
+            if not len(hit):
+                break
+            owner, cand, at = owner[hit], made[hit], (hit - ends[owner[hit]]).astype(np.int32)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            last = np.append(first[1:], len(owner))
+            open_ = open_[owner[first]]
+            raw, to, steps_ = at.tobytes(), [], self.steps
+            for state, a, b in zip(states[open_].tolist(), first.tolist(), last.tolist(), strict=True):
+                step = (state, raw[4 * a : 4 * b])
+                got = steps_.get(step)
+                if got is None:
+                    got = steps_[step] = self._after(state, frozenset(cand[a:b].tolist()))
+                to.append(got)
+            states[open_] = to
+        return states
 
     def encode(self, texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids begin (with the end)."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
         cut = self.model.cut.findall
         split = [cut(" " + t.decode()) if t else [] for t in texts]
         words = list(chain.from_iterable(split))
-        which = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            found = [words[i] for i in missing.tolist()]
-            self._number(list(dict.fromkeys(found)))
-            which[missing] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
         sizes = np.array([len(s) for s in split], np.int64)
         first = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(sizes, out=first[1:])
         place = np.arange(len(words)) - np.repeat(first[:-1], sizes)
         owner = mixed(ids.astype(np.int64).view(np.uint64) ^ self.seed)
-        stream = (mixed(np.repeat(owner, sizes) + place.astype(np.uint64)) % np.uint64(self.streams)).astype(np.int64)
-        slots = self.slots[which, stream]
-        open_ = np.flatnonzero(slots < 0)
-        if len(open_):
-            pairs = np.unique(which[open_] * self.streams + stream[open_])
-            self._segment(pairs // self.streams, pairs % self.streams)
-            slots = self.slots[which, stream]
-        flat, ends = self.store.gather(slots)
-        return flat, ends[first]
+        keys = mixed(np.repeat(owner, sizes) + place.astype(np.uint64))
+        lists, list_sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for a in range(0, len(words), AT_ONCE):
+            some = words[a : a + AT_ONCE]
+            if len(self.words) + len(self.steps) > REMEMBERED:
+                self.forget()
+            which = np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
+            missing = np.flatnonzero(which < 0)
+            if len(missing):
+                found = [some[i] for i in missing.tolist()]
+                self._number(list(dict.fromkeys(found)))
+                which[missing] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+            if self.below:
+                which = self._drawn(which, keys[a : a + AT_ONCE])
+            flat, ends = self.store.gather(which)
+            lists.append(flat)
+            list_sizes.append(np.diff(ends))
+        ends = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.concatenate(list_sizes), out=ends[1:])
+        return np.concatenate(lists), ends[first]
 
 
 _MODELS: dict[str, MergeModel] = {}
@@ -294,15 +335,13 @@ def encode(
     model_path: str,
     dropout: float = 0.1,
     seed: int = 0,
-    streams: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, text, ids array<int>: each text in pieces of the model, some merges left out.
 
-    Every word occurrence draws one of `streams` keyed streams by (seed, doc_id, place of the
-    word); within a stream each candidate merge is skipped with probability `dropout` by a
-    hash of the stream's key, the word, the place and the piece.  The same row, seed and
+    Each candidate merge of each word occurrence is skipped with probability `dropout` by a hash
+    of (seed, doc_id, place of the word) and of the merge's place and piece.  The same row, seed and
     settings always give the same ids, wherever it is computed.  Dropout 0 gives the
     model's own segmentation.  Characters outside the vocabulary become byte pieces.
 
@@ -311,7 +350,7 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settings = (dropout, seed, streams)
+        settings = (dropout, seed)
         encoder = held(("pieces", model_path, *settings), lambda: Encoder(_model(model_path), *settings))
         for batch, texts in steps(batches):
             numbers = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)

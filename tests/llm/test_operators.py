@@ -209,6 +209,24 @@ def test_subwords_are_lossless_and_plain_without_dropout(spark, corpus):
     assert subwords.encode(df.limit(0), path).count() == 0
 
 
+def test_each_occurrence_draws_its_own_merges():
+    model = subwords.MergeModel(piece_model())
+    dropout, seed = 0.2, 3
+    encoder = subwords.Encoder(model, dropout, seed)
+    texts = [b"unbelievable " * 400, prose(random.Random(9), 200).encode(), b"thousandfold" * 40, b""]
+    ids = np.array([7, -3, 8, 9])
+    flat, ends = encoder.encode(texts, ids)
+    assert len({tuple(model.merge(" unbelievable", int(k), encoder.below)) for k in range(400)}) > 8
+    owner = subwords.mixed(ids.view(np.uint64) ^ encoder.seed)
+    for d, t in enumerate(texts):
+        words = model.cut.findall(" " + t.decode()) if t else []
+        keys = subwords.mixed(owner[d] + np.arange(len(words), dtype=np.uint64)).tolist()
+        want = [model.merge(w, k, encoder.below) for w, k in zip(words, keys, strict=True)]
+        assert flat[ends[d] : ends[d + 1]].tolist() == [i for x in want for i in x]
+        if not d:
+            assert len({tuple(x) for x in want}) > 8
+
+
 def test_agendas_agree():
     model = subwords.MergeModel(piece_model())
     rng = random.Random(2)
