@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, repeat
 
@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cairntrace.llm.batches import held, steps
-from cairntrace.llm.common import written
+from cairntrace.llm.common import WHITE, written
 
 #: Hashed tables of the character model: a fixed size, whatever the corpus.
 TABLE_BITS = 18
-#: Words whose features a worker remembers.
+#: Words whose features, and letters whose log probabilities, a worker remembers.
 REMEMBERED = 120_000
 #: Rows of the labelled sample that calibrate the score; the others find the words.
 CALIBRATE = 3
@@ -37,8 +37,6 @@ LOOKS = {
 GAPS = ".-_*~'`·,/"
 #: Log probabilities of writing a letter as a look-alike, of a gap, and of a lengthened letter.
 WRITE_AS, WRITE_GAP, WRITE_LONG = -1.5, -0.7, -0.5
-#: Longest disguised word that is decoded; longer ones are no words.
-LONGEST = 64
 
 _KEPT = np.full(256, 32, np.uint8)
 _KEPT[97:123] = np.arange(97, 123)
@@ -46,6 +44,12 @@ _KEPT[65:91] = np.arange(97, 123)
 _KEPT[128:] = np.arange(128, 256)
 _HASH = np.uint32(2654435761)
 _EDGE = re.compile(r"^[^\w@$!+|€£(*]+|[\W_]+$")
+_BEFORE = re.compile(r"^[\W_]+")
+#: What follows a word and may be part of it.
+_TAIL = re.compile("[" + re.escape("".join(dict.fromkeys([*LOOKS, *GAPS]))) + "]*")
+#: Characters that stand for no letter and no gap: they part words.
+_NONE = re.compile(r"(?:[\W\d_](?<![" + re.escape("".join(dict.fromkeys([*LOOKS, *GAPS]))) + "]))+")
+_GAPS_ONLY = "".join(c for c in GAPS if c not in LOOKS)
 _ODD = re.compile(r"[^\W\d_]")
 _LONG = re.compile(r"(.)\1\1")
 
@@ -62,12 +66,20 @@ class CharModel:
     threes: np.ndarray
     ones: np.ndarray
 
+    known: dict[tuple[bytes, int], float] = field(default_factory=dict, repr=False, compare=False)
+
     def log_p(self, context: bytes, byte: int) -> float:
-        a, b, c = context
-        three = a << 16 | b << 8 | c
-        n = float(self.threes[_slot4(three)])
-        prior = (float(self.ones[byte]) + 1) / (float(self.ones.sum()) + 256)
-        return math.log((float(self.fours[_slot4(three << 8 | byte)]) + 4 * prior) / (n + 4))
+        got = self.known.get((context, byte))
+        if got is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            a, b, c = context
+            three = a << 16 | b << 8 | c
+            n = float(self.threes[_slot4(three)])
+            prior = (float(self.ones[byte]) + 1) / (float(self.ones.sum()) + 256)
+            got = math.log((float(self.fours[_slot4(three << 8 | byte)]) + 4 * prior) / (n + 4))
+            self.known[context, byte] = got
+        return got
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
@@ -104,9 +116,11 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     )
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]] | None:
-    """Per written character or run of one letter: what may have been meant, with log probabilities."""
+def _lattice(token: str) -> tuple[list[list[tuple[str, float]]], list[int]] | None:
+    """Per written character or run of one letter: what may have been meant, with log probabilities;
+    and where each begins (with the end)."""
     out: list[list[tuple[str, float]]] = []
+    begins = [0]
     i, n = 0, len(token)
     while i < n:
         c = token[i]
@@ -116,6 +130,7 @@ def _lattice(token: str) -> list[list[tuple[str, float]]] | None:
         if c.isalpha():
             out.append([(c, WRITE_LONG), (c * 2, WRITE_LONG)] if j - i > 2 else [(c * (j - i), 0.0)])
             i = j
+            begins.append(i)
             continue
         long = j - i > 2
         j = j if long else i + 1
@@ -128,31 +143,65 @@ def _lattice(token: str) -> list[list[tuple[str, float]]] | None:
             return None
         out.append(meant)
         i = j
-    return out
+        begins.append(i)
+    return out, begins
+
+
+def _text(node: tuple | None, until: tuple | None = None) -> str:
+    """The letters noted from `until` (or the beginning) to `node`."""
+    parts = []
+    while node is not until:
+        node, letters = node
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
+def _earlier(a: tuple, b: tuple) -> bool:
+    """Whether the text of `a` comes before that of `b`; both have as many nodes."""
+    x, y = a, b
+    while x is not y:
+        x, y = x[0], y[0]
+    return _text(a, x) < _text(b, x)
+
+
+def _step(best: dict, meant: list[tuple[str, float]], model: CharModel) -> dict:
+    """The best ways to each state, (score, (way before, letters)), after one more place of the lattice."""
+    reached: dict[bytes, tuple[float, tuple]] = {}
+    for state, (score, before) in best.items():
+        for letters, cost in meant:
+            s, total = state, score + cost
+            for byte in letters.encode():
+                total += model.log_p(s, byte)
+                s = s[1:] + bytes([byte])
+            old = reached.get(s)
+            # ties go to the word that comes first
+            if old is None or total > old[0] or (total == old[0] and _earlier((before, letters), old[1])):
+                reached[s] = (total, (before, letters))
+    return reached
+
+
+def _decoded(token: str, model: CharModel, least: int) -> list[str]:
+    """The likeliest words behind a written token that ends at each of its places from `least` on:
+    Viterbi over its lattice, the last three bytes being the state.  Its time grows with the length;
+    there are no words if a character can stand for no letter."""
+    lattice = _lattice(token)
+    if lattice is None:
+        return []
+    words: list[str] = []
+    best: dict[bytes, tuple[float, tuple | None]] = {b"   ": (0.0, None)}
+    for meant, end in zip(lattice[0], lattice[1][1:], strict=True):
+        best = _step(best, meant, model)
+        if end >= least:
+            ways = list(_step(best, [(" ", 0.0)], model).values())
+            top = max(score for score, _ in ways)
+            words.append(max(_text(way) for score, way in ways if score == top).strip())
+    return words
 
 
 def restore(token: str, model: CharModel) -> str | None:
-    """The likeliest word behind a written token: Viterbi over its lattice, the last three bytes
-    being the state; None if a character can stand for no letter."""
-    lattice = _lattice(token) if len(token) <= LONGEST else None
-    if lattice is None:
-        return None
-    best: dict[bytes, tuple[float, str]] = {b"   ": (0.0, "")}
-    for meant in [*lattice, [(" ", 0.0)]]:
-        reached: dict[bytes, tuple[float, str]] = {}
-        for state, (score, text) in best.items():
-            for letters, cost in meant:
-                s, total = state, score + cost
-                for byte in letters.encode():
-                    total += model.log_p(s, byte)
-                    s = s[1:] + bytes([byte])
-                old = reached.get(s)
-                new = (total, text + letters)
-                # ties go to the word that comes first
-                if old is None or total > old[0] or (total == old[0] and new[1] < old[1]):
-                    reached[s] = new
-        best = reached
-    return max(best.values(), key=lambda x: (x[0], x[1]))[1].strip()
+    """The likeliest word behind a written token; None if a character can stand for no letter."""
+    words = _decoded(token, model, len(token))
+    return words[-1] if words else None
 
 
 def disguised(token: str) -> bool:
@@ -172,6 +221,32 @@ def plain_word(piece: str, model: CharModel) -> str:
     return token
 
 
+def words_of(piece: str, model: CharModel) -> list[str]:
+    """The words a piece may stand for: `plain_word`, and those in which look-alikes before it are no
+    letters, or ones after it are."""
+    low = piece.lower()
+    token = _EDGE.sub("", low)
+    words = [plain_word(piece, model)]
+    if not token:
+        return words
+    tail = _TAIL.match(low, low.index(token) + len(token)).group().rstrip(_GAPS_ONLY)
+    bare = _BEFORE.sub("", token)
+    if bare != token:
+        words.append(plain_word(bare, model))
+    for start in dict.fromkeys((token, bare)):
+        if tail and disguised(start + tail):
+            words += _decoded(start + tail, model, len(start) + 1)
+    return list(dict.fromkeys(words))
+
+
+def features_apart(run: str, sizes: Iterable[int]) -> set[str]:
+    """Features of the words of these sizes that letters written apart may hold, and their prefixes:
+    where one word ends and the next begins is not told."""
+    n = len(run)
+    out = {run[i : i + k] for k in sizes if 3 <= k <= n for i in range(n - k + 1)}
+    return out.union(run[i : i + k] + "-" for k in (4, 5) for i in range(n - k))
+
+
 def features_of(word: str) -> list[str]:
     """A word and its prefixes of four and five letters."""
     if len(word) < 3:
@@ -185,10 +260,10 @@ class Reader:
 
     model: CharModel
     known: dict[bytes, int] = field(default_factory=dict)
-    words: list[str] = field(default_factory=list)
+    words: list[list[str]] = field(default_factory=list)
 
     def read(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[str]]]:
-        """Per text: numbers of its pieces' words, and the words behind letters written apart."""
+        """Per text: numbers of its pieces' words, and the runs of letters behind those written apart."""
         if len(self.words) > REMEMBERED:
             self.known, self.words = {}, []
         known = self.known
@@ -200,7 +275,7 @@ class Reader:
             found = [pieces[i] for i in missing.tolist()]
             for piece in dict.fromkeys(found):
                 known[piece] = len(self.words)
-                self.words.append(plain_word(piece.decode(), self.model))
+                self.words.append(words_of(piece.decode(), self.model))
             which[missing] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         at = 0
@@ -213,11 +288,11 @@ class Reader:
                 for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
                     if len(run) >= 3:
                         token = "".join(s[i].decode() for i in run.tolist()).lower()
-                        word = restore(token, self.model) if _ODD.search(token) else None
-                        if word:
-                            # where one word ends and the next begins is not told
-                            ends = range(3, 13)
-                            apart += {word[i : i + k] for i in range(len(word) - 2) for k in ends if i + k <= len(word)}
+                        for part in _NONE.split(token):
+                            part = part.strip(_GAPS_ONLY)
+                            word = restore(part, self.model) if len(part) > 2 and _ODD.search(part) else None
+                            if word:
+                                apart.append(word)
             yield numbers, apart
             at += len(s)
 
@@ -269,13 +344,17 @@ def _frequencies(sample: DataFrame, model: CharModel) -> DataFrame:
         for batch, texts in steps(batches):
             labels = batch.column(1).to_pylist()
             for y, (numbers, apart) in zip(labels, reader.read(texts), strict=True):
-                words = {reader.words[i] for i in np.unique(numbers).tolist()}.union(apart)
-                counts[y].update({f for w in words for f in features_of(w)})
+                words = {w for i in np.unique(numbers).tolist() for w in reader.words[i]}
+                found = {f for w in words for f in features_of(w)}
+                counts[y].update(found.union(*[features_apart(run, range(3, longest + 1)) for run in apart]))
             if len(counts[0]) + len(counts[1]) > REMEMBERED:
                 yield rows()
         yield rows()
 
     distinct = sample.groupBy("text").agg(F.max("y").alias("y"))
+    # words written apart are looked for up to the longest one that is written together
+    sizes = F.transform(F.split("text", WHITE), F.length)
+    longest = sample.agg(F.max(F.array_max(sizes))).first()[0] or 0
     made = distinct.mapInArrow(run, "feature string, toxic long, clean long")
     return made.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -287,6 +366,7 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(scorer.model)
         known = scorer.evidence
+        lengths = sorted({len(f) for f in known})
         carry = np.zeros(0, bool)
 
         def carrying(word: str) -> list[str]:
@@ -299,10 +379,11 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> DataFrame:
                 if reader.words is not before:
                     before, carry = reader.words, carry[:0]
                 if len(carry) < len(reader.words):
-                    new = [bool(carrying(w)) for w in reader.words[len(carry) :]]
+                    new = [any(map(carrying, words)) for words in reader.words[len(carry) :]]
                     carry = np.concatenate([carry, np.array(new, bool)])
-                words = {reader.words[i] for i in numbers[carry[numbers]].tolist()}.union(apart)
-                out.append(math.fsum(sorted(known[f] for f in {f for w in words for f in carrying(w)})))
+                words = {w for i in numbers[carry[numbers]].tolist() for w in reader.words[i]}
+                found = {f for w in words for f in carrying(w)}.union(*[features_apart(run, lengths) for run in apart])
+                out.append(math.fsum(sorted(known[f] for f in found if f in known)))
             yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*names, "evidence"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("evidence", DoubleType())]))

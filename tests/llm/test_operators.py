@@ -444,6 +444,32 @@ def test_toxicity_sees_through_disguises(spark):
     assert toxicity.score(df, empty).where("score < 0.3").count() == len(tests)
 
 
+def test_toxicity_of_long_runs_and_word_ends(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = prose(rng, 60).split()
+        if i % 8 == 0:
+            for _ in range(3):
+                words[rng.randrange(len(words))] = rng.choice(["idiot", "worthless", "scoundrelishness"])
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    scorer = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert {"idiot", "worthless", "scoundrelishness"} <= set(scorer.evidence)
+    for piece, meant in (("idio+", "idiot"), ("worthle$$", "worthless"), ("idiot!!", "idiot"), ("(idiot)", "idiot"),
+                         ("*1dio+*", "idiot"), ("i" + "d" * 100 + "iot", "idiot"), ("i.." + "." * 80 + "diot", "idiot")):
+        assert meant in toxicity.words_of(piece, scorer.model), piece
+    letters = "theandouringerth" * 6 + "idiot" + "rethaninger" * 9
+    assert len(letters) >= 200
+    clean = prose(random.Random(77), 80)
+    tests = [(1, clean), (2, " ".join(letters)), (3, " ".join("then ? idiot , worthless".replace(" ", ""))), (4, " ".join("anscoundrelishnesser")),
+             (5, " ".join(letters.replace("idiot", "")))]
+    df = spark.createDataFrame(tests, "doc_id long, text string")
+    got = {r["doc_id"]: r["evidence"] for r in toxicity._evidence(df, scorer).collect()}
+    assert got[1] == got[5] == 0 and got[2] >= scorer.evidence["idiot"]
+    assert got[3] >= scorer.evidence["idiot"] + scorer.evidence["worthless"] and got[4] >= scorer.evidence["scoundrelishness"]
+
+
 def test_sha_of_kept_bytes_matches_query(spark):
     from cairntrace.llm.queries import QUERIES
 
