@@ -1094,7 +1094,7 @@ def json_reports(spark, sf_dir):
 
 @query
 def dataset_fingerprint(spark, sf_dir):
-    return quality.dataset_fingerprint(spark, [f"{sf_dir}/orders.parquet", f"{sf_dir}/events.parquet"])
+    return quality.dataset_fingerprint(spark, f"{sf_dir}/*.parquet")
 
 
 @query
@@ -1236,16 +1236,13 @@ def _learning_split(jobs):
     return tuple(rows.filter(F.col("segment") == s) for s in ("train", "valid", "test"))
 
 
-SMALL = {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2}
-
-
 @on_jobs
 def runtime_model(jobs):
     """Test losses of the quantile model next to the naive predictors."""
     from cairntrace.operators import learning
 
     train, valid, test = _learning_split(jobs)
-    scored = learning.fit_runtime(train, valid, SMALL).score(test)
+    scored = learning.fit_runtime(train, valid).score(test)
     return accuracy.evaluate_quantiles(scored, train)
 
 
@@ -1254,15 +1251,14 @@ def resource_model(jobs):
     from cairntrace.operators import learning
 
     df = jobs.withColumn("requested_cpus", (1 + (F.col("job_id") * 31 + F.col("wait_sec")) % 130).cast("int"))
-    return learning.fit_resource(df, trees=5)[1]
+    return learning.fit_resource(df)[1]
 
 
 @on_jobs
 def tuning(jobs):
     from cairntrace.operators import learning
 
-    space = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.3]}
-    return learning.tune(coerce.training_frame(_settled_features(jobs)), 2, 2, space=space)
+    return learning.tune(coerce.training_frame(_settled_features(jobs)))
 
 
 def _settled_features(jobs):
@@ -1276,5 +1272,5 @@ def importance(jobs):
     from cairntrace.operators import learning
 
     train, valid, test = _learning_split(jobs)
-    model = learning.fit_runtime(train, valid, SMALL)
-    return learning.importance(model.score, test, ["runtime_requested_sec", "user_id"], repeats=2)
+    model = learning.fit_runtime(train, valid)
+    return learning.importance(model.score, test)
