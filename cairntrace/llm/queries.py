@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairntrace.llm import chat, decision_list, packing, pii, repeats, rule_ensemble, setjoin, subwords, topk, toxicity
+from cairntrace.llm import (
+    bilinear, chat, decision_list, merkle, packing, pii, repeats, rule_ensemble, runs, setjoin, subwords, topk, toxicity,
+)
 from cairntrace.llm.common import held_out, table, written
 from cairntrace.llm.textstats import RATES, labelled_sample, text_stats
 
@@ -170,3 +172,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bilinear.score(docs, bilinear.train(docs.where(~held_out(F.col("doc_id"), 7, 2))))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), extend=True).drop("runs")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
