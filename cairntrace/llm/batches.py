@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that a task works on at once.
 STEP_BYTES = 2_000_000
@@ -55,6 +56,44 @@ def steps(
             yield batch.slice(first), texts[first:]
 
 
+class Kinds:
+    """Distinct words of a step: their bytes one after the other, where each ends, and how long it is."""
+
+    def __init__(self, column: pa.Array) -> None:
+        self.column = column.cast(pa.binary())
+        _, offsets, raw = self.column.buffers()
+        bounds = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+        self.raw = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        self.ends, self.sizes = bounds[1:], np.diff(bounds)
+
+    def words(self) -> list[bytes]:
+        raw, ends = self.raw.tobytes(), self.ends.tolist()
+        return [raw[b - n : b] for b, n in zip(ends, self.sizes.tolist(), strict=True)]
+
+
+def word_steps(
+    batches: Iterator[pa.RecordBatch], text_col: str = "text", each: int = STEP_BYTES
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Kinds]]:
+    """Slices of the batches as `steps` gives them, with their words in lower case (A-Z only): the number
+    of words per text, each word's place among the distinct words, and those."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(texts):
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + each, side="right")))
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(first, last - first)))
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            kinds, which = Kinds(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+            # white space at either end of a text leaves an empty word there
+            some = kinds.sizes[which] > 0
+            upto = np.concatenate([[0], np.cumsum(some)])
+            yield batch.slice(first, last - first), np.diff(upto[offsets - offsets[0]]), which[some], kinds
+            first = last
+
+
 _HELD: dict = {}
 
 

@@ -14,8 +14,8 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import chain, repeat
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import held, steps
+from cairntrace.llm.batches import Kinds, held, word_steps
 from cairntrace.llm.common import NO_ID, held_out, written
 
 #: Words with an item of their own, and buckets of all others.
@@ -34,7 +34,9 @@ FREQUENT, FREQUENT_BYTES = 65_536, 256
 #: Length of a vector, noise items and tokens of a training step, rounds after which tasks' models are averaged.
 WIDTH, NOISE, BATCH, ROUNDS = 24, 128, 4096, 2
 RATE = 0.1
-#: Distinct words that a task counts at once, and that a worker remembers.
+#: Tokens that are held against the noise at once.
+PIECE = 512
+#: Distinct words that a task counts at once.
 REMEMBERED = 300_000
 #: Sums of many tasks are taken in these fractions, so that they don't depend on an order.
 FRACTION = 4096
@@ -45,7 +47,19 @@ END = b""
 
 
 def bucket_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % BUCKETS
+    """Told by the last three bytes."""
+    last = int.from_bytes(word[-3:], "big")
+    return (last * 2654435761 & 0xFFFFFFFF) % BUCKETS
+
+
+def buckets_of(kinds: Kinds) -> np.ndarray:
+    """`bucket_of` of each word."""
+    last = np.zeros(len(kinds.sizes), np.uint64)
+    for back in (3, 2, 1):
+        at = kinds.ends - back
+        byte = kinds.raw[np.maximum(at, 0)] if len(kinds.raw) else np.zeros(len(at), np.uint8)
+        last = last * np.uint64(256) + np.where(kinds.sizes >= back, byte, 0).astype(np.uint64)
+    return ((last * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -62,10 +76,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             counts.clear()
             return pa.record_batch(made, ["word", "bucket", "n"])
 
-        for _, texts in steps(batches):
-            for text in texts:
-                counts.update(text.lower().split())
-            counts[END] += len(texts)
+        for _, sizes, which, kinds in word_steps(batches):
+            met = np.bincount(which, minlength=len(kinds.sizes)).tolist()
+            counts.update({w: n for w, n in zip(kinds.words(), met, strict=True) if n})
+            counts[END] += len(sizes)
             if len(counts) > REMEMBERED:
                 yield rows()
         if counts:
@@ -199,24 +213,38 @@ class Trainer:
         self.shares = shares
         self.offset = np.log(NOISE * shares).astype(np.float32)
         self.seen = {p: np.full_like(getattr(self.model, p), 1.0) for p in Bilinear.PARTS}
+        # small and written again and again: fresh memory for a whole batch costs more than its products
+        self.by_noise = np.empty((PIECE, NOISE), np.float32)
 
     def step(self, target: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray) -> None:
         """One batch: each target is told apart from the batch's noise items, drawn by their shares."""
         m = self.model
-        x, y = m.inputs[near], m.inputs[far]
-        r = x @ m.near + y @ m.far
-        q, qn = m.outputs[target], m.outputs[noise]
-        s = np.einsum("ij,ij->i", r, q) + m.bias[target] - self.offset[target]
-        sn = r @ qn.T + (m.bias[noise] - self.offset[noise])
+        q, qn = m.outputs.take(target, axis=0), m.outputs[noise]
+        r = (m.inputs @ m.near).take(near, axis=0) + (m.inputs @ m.far).take(far, axis=0)
+        s = np.einsum("ij,ij->i", r, q) + (m.bias - self.offset).take(target)
         g = 1 / (1 + np.exp(np.clip(s, -30, 30)))
-        gn = -1 / (1 + np.exp(np.clip(-sn, -30, 30)))
-        dr = g[:, None] * q + gn @ qn
+        dr = g[:, None] * q
+        # a column of ones lets the products take in the biases, and sum up their slopes
+        ones = np.concatenate([r, np.ones((len(r), 1), np.float32)], 1)
+        negative = -np.concatenate([qn, (m.bias - self.offset)[noise][:, None]], 1).T
+        of_noise = np.zeros((NOISE, WIDTH + 1), np.float32)
+        for i in range(0, len(r), PIECE):
+            part = ones[i : i + PIECE]
+            gn = self.by_noise[: len(part)]
+            np.matmul(part, negative, out=gn)
+            with np.errstate(over="ignore"):
+                np.exp(gn, out=gn)
+            gn += 1
+            np.divide(np.float32(-1), gn, out=gn)
+            dr[i : i + PIECE] += gn @ qn
+            of_noise += gn.T @ part
         outputs = _rows_summed(target, g[:, None] * r)
-        np.add.at(outputs, noise, gn.T @ r)
-        bias = np.bincount(target, g, minlength=ITEMS) + np.bincount(noise, gn.sum(axis=0), minlength=ITEMS)
-        inputs = _rows_summed(near, dr @ m.near.T) + _rows_summed(far, dr @ m.far.T)
+        np.add.at(outputs, noise, of_noise[:, :-1])
+        bias = np.bincount(target, g, minlength=ITEMS) + np.bincount(noise, of_noise[:, -1], minlength=ITEMS)
+        by_near, by_far = _rows_summed(near, dr), _rows_summed(far, dr)
+        inputs = by_near @ m.near.T + by_far @ m.far.T
         for part, slope in (
-            ("inputs", inputs), ("outputs", outputs), ("bias", bias.astype(np.float32)), ("near", x.T @ dr), ("far", y.T @ dr)
+            ("inputs", inputs), ("outputs", outputs), ("bias", bias.astype(np.float32)), ("near", m.inputs.T @ by_near), ("far", m.inputs.T @ by_far),
         ):
             seen = self.seen[part]
             seen += slope * slope
@@ -225,15 +253,13 @@ class Trainer:
 
 @dataclass
 class Tokens:
-    """Per worker: the frequent words' numbers, and those of words met before."""
+    """Per worker: the frequent words' numbers, and what belongs to each number."""
 
     lex: Lexicon
-    known: dict[bytes, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         n = len(self.lex.words)
         self.frequent = {w: i for i, w in enumerate(self.lex.words)}
-        self.known = dict(self.frequent)
         self.n = n
         items = np.arange(n + BUCKETS) + 1
         items[WORDS:n] = [1 + WORDS + bucket_of(w) for w in self.lex.words[WORDS:]]
@@ -244,19 +270,10 @@ class Tokens:
         self.log_c = np.concatenate([np.log10(self.lex.counts + 1.0), np.zeros(BUCKETS)])
         self.inside = np.where(items > WORDS, self.log_c - unseen[np.maximum(items - 1 - WORDS, 0)], 0.0)
 
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+    def numbers(self, kinds: Kinds) -> np.ndarray:
         """Numbers of words: of a frequent one its rank, of another its bucket after those."""
-        if len(self.known) > self.n + REMEMBERED:
-            self.known = dict(self.frequent)
-        known = self.known
-        out = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(out < 0)
-        if len(missing):
-            found = [pieces[i] for i in missing.tolist()]
-            for w in set(found):
-                known[w] = self.n + bucket_of(w)
-            out[missing] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-        return out
+        found = np.fromiter(map(self.frequent.get, kinds.words(), repeat(-1)), np.int64, len(kinds.sizes))
+        return np.where(found < 0, self.n + buckets_of(kinds), found)
 
 
 def _contexts(items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,12 +301,9 @@ def _round(docs: DataFrame, lex: Lexicon, model: Bilinear, shares: np.ndarray, s
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, n = Trainer(Bilinear.of(begin), shares), 0
-        for _, texts in steps(batches):
-            split = [t.lower().split() for t in texts]
+        for _, sizes, which, kinds in word_steps(batches):
             reader = _tokens(lex)
-            numbers = reader.numbers(list(chain.from_iterable(split)))
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            target, near, far, _ = _contexts(reader.items[numbers], sizes)
+            target, near, far, _ = _contexts(reader.items[reader.numbers(kinds)][which], sizes)
             rng = np.random.default_rng([seed, len(target), int(target.sum())])
             order = rng.permutation(len(target))
             for i in range(0, len(order), BATCH):
@@ -386,12 +400,9 @@ def score(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked = Looked(Bilinear.of(flat), z)
-        for batch, texts in steps(batches, "text"):
-            split = [t.lower().split() for t in texts]
+        for batch, sizes, which, kinds in word_steps(batches):
             reader = _tokens(lex)
-            pieces = list(chain.from_iterable(split))
-            numbers = reader.numbers(pieces)
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            numbers = reader.numbers(kinds)[which]
             target, near, far, starts = _contexts(reader.items[numbers], sizes)
             model = np.add.reduceat(looked.log_p(target, near, far), starts)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -403,7 +414,7 @@ def score(docs: DataFrame, lm: LanguageModel, id_col: str = "doc_id", text_col:
             rare = np.flatnonzero(numbers >= reader.n)
             begins = np.searchsorted(rare, bounds)
             words = pa.ListArray.from_arrays(
-                pa.array(begins, pa.int32()), pa.array([pieces[i] for i in rare.tolist()], pa.binary())
+                pa.array(begins, pa.int32()), kinds.column.take(pa.array(which[rare]))
             )
             values = [
                 pa.array(sizes + 1, pa.int64()),

@@ -10,9 +10,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cairntrace.llm import bilinear, merkle, runs
+from cairntrace.llm.batches import Kinds, steps, word_steps
 from cairntrace.llm.common import held_out
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,6 +240,22 @@ def test_language_model(spark, corpus, monkeypatch):
     assert len(lm.lex.words) <= 500 < lm.lex.types
 
 
+def test_words_of_steps():
+    rng = random.Random(3)
+    texts = [None, "", " ", "\n a\tB \x0b c\x0c\r", "É \x85x y\xa0z", "ab abc"] + [
+        " ".join(rng.choice(["ä", "Abc", "x", "", "q1"]) for _ in range(rng.randrange(40))) for _ in range(200)
+    ]
+    for each in (1, 50, 10**6):
+        batch = pa.record_batch([pa.array(texts)], ["text"]).slice(0)
+        got = []
+        for part, sizes, which, kinds in word_steps(iter([batch.slice(0, 77), batch.slice(77)]), each=each):
+            words, ends = kinds.words(), np.cumsum(sizes)
+            assert bilinear.buckets_of(kinds).tolist() == [bilinear.bucket_of(w) for w in words]
+            got += [[words[i] for i in which[e - n : e]] for n, e in zip(sizes, ends, strict=True)]
+            assert part.num_rows == len(sizes)
+        assert got == [t.lower().split() for _, ts in steps(iter([batch])) for t in ts]
+
+
 def test_probabilities_add_up_to_one(spark, corpus):
     docs = frame(spark, corpus)
     lm = bilinear.train(docs)
@@ -253,7 +271,7 @@ def test_probabilities_add_up_to_one(spark, corpus):
     reader = bilinear.Tokens(lm.lex)
     for b in range(0, bilinear.BUCKETS, 97):
         inside = [w for w in counts if w and bilinear.bucket_of(w) == b and w not in lm.lex.words[: bilinear.WORDS]]
-        shares = [10 ** reader.inside[n] for n in reader.numbers(inside).tolist()] + [10 ** reader.inside[reader.n + b]]
+        shares = [10 ** reader.inside[n] for n in reader.numbers(Kinds(pa.array(inside, pa.binary()))).tolist()] + [10 ** reader.inside[reader.n + b]]
         assert sum(shares) == pytest.approx(1)
 
 
