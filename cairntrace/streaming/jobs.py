@@ -2,59 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from cairntrace.operators.accuracy import outcome_columns, severity
-from cairntrace.operators.ordered import clamped_sums, release, slice_by_time
+from cairntrace.operators.quantiles import quantiles
 from cairntrace.schema import JOBS
 from cairntrace.sources import sacct
 from cairntrace.streaming.increments import PARSERS
+from cairntrace.streaming.state import keep_state_on_disk, live_counts, live_queue
 
 POLL_SEC = 300
+#: Size of the sketches of a stream's errors: the larger, the closer their quantiles.
+SKETCH_SIZE = 800
 
 
 def stream_jobs(spark: SparkSession, folder: str, fmt: str, lateness: str | None = None) -> DataFrame:
     """Jobs of log files landing in a folder, each job id once.
 
     Files are read once, when they appear, in whatever order; no job is lost for being old.
-    The state holds every id seen.  A `lateness` bounds it, but then Spark drops rows whose
-    submit time lies further than that behind the latest one.
     """
     if fmt not in PARSERS:
         raise ValueError(f"unsupported source {fmt!r}: use one of {sorted(PARSERS)}")
-    jobs = PARSERS[fmt](spark.readStream.text(folder)).select(*JOBS.names)
+    return each_job_once(PARSERS[fmt](spark.readStream.text(folder)).select(*JOBS.names), lateness)
+
+
+def each_job_once(jobs: DataFrame, lateness: str | None = None) -> DataFrame:
+    """The first row of each job id of a stream.
+
+    The ids seen are state on disk, spread by id: a batch looks up its own ids, however many there are.
+    A `lateness` bounds them, but then Spark drops rows whose submit time lies further than
+    that behind the latest one.
+    """
+    keep_state_on_disk(jobs.sparkSession)
     if lateness is None:
         return jobs.dropDuplicates(["job_id"])
     timed = jobs.withColumn("submit_time", F.timestamp_seconds("submit_ts")).withWatermark("submit_time", lateness)
     return timed.dropDuplicatesWithinWatermark(["job_id"]).drop("submit_time")
 
 
+class Landing:
+    """The two streams of `land_jobs`, to be awaited and stopped as one."""
+
+    def __init__(self, parsing: StreamingQuery, start_ids: Callable[[], StreamingQuery], forever: bool) -> None:
+        self.parsing, self._start_ids, self._forever = parsing, start_ids, forever
+        self.ids = start_ids() if forever else None
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        """Until both are done; of those that run forever, until the ids' one ends."""
+        if self._forever:
+            return self.ids.awaitTermination(timeout)
+        self.parsing.awaitTermination()
+        self.ids = self._start_ids()
+        return self.ids.awaitTermination(timeout)
+
+    def stop(self) -> None:
+        for running in filter(None, (self.parsing, self.ids)):
+            running.stop()
+
+
 def land_jobs(
     spark: SparkSession, folder: str, fmt: str, out: str, checkpoint: str, poll_sec: int | None = None, files: int = 1000
-) -> StreamingQuery:
-    """Write the jobs of log files landing in a folder, each job id once, under `out/batch=N`.
+) -> Landing:
+    """Write the jobs of log files landing in a folder to `out`, each job id once.
 
-    Unlike `stream_jobs`, Slurm files may have headers of their own.  Instead of a state of all
-    ids, the jobs of a batch are held against those that earlier batches wrote; a repeated
-    batch overwrites itself.
+    Unlike `stream_jobs`, Slurm files may have headers of their own, which need a batch's files as tables.  So
+    one stream parses each batch into `checkpoint/parsed`, where a repeated batch overwrites itself, and a second one
+    reads those jobs and lets each id pass once; neither reads again what earlier batches wrote.
     """
     if fmt not in PARSERS:
         raise ValueError(f"unsupported source {fmt!r}: use one of {sorted(PARSERS)}")
     lines = sacct.with_origin(spark.readStream.option("maxFilesPerTrigger", files).text(folder))
+    parsed_jobs = f"{checkpoint}/parsed"
 
     def one(batch: DataFrame, batch_id: int) -> None:
         parsed = PARSERS[fmt](sacct.with_layouts(batch) if fmt == "slurm" else batch.select("value"))
-        jobs = parsed.select(*JOBS.names).dropDuplicates(["job_id"])
-        if batch_id:
-            earlier = batch.sparkSession.read.schema(JOBS).parquet(out).filter(F.col("batch") < batch_id)
-            jobs = jobs.join(earlier.select("job_id"), "job_id", "left_anti").select(*JOBS.names)
-        jobs.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        parsed.select(*JOBS.names).write.mode("overwrite").parquet(f"{parsed_jobs}/batch={batch_id}")
+
+    def ids() -> StreamingQuery:
+        # the folder is there before the first batch is
+        spark.createDataFrame([], JOBS).write.mode("ignore").parquet(f"{parsed_jobs}/batch=-1")
+        jobs = spark.readStream.schema(JOBS).option("maxFilesPerTrigger", files).parquet(f"{parsed_jobs}/batch=*")
+        return write_stream(each_job_once(jobs.select(*JOBS.names)), out, f"{checkpoint}/ids", poll_sec)
 
     trigger = {"processingTime": f"{poll_sec} seconds"} if poll_sec else {"availableNow": True}
-    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    parsing = lines.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/lines").trigger(**trigger).start()
+    return Landing(parsing, ids, bool(poll_sec))
 
 
 def write_stream(df: DataFrame, out: str, checkpoint: str, poll_sec: int | None = POLL_SEC) -> StreamingQuery:
@@ -113,18 +149,29 @@ def stream_feedback(predictions: DataFrame, actuals: DataFrame, within: str | No
 
 
 def rolling_accuracy(scored: DataFrame, window: str = "1 day", slide: str | None = None, at: str = "done_at") -> DataFrame:
-    """Coverage, error and severity per event-time window, for batch and streaming tables alike."""
+    """Coverage, error and severity per event-time window.
+
+    Of a table, `p95_error` is exact.  Of a stream it is read from a mergeable sketch of the errors, whose rank is
+    within a fraction of a percent of the 95th; the stream's `at` needs a watermark."""
     span = F.window(at, window, slide) if slide else F.window(at, window)
-    size = F.abs("error_sec")
+    size = F.abs("error_sec").cast("double")
     coverage = F.avg(F.col("in_interval").cast("double"))
-    return scored.groupBy(span.alias("w")).agg(
+    rows = scored.withColumns({"_size": size, "_w": span})
+    sketch = F.kll_sketch_agg_double("_size", F.lit(SKETCH_SIZE))
+    out = rows.groupBy("_w").agg(
         F.count("*").alias("predictions"),
         coverage.alias("interval_coverage"),
-        F.avg(size).alias("mean_absolute_error"),
+        F.avg("_size").alias("mean_absolute_error"),
         F.avg("abs_pct_error").alias("mape"),
-        F.percentile_approx(size, 0.95, 10000).alias("p95_error"),
+        *([F.kll_sketch_get_quantile_double(sketch, F.lit(0.95)).alias("p95_error")] if scored.isStreaming else []),
         severity(coverage).alias("drift_severity"),
     )
+    if not scored.isStreaming:
+        tails = quantiles(rows, {"size": F.col("_size")}, [0.95], ["_w"])
+        out = out.join(tails.select("_w", F.col("size_p95").alias("p95_error")), "_w")
+    return out.select(
+        F.col("_w").alias("w"), "predictions", "interval_coverage", "mean_absolute_error", "mape", "p95_error", "drift_severity"
+    )
 
 
 # --------------------------------------------------------------------------- queue depth
@@ -140,59 +187,19 @@ def queue_events(jobs: DataFrame) -> DataFrame:
     return jobs.select(F.coalesce(F.col("queue_id").cast("string"), F.lit("")).alias("queue_id"), F.inline(F.array(*rows)))
 
 
-def advance_queue(events: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Queue depth per (queue, second) of a batch of events, continuing from `carry`, and the new carry.
+def stream_queue(
+    events: DataFrame, out: str, checkpoint: str, lateness: str = "1 hour", poll_sec: int | None = None
+) -> StreamingQuery:
+    """Live queue depth (`state.live_queue`) appended to parquet, exactly once.
 
-    Events older than a queue's carried second count at that second.  Events are summed
-    per second first, so a busy queue costs one row per second.
+    The depths and the changes that wait are state of the checkpoint: a restart goes on from them, and fails if they are gone.
     """
-    ticks = events.groupBy("queue_id", "ts").agg(F.sum("dj").alias("dj"), F.sum("dc").alias("dc"))
-    if carry is not None:
-        seeds = carry.select(
-            "queue_id", F.col("ts").alias("last"), F.col("queue_len_jobs").alias("dj"), F.col("queue_len_cpu_demand").alias("dc")
-        )
-        ticks = ticks.join(seeds.select("queue_id", "last"), "queue_id", "left")
-        ticks = ticks.withColumn("ts", F.greatest("ts", "last")).drop("last").withColumn("seed", F.lit(0))
-        ticks = ticks.unionByName(seeds.withColumnRenamed("last", "ts").withColumn("seed", F.lit(1)))
-    else:
-        ticks = ticks.withColumn("seed", F.lit(0))
-    # A carried depth comes before the events of its second; both are one tick of the sum.
-    ticks = ticks.groupBy("queue_id", "ts").agg(F.sum("dj").alias("dj"), F.sum("dc").alias("dc"), F.min("seed").alias("seed"))
-    depth = {"queue_len_jobs": F.col("dj"), "queue_len_cpu_demand": F.col("dc")}
-    series = clamped_sums(slice_by_time(ticks), [F.col("ts")], depth, ["queue_id"])
-    series = series.select("queue_id", "ts", *depth, "seed")
-    latest = series.groupBy("queue_id").agg(
-        F.max("ts").alias("ts"),
-        F.max_by("queue_len_jobs", "ts").alias("queue_len_jobs"),
-        F.max_by("queue_len_cpu_demand", "ts").alias("queue_len_cpu_demand"),
-    )
-    return series.filter("seed = 0").drop("seed"), latest
-
+    return write_stream(live_queue(events, lateness), out, checkpoint, poll_sec)
 
-def stream_queue(events: DataFrame, out: str, state: str, checkpoint: str, poll_sec: int | None = None) -> StreamingQuery:
-    """Live queue depth: each micro-batch continues from the depths the previous one left.
 
-    Series and depths are written per batch number, so a repeated batch overwrites itself.
-    """
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            carry = spark.read.parquet(f"{state}/batch={batch_id - 1}") if batch_id else None
-        except AnalysisException:
-            carry = None
-        series, latest = advance_queue(batch, carry)
-        series.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        latest.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        release()
-
-    trigger = {"processingTime": f"{poll_sec} seconds"} if poll_sec else {"availableNow": True}
-    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def stream_request_counts(log: DataFrame, window: str = "1 minute", slide: str = "10 seconds", limit: int = 10) -> DataFrame:
-    """Requests per key and sliding event-time window (column `at`), with the limit check."""
-    counted = log.withWatermark("at", window).groupBy("key", F.window("at", window, slide).alias("w")).agg(
-        F.count("*").alias("requests")
-    )
-    return counted.withColumn("over_limit", F.col("requests") > limit)
+def stream_request_counts(
+    log: DataFrame, out: str, checkpoint: str, lateness: str = "1 minute", window_sec: int = 60, limit: int = 10,
+    poll_sec: int | None = None,
+) -> StreamingQuery:
+    """Requests of the trailing window per (key, second) (`state.live_counts`) appended to parquet, exactly once."""
+    return write_stream(live_counts(log, lateness, window_sec, limit), out, checkpoint, poll_sec)

@@ -1127,11 +1127,18 @@ put(
   {r('abs(p50 - y) / greatest(y, 1)', 6, 'abs_pct_error')} FROM fb WHERE job_id % 13 <> 0""",
     f"{JOBS}, {FB}",
 )
+ROLLED = f"""count(*) AS predictions, {r('avg(i)', 6, 'interval_coverage')}, {r('avg(abs(p50 - y))', 6, 'mean_absolute_error')},
+  {r('avg(abs(p50 - y) / greatest(y, 1))', 6, 'mape')}, CASE WHEN avg(i) < 0.5e0 THEN 'severe' WHEN avg(i) < 0.7e0 THEN 'mild' ELSE 'none' END AS drift_severity"""
+OUTCOMES = """(SELECT *, CASE WHEN y BETWEEN p10 AND p90 THEN 1.0e0 ELSE 0.0e0 END AS i FROM fb WHERE job_id % 13 <> 0)"""
 put(
     "rolling_accuracy",
-    f"""SELECT end_ts // 2592000 * 2592000 AS start_ts, count(*) AS predictions, {r('avg(i)', 6, 'interval_coverage')}, {r('avg(abs(p50 - y))', 6, 'mean_absolute_error')},
-  {r('avg(abs(p50 - y) / greatest(y, 1))', 6, 'mape')}, CASE WHEN avg(i) < 0.5e0 THEN 'severe' WHEN avg(i) < 0.7e0 THEN 'mild' ELSE 'none' END AS drift_severity
-  FROM (SELECT *, CASE WHEN y BETWEEN p10 AND p90 THEN 1.0e0 ELSE 0.0e0 END AS i FROM fb WHERE job_id % 13 <> 0) GROUP BY 1""",
+    f"""SELECT end_ts // 2592000 * 2592000 AS start_ts, {ROLLED}, {r('quantile_cont(abs(p50 - y), 0.95)', 6, 'p95_error')} FROM {OUTCOMES} GROUP BY 1""",
+    f"{JOBS}, {FB}",
+)
+put(
+    "stream_rolling_accuracy",
+    f"""SELECT end_ts // 2592000 * 2592000 AS start_ts, {ROLLED}, 0.95e0 AS p95_rank FROM {OUTCOMES} GROUP BY 1
+  HAVING end_ts // 2592000 * 2592000 + 2592000 <= (SELECT max(end_ts) - 864000 FROM {OUTCOMES})""",
     f"{JOBS}, {FB}",
 )
 put(
@@ -1142,3 +1149,4 @@ put(
 
 ORACLES["stream_ingest_two_landings"] = ORACLES["stream_ingest"]
 ORACLES["stream_feedback_two_landings"] = ORACLES["stream_feedback"]
+ORACLES["stream_sliding_counts"] = ORACLES["sliding_counts"]

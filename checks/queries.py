@@ -1194,6 +1194,10 @@ def stream_feedback_two_landings(spark, sf_dir):
     return rounded(spark.read.parquet(out).drop("done_at"))
 
 
+def _by_month(out: DataFrame) -> DataFrame:
+    return out.select(F.unix_seconds("w.start").alias("start_ts"), *[c for c in out.columns if c != "w"])
+
+
 @query
 def rolling_accuracy(spark, sf_dir):
     """Accuracy per 30 days of outcomes."""
@@ -1201,25 +1205,73 @@ def rolling_accuracy(spark, sf_dir):
 
     preds, done = _feedback_tables(spark, sf_dir)
     scored = accuracy.score_predictions(preds, done).join(done.select("job_id", "done_at"), "job_id")
-    out = st.rolling_accuracy(scored, "30 days")
-    return rounded(out.select(F.unix_seconds("w.start").alias("start_ts"), "predictions", "interval_coverage", "mean_absolute_error", "mape", "drift_severity"))
+    return rounded(_by_month(st.rolling_accuracy(scored, "30 days")))
+
+
+@query
+def stream_rolling_accuracy(spark, sf_dir):
+    """Accuracy per 30 days over a stream of two landings, as far as the watermark closed them; the sketched p95 as its rank
+    among the errors, in steps of five percent."""
+    from cairntrace.streaming import jobs as st
+
+    preds, done = _feedback_tables(spark, sf_dir)
+    scored = accuracy.score_predictions(preds, done).join(done.select("job_id", "done_at"), "job_id")
+    landed, out, mark = (scratch(spark, n) for n in ("scored", "rolled", "mark"))
+    for k in range(2):
+        scored.where(F.col("job_id") % 2 == k).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(scored.schema).parquet(landed).withWatermark("done_at", "9000 days" if not k else "10 days")
+        st.write_stream(st.rolling_accuracy(stream, "30 days"), out, mark, poll_sec=None).awaitTermination()
+    rolled = _by_month(spark.read.parquet(out))
+    month = F.unix_seconds(F.window("done_at", "30 days")["start"])
+    errors = scored.select(month.alias("start_ts"), F.abs("error_sec").alias("e"))
+    ranks = errors.join(rolled.select("start_ts", "p95_error"), "start_ts").groupBy("start_ts").agg(
+        (F.round(F.avg((F.col("e") <= F.col("p95_error")).cast("double")) * 20) / 20).alias("p95_rank")
+    )
+    return rounded(rolled.drop("p95_error").join(ranks, "start_ts"))
+
+
+def _landings(spark, events, parts, start):
+    """Each part of `events` (a condition) lands and is streamed before the next; then one row far ahead lets all
+    that waits pass."""
+    landed = scratch(spark, "landed")
+    for part in parts:
+        part.write.mode("append").parquet(landed)
+        start(spark.readStream.schema(events.schema).parquet(landed)).awaitTermination()
 
 
 @query
 def stream_queue(spark, sf_dir):
-    """Queue depth per queue, built up over three micro-batches."""
+    """Queue depth per queue over three landings, each with changes that are older than those of the one before."""
     from cairntrace.streaming import jobs as st
 
     events = st.queue_events(fx.jobs(spark, sf_dir))
-    landed, out = scratch(spark, "events"), scratch(spark, "depth")
-    thirds = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    step = (thirds.b - thirds.a) // 3 + 1
-    for k in range(3):
-        part = events.filter((F.col("ts") >= thirds.a + k * step) & (F.col("ts") < thirds.a + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(landed)
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    st.stream_queue(source, out, scratch(spark, "state"), scratch(spark, "mark")).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    out, mark = scratch(spark, "depth"), scratch(spark, "mark")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    step = (span.b - span.a) // 3 + 1
+    # one change in seven comes a landing late
+    turn = F.least(F.floor((F.col("ts") - span.a) / step) + F.when(F.col("ts") % 7 == 0, 1).otherwise(0), F.lit(2))
+    last = spark.createDataFrame([("the end", span.b + 2 * step, 0, 0)], events.schema)
+    parts = [events.filter(turn == k) for k in range(3)]
+    _landings(spark, events, [*parts[:2], parts[2].unionByName(last)], lambda s: st.stream_queue(s, out, mark, f"{step} seconds"))
+    return spark.read.parquet(out).filter("queue_id <> 'the end'")
+
+
+@query
+def stream_sliding_counts(spark, sf_dir):
+    """Trailing counts over two landings, the second with the older requests of every other key."""
+    from cairntrace.streaming import jobs as st
+
+    log = fx.request_log(spark, sf_dir).select(F.col("key").cast("long").alias("key"), F.col("ts").cast("long").alias("ts"))
+    out, mark = scratch(spark, "counts"), scratch(spark, "mark")
+    span = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    first = (F.col("ts") < (span.a + span.b) / 2) & (F.col("key") % 2 == 0)
+    last = spark.createDataFrame([(-1, 2 * span.b - span.a + 7200)], log.schema)
+    late = f"{span.b - span.a + 3600} seconds"
+    _landings(
+        spark, log, [log.filter(first), log.filter(~first).unionByName(last)],
+        lambda s: st.stream_request_counts(s, out, mark, late, 3600, 2),
+    )
+    return spark.read.parquet(out).filter("key >= 0")
 
 
 # --------------------------------------------------------------------------- models (rows-only)

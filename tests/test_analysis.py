@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from cairntrace.operators import accuracy, coerce, compare, decide, features, generate, learning, metrics, placement, queues
 from cairntrace.operators.sliding import sliding_counts
-from cairntrace.streaming.jobs import advance_queue, queue_events
 
 JOB = "job_id bigint, submit_ts bigint, start_ts bigint, end_ts bigint, requested_cpus int, user_id bigint"
 
@@ -199,17 +198,6 @@ def test_generators_do_not_depend_on_partitioning(spark):
         generate.scenario(tail, "unknown")
 
 
-def test_queue_depth_continues_over_batches(spark, jobs):
-    events = queue_events(jobs.withColumn("queue_id", F.when(F.col("job_id") % 3 == 0, "a").otherwise("b")))
-    whole = {(r.queue_id, r.ts): r.queue_len_jobs for r in advance_queue(events, None)[0].collect()}
-    got, carry = {}, None
-    for lo, hi in ((0, 200), (200, 400), (400, 10**9)):
-        series, latest = advance_queue(events.filter((F.col("ts") >= lo) & (F.col("ts") < hi)), carry)
-        got.update({(r.queue_id, r.ts): r.queue_len_jobs for r in series.collect()})
-        carry = spark.createDataFrame(latest.collect(), latest.schema)
-    assert got == whole
-
-
 def test_permutation_keeps_values(spark, jobs):
     mixed = learning.shuffled(jobs, "requested_cpus", 1, 0)
     assert sorted(r[0] for r in mixed.select("requested_cpus").collect()) == sorted(r[0] for r in jobs.select("requested_cpus").collect())
