@@ -1150,3 +1150,19 @@ put(
 ORACLES["stream_ingest_two_landings"] = ORACLES["stream_ingest"]
 ORACLES["stream_feedback_two_landings"] = ORACLES["stream_feedback"]
 ORACLES["stream_sliding_counts"] = ORACLES["sliding_counts"]
+put(
+    "runtime_model_checks",
+    """SELECT n - CAST(trunc(n * 0.85e0) AS BIGINT) AS test_rows, true AS coverage_ok, true AS in_order, true AS loads_alike
+  FROM (SELECT count(*) AS n FROM jobs)""",
+)
+put(
+    "category_indicators",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS category, count(*) AS n_values, count(*) AS n_indicators, count(*) - 1 AS last, min(v) AS first_value
+  FROM (SELECT DISTINCT CAST({e} AS VARCHAR) AS v FROM jobs WHERE {e} IS NOT NULL)"""
+        for c, e in (
+            ("queue_id", "queue_id"), ("partition_id", "partition_id"), ("user_id", "user_id"), ("group_id", "group_id"),
+            ("submit_hour", "submit_ts % 24"), ("submit_dow", "submit_ts % 7"),
+        )
+    ),
+)

@@ -1298,6 +1298,46 @@ def runtime_model(jobs):
     return accuracy.evaluate_quantiles(scored, train)
 
 
+@on_jobs
+def runtime_model_checks(jobs):
+    """What must hold of the quantile model on the test slice: its interval covers what it should, quantiles don't cross,
+    and a model that was saved and loaded scores alike."""
+    from cairntrace.operators import learning
+
+    train, valid, test = _learning_split(jobs)
+    model = learning.fit_runtime(train, valid)
+    folder = scratch(jobs.sparkSession, "model")
+    model.save(folder)
+    again = learning.RuntimeModel.load(jobs.sparkSession, folder)
+    names = list(accuracy.QUANTILES)
+    two = model.score(test).join(
+        again.score(test).select("job_id", *[F.col(q).alias(f"{q}_loaded") for q in names]), "job_id"
+    )
+    y, low, mid, high = (F.col(c) for c in (learning.TARGET, *names))
+    coverage = F.avg(((low <= y) & (y <= high)).cast("double"))
+    return two.agg(
+        F.count("*").alias("test_rows"),
+        coverage.between(0.75, 0.85).alias("coverage_ok"),
+        F.bool_and((low >= 1) & (low <= mid) & (mid <= high)).alias("in_order"),
+        F.bool_and((low == F.col("p10_loaded")) & (mid == F.col("p50_loaded")) & (high == F.col("p90_loaded"))).alias("loads_alike"),
+    )
+
+
+@on_jobs
+def category_indicators(jobs):
+    """Indicators of the model's categories: how many, and that no two values share one."""
+    from cairntrace.operators import learning
+
+    df = jobs.withColumns({"submit_hour": F.col("submit_ts") % 24, "submit_dow": F.col("submit_ts") % 7})
+    encoder = learning.Encoder.fit(df, learning.NUMERIC[:1], learning.CATEGORICAL)
+    return encoder.dictionary.groupBy(F.col("c").alias("category")).agg(
+        F.count("*").alias("n_values"),
+        F.count_distinct("id").alias("n_indicators"),
+        F.max("id").alias("last"),
+        F.min_by("v", "id").alias("first_value"),
+    )
+
+
 @on_jobs
 def resource_model(jobs):
     from cairntrace.operators import learning

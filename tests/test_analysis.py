@@ -154,9 +154,26 @@ def test_fold_plans(spark):
         ranges(2)
     with pytest.raises(ValueError):
         ranges(20, train_fraction=0.9, val_fraction=0.2)
-    assert [(s, a, b) for _, _, s, a, b in features.time_split_plan(1)] == [("train", 0, 1), ("valid", 0, 1), ("test", 0, 1)]
-    with pytest.raises(ValueError):
-        features.cv_plan(39)
+
+
+def test_split_ranges(spark):
+    def ranges(column):
+        return [tuple(r) for r in spark.range(1).select(F.inline(column)).collect()]
+
+    def split(n):
+        return [r[2:] for r in ranges(features.time_ranges(F.lit(n)))]
+
+    assert split(1) == [("train", 0, 1), ("valid", 0, 1), ("test", 0, 1)]
+    assert split(2) == [("train", 0, 1), ("valid", 1, 2), ("test", 1, 2)]
+    assert split(10) == [("train", 0, 8), ("valid", 8, 9), ("test", 9, 10)]
+    assert split(29) == [("train", 0, 23), ("valid", 23, 26), ("test", 26, 29)]
+    # 0.7 times 90 falls short of 63
+    assert split(90) == [("train", 0, 62), ("valid", 62, 76), ("test", 76, 90)]
+    assert ranges(features.cv_ranges(F.lit(43), 3))[2:] == [
+        (2, "cv", "train", 0, 20), (2, "cv", "validation", 20, 30), (3, "cv", "train", 0, 30), (3, "cv", "validation", 30, 40),
+    ]
+    with pytest.raises(Exception, match="needs 10 rows"):
+        ranges(features.cv_ranges(F.lit(39), 3))
 
 
 def test_folds_are_chronological(jobs):
