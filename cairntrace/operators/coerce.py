@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairntrace.functions.scalars import day_of_week, hour_of_day
 from cairntrace.operators.facts import fact
 from cairntrace.operators.history import fairshare, tsafrir
+from cairntrace.operators.ordered import SLICE, row_index, slice_by_range
 from cairntrace.operators.quantiles import quantiles
 from cairntrace.schema import OPTIONAL, require, with_optional
 
@@ -291,9 +292,22 @@ def event_rank() -> Column:
     return rank
 
 
-def order_events(events: DataFrame) -> DataFrame:
-    """Global sort by time, then complete < submit < dispatch, then job id (missing ids first)."""
-    return events.orderBy("ts", event_rank(), F.coalesce(F.col("job_id"), F.lit(-1)))
+def event_keys(events: DataFrame, tie: str | None = None) -> list[Column]:
+    """Sort keys of events: time, then complete < submit < dispatch, then job id (missing ids first), then `tie`."""
+    return [F.col("ts"), event_rank(), F.coalesce(F.col("job_id"), F.lit(-1)), *([F.col(tie)] if tie else [])]
+
+
+def order_events(events: DataFrame, tie: str | None = None) -> DataFrame:
+    """Events globally sorted by `event_keys`."""
+    return events.orderBy(*event_keys(events, tie))
+
+
+def event_positions(events: DataFrame, tie: str) -> DataFrame:
+    """Events with their place `pos` in the order of `order_events`, `tie` (unique) deciding among equal ones."""
+    names = ["_ts", "_rank", "_id", "_tie"]
+    keyed = events.withColumns(dict(zip(names, event_keys(events, tie), strict=True)))
+    order = [F.col(n) for n in names]
+    return row_index(slice_by_range(keyed, order), order, name="pos").drop(SLICE, *names)
 
 
 _QUEUED = (

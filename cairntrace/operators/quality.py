@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +31,46 @@ def null_rates(df: DataFrame) -> DataFrame:
     return rates.select(F.inline(F.array(*rows)))
 
 
+#: Stores that tasks read block by block, and the bytes of a block.
+STREAMED = ("file", "hdfs", "s3", "gs")
+BLOCK_BYTES = 8 << 20
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(name)
+
+
+def _digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for path, length in zip(frame["path"], frame["length"], strict=True):
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    digest.update(block)
+            yield pd.DataFrame({"path": [path], "length": [length], "sha256": [digest.hexdigest()]})
+
+
 def dataset_fingerprint(spark: SparkSession, path) -> DataFrame:
-    """SHA-256 and length per file (files above 2 GB cannot be read as one value)."""
+    """SHA-256 and length per file, each file read block by block by one task, however large; empty
+    files, which Spark's readers leave out, have no row.
+
+    Files of stores that only Spark opens (see STREAMED for the others) are read as one value, up to 2 GB."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        "length",
-        F.sha2("content", 256).alias("sha256"),
-    )
+    # without the contents this lists the files only
+    stores = files.groupBy(F.substring_index("path", ":", 1).alias("store")).agg(F.count("*").alias("n")).collect()
+    if all(r.store in STREAMED for r in stores):
+        tasks = max(1, min(sum(r.n for r in stores), 8 * spark.sparkContext.defaultParallelism))
+        listed = files.select("path", "length").repartition(tasks, "path")
+        read = listed.mapInPandas(_digests, "path string, length bigint, sha256 string")
+    else:
+        read = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "sha256")
 
 
 def verify_suite(files: DataFrame, manifest: DataFrame) -> DataFrame:

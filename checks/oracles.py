@@ -1166,3 +1166,26 @@ put(
         )
     ),
 )
+put(
+    "snapshot_violations",
+    """SELECT * FROM (
+  SELECT job_id AS clock_ts, 'free_cpus_negative' AS violation, CAST(NULL AS BIGINT) AS job_id FROM jobs WHERE job_id % 70 < 3
+  UNION ALL SELECT job_id, 'free_cpus_exceeds_capacity', NULL FROM jobs WHERE job_id % 70 - 3 > 64
+  UNION ALL SELECT job_id, 'cpu_conservation_broken', NULL FROM jobs WHERE allocated_cpus + job_id % 70 - 3 <> 64
+  UNION ALL SELECT job_id, 'job_exists_in_queue_and_running', job_id FROM jobs WHERE job_id % 3 = 0
+  UNION ALL SELECT job_id, 'queued_job_submit_in_future', job_id FROM jobs WHERE job_id % 5 = 0)""",
+)
+put(
+    "queued_while_running",
+    "SELECT job_id, start_ts + runtime_actual_sec // 2 AS from_ts, end_ts AS to_ts FROM jobs WHERE job_id % 4 = 0",
+)
+put(
+    "conservation",
+    """SELECT ts, running_cpus, free_cpus, unnest(list_filter([CASE WHEN free_cpus < 0 THEN 'free_cpus_negative' END,
+    CASE WHEN free_cpus > 128 THEN 'free_cpus_exceeds_capacity' END,
+    CASE WHEN running_cpus + free_cpus <> 128 THEN 'cpu_conservation_broken' END], lambda x: x IS NOT NULL)) AS violation
+  FROM (SELECT ts, running_cpus, CAST(128 - running_cpus + CASE WHEN ts // 50000 % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS free_cpus
+    FROM (SELECT p.ts, CAST(coalesce(running_cpus, 0) AS BIGINT) AS running_cpus
+      FROM (SELECT DISTINCT submit_ts // 50000 * 50000 AS ts FROM jobs) p ASOF LEFT JOIN occ ON p.ts >= occ.ts))""",
+    f"{JOBS}, {OCC}",
+)

@@ -16,6 +16,7 @@ from cairntrace.operators import (
     features,
     generate,
     history,
+    invariants,
     metrics,
     placement,
     profile,
@@ -336,16 +337,40 @@ def capacity_violations(jobs):
     return queues.capacity_violations(jobs, CAPACITY)
 
 
+@on_jobs
+def snapshot_violations(jobs):
+    """Snapshots with a queued and a running job each, whose counts and times contradict each other now and then."""
+    doc = (
+        "to_json(named_struct('clock_ts', job_id, 'capacity_cpus', 64, 'free_cpus', job_id % 70 - 3,"
+        " 'queued_jobs', array(named_struct('job_id', job_id, 'submit_ts', job_id + IF(job_id % 5 = 0, 10, 0))),"
+        " 'running_jobs', array(named_struct('job_id', job_id + job_id % 3, 'allocated_cpus', allocated_cpus))))"
+    )
+    return invariants.snapshot_violations(jobs.select(F.expr(doc).alias("value")))
+
+
+@on_jobs
+def queued_while_running(jobs):
+    """Every fourth job is submitted again halfway through its run, and waits until it ends."""
+    again = jobs.filter("job_id % 4 = 0").select(
+        "job_id", F.expr("start_ts + runtime_actual_sec DIV 2").alias("submit_ts"), F.col("end_ts").alias("start_ts"),
+        F.expr("end_ts + 60").alias("end_ts"),
+    )
+    return invariants.queued_while_running(jobs.select("job_id", "submit_ts", "start_ts", "end_ts").unionByName(again))
+
+
+@on_jobs
+def conservation(jobs):
+    """Reported free CPUs, every fourth one too many, against the jobs that run."""
+    points = jobs.select(F.expr("submit_ts DIV 50000 * 50000").alias("ts"))
+    reported = queues.free_at(jobs, CAPACITY, points)
+    wrong = F.when(F.expr("ts DIV 50000 % 4 = 0"), 1).otherwise(0)
+    return invariants.conservation(jobs, CAPACITY, reported.withColumn("free_cpus", F.col("free_cpus") + wrong))
+
+
 @query
 def event_order(spark, sf_dir):
     """Position of each event in the deterministic order of its second."""
-    events = _typed_events(spark, sf_dir).withColumns(
-        {"rank": coerce.event_rank(), "id": F.coalesce(F.col("job_id"), F.lit(-1))}
-    )
-    from cairntrace.operators.ordered import row_index, slice_by_range
-
-    order = [F.col("ts"), F.col("rank"), F.col("id"), F.col("event_id")]
-    return row_index(slice_by_range(events, order), order, name="pos").select("event_id", "pos")
+    return coerce.event_positions(_typed_events(spark, sf_dir), "event_id").select("event_id", "pos")
 
 
 def _typed_events(spark, sf_dir):
