@@ -16,16 +16,22 @@ from cairntrace.llm.common import written
 CANDIDATE_ROWS, QUERY_ROWS = 8192, 256
 #: A round divides the range that holds a query's k-th score into 2^BIN_BITS bins.
 BIN_BITS = 12
-#: Scaled components beyond this take no part: sums of their products may not fit a long.
-LARGEST = 2**24
+#: Larger scaled components and larger scores count as this: the difference of two scores must be a long.
+LARGEST = 2**62 - 1
 
 
 def quantised(vector: Column, factor: int) -> Column:
     """floor(factor * x) of each component, x as double; null where the vector is null or empty or
-    holds a null, non-finite or too large component."""
-    x = F.transform(vector, lambda c: c.cast("double") * F.lit(float(factor)))
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) > F.lit(float(LARGEST))))
-    return F.when((F.size(vector) > 0) & ~bad, F.transform(x, lambda c: F.floor(c).cast("int")))
+    holds a null or non-finite component."""
+    x = F.transform(vector, lambda c: c.cast("double"))
+    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    most = F.lit(LARGEST).cast("long")
+
+    def whole(c: Column) -> Column:
+        scaled = c * F.lit(float(factor))
+        return F.when(scaled >= float(LARGEST), most).when(scaled <= -float(LARGEST), -most).otherwise(F.floor(scaled).cast("long"))
+
+    return F.when((F.size(vector) > 0) & ~bad, F.transform(x, whole))
 
 
 def _blocks(rows: DataFrame, each: int, prefix: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -37,7 +43,9 @@ def _blocks(rows: DataFrame, each: int, prefix: str, extra: tuple[str, ...] = ()
         def block(key: tuple[int, int]) -> pd.DataFrame:
             columns = list(zip(*held.pop(key), strict=True))
             out = {"part": [key[0]], f"{prefix}dim": [key[1]]}
-            out[f"{prefix}v"] = [np.stack(columns[0]).astype("<i4").tobytes()]
+            v = np.stack(columns[0])
+            small = np.abs(v).max() < 2**31
+            out[f"{prefix}v"] = [v.astype("<i4" if small else "<i8").tobytes()]
             for name, values in zip(("id", *extra), columns[1:], strict=True):
                 out[prefix + name] = [np.array(values, "<i8").tobytes()]
             return pd.DataFrame(out)
@@ -59,14 +67,30 @@ def _longs(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<i8")
 
 
+def _rows(raw: bytes, ids: bytes, dim: int) -> np.ndarray:
+    """A block's vectors, which have four bytes a component, or eight if one needs them."""
+    kind = "<i4" if len(raw) == len(ids) // 8 * dim * 4 else "<i8"
+    return np.frombuffer(raw, kind).reshape(-1, dim)
+
+
 def _scores(row) -> np.ndarray:
-    """The exact scores of a block of queries (rows) and one of candidates (columns)."""
-    q = np.frombuffer(row.q_v, "<i4").reshape(-1, row.q_dim)
-    c = np.frombuffer(row.c_v, "<i4").reshape(-1, row.q_dim)
+    """The exact scores of a block of queries (rows) and one of candidates (columns), up to LARGEST either way."""
+    q, c = _rows(row.q_v, row.q_id, row.q_dim), _rows(row.c_v, row.c_id, row.q_dim)
+    most = float(np.abs(q).max()) * float(np.abs(c).max()) * row.q_dim
     # Sums of products of doubles are exact while they stay below 2^53.
-    if float(np.abs(q).max()) * float(np.abs(c).max()) * row.q_dim < 2.0**53:
+    if most < 2.0**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    if most < 2.0**62:
+        return q.astype(np.int64) @ c.astype(np.int64).T
+    # Wide ones: in whole numbers of any size, for the rows and columns that need it.
+    wide_q, wide_c = (np.abs(x).max(axis=1).astype(np.float64) for x in (q, c))
+    exact = np.outer(wide_q, wide_c) * row.q_dim < 2.0**62
+    with np.errstate(over="ignore"):
+        out = q.astype(np.int64) @ c.astype(np.int64).T
+    objects_q, objects_c = q.astype(object), c.astype(object)
+    for i, j in zip(*np.nonzero(~exact), strict=True):
+        out[i, j] = max(-LARGEST, min(LARGEST, int(np.dot(objects_q[i], objects_c[j]))))
+    return out
 
 
 def _histogram(pairs: DataFrame, shift: int, bits: int) -> DataFrame:
@@ -143,8 +167,8 @@ def top_k(
 
     Queries are the ids divisible by `every`; candidates are all rows but those with the
     query's own id.  Scores are inner products of floor(factor * x); ties go to the smaller
-    id.  Rows with a null id, a null or empty vector, or a null, non-finite or (scaled)
-    2^24-exceeding component take no part.  Candidates of another length than the query's
+    id.  Rows with a null id, a null or empty vector, or a null or non-finite component take no part.
+    Scaled components and scores beyond 2^62 - 1 either way count as that.  Candidates of another length than the query's
     are not compared with it.  Each repeated row is a candidate; rows that repeat a query's
     id are one query, its smallest vector.  A query without candidates gives no rows.
 
@@ -156,11 +180,11 @@ def top_k(
     rows = written(rows.where("v IS NOT NULL"), "vectors")
     facts = rows.agg(
         F.count("*").alias("n"),
-        F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x.cast("long"))).alias("norm"),
+        F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm"),
     ).first()
     parts = max(1, -(-facts["n"] // candidate_rows))
-    # By Cauchy-Schwarz no score exceeds the largest squared norm.
-    bound = facts["norm"] or 0
+    # By Cauchy-Schwarz no score exceeds the largest squared norm, which is rounded up.
+    bound = min(LARGEST, int((facts["norm"] or 0) * (1 + 1e-9)) + 1)
     shift = max(0, (2 * bound + 1).bit_length() - BIN_BITS)
 
     salted = rows.withColumn("part", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(parts)))

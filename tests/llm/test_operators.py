@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -289,13 +290,21 @@ def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
     vectors += [(1000 + i, [0.5] * 6) for i in range(50)] + [(0, [9.0] * 6), (400, [1.0, 2.0]), (401, [3.0, 1.0])]
+    # components that take more than 32, and scores that take more than 64 bits
+    vectors += [(500, [20000.0] + [1.0] * 5), (501, [-3e7, 2.5, 1e6, -1.0, 0.0, 7.25]), (600, [4e5, -4e5, 3e5, 2e5, 1e5, 0.1])]
+    vectors += [(700, [1e300, -1.0, 2.0, 0.0, -1e12, 1.0]), (701, [-1e17, 1e11, -5e9, 3e8, 1.0, 2.0])]
     odd = [(2, None), (3, []), (4, [float("nan")] * 6), (None, [1.0] * 6), (5, [float("inf")] * 6), (6, [None] * 6)]
     df = spark.createDataFrame([(*r, 1, 2) for r in vectors + odd], "vec_id long, embedding array<double>, score int, rank int")
-    good = [(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in vectors]
+    most = 2**62 - 1
+
+    def within(x):
+        return max(-most, min(most, x))
+
+    good = [(i, tuple(within(math.floor(1024 * x)) for x in v)) for i, v in vectors]
     queries = {i: min(v for j, v in good if j == i) for i, _ in good if i % 100 == 0}
     expected = []
     for q, v in queries.items():
-        scores = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q and len(w) == len(v)]
+        scores = [(-within(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in good if i != q and len(w) == len(v)]
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:10])]
     for rows in (64, 8192):
         assert sorted(map(tuple, topk.top_k(df, candidate_rows=rows).collect())) == sorted(expected)
