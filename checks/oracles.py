@@ -1189,3 +1189,23 @@ put(
       FROM (SELECT DISTINCT submit_ts // 50000 * 50000 AS ts FROM jobs) p ASOF LEFT JOIN occ ON p.ts >= occ.ts))""",
     f"{JOBS}, {OCC}",
 )
+ORACLES["pipeline_ingest"] = ORACLES["quality_report"]
+put(
+    "pipeline_features",
+    "SELECT fold_id, mode, segment, start_idx, end_idx_exclusive, row_count, submit_ts_min, submit_ts_max FROM folds",
+    f"{JOBS}, {FOLDS}",
+)
+ORACLES["pipeline_stress_compare"] = f"SELECT * FROM ({ORACLES['degrade']}) WHERE policy_id = 'cand_a'"
+put(
+    "resource_model_checks",
+    """SELECT n AS rows, true AS risks_known, true AS probabilities, true AS sizes_positive, true AS loads_alike,
+  n - CAST(floor(n * 0.8e0) AS BIGINT) AS test_rows, true AS accuracy_ok FROM (SELECT count(*) AS n FROM jobs)""",
+)
+put(
+    "pipeline_bench",
+    """SELECT 'p:' || unnest(['users', 'queues']) AS profile_id, 2 AS samples, 1 AS prior_window_records, true AS has_baseline""",
+    "",
+)
+ORACLES["pipeline_suite"] = f"""SELECT dataset_id, policy_id, (SELECT count(*) FROM orders) AS job_count, 1 AS gates_of_baseline, gate
+FROM (SELECT policy_id, status AS gate FROM ({ORACLES['fidelity_gate']}) UNION ALL SELECT 'fifo', 'pass'),
+  (SELECT unnest(['a', 'b']) AS dataset_id)"""

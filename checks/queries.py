@@ -1323,6 +1323,95 @@ def runtime_model(jobs):
     return accuracy.evaluate_quantiles(scored, train)
 
 
+@on_jobs
+def pipeline_ingest(jobs):
+    """The quality report that the ingest job writes beside the jobs it parsed from files."""
+    from cairntrace.plans import pipelines
+
+    spark = jobs.sparkSession
+    landed = scratch(spark, "swf")
+    fx.raw_swf(jobs).write.text(landed)
+    made = pipelines.run_ingest(spark, "swf", landed, scratch(spark, "ingested"), "t")
+    return rounded(made["quality"].select(*[F.col(c).cast("double" if c.endswith("_rate") else "bigint").alias(c) for c in QUALITY]), 9)
+
+
+QUALITY = (
+    "row_count requested_mem_null_rows requested_mem_null_rate runtime_requested_null_rows requested_cpu_fallback_rows "
+    "total_lines comment_lines blank_lines malformed_lines parsed_rows"
+).split()
+
+
+@on_jobs
+def pipeline_features(jobs):
+    """The folds that the feature job writes."""
+    from cairntrace.plans import pipelines
+
+    splits = pipelines.run_features(jobs, scratch(jobs.sparkSession, "features"), "t")["splits"]
+    longs = ("start_idx", "end_idx_exclusive", "row_count", "submit_ts_min", "submit_ts_max")
+    return splits.select(F.col("fold_id").cast("int").alias("fold_id"), "mode", "segment", *longs)
+
+
+@on_jobs
+def pipeline_stress_compare(jobs):
+    """Change of every metric from the jobs to another schedule, as the stress comparison tells it."""
+    from cairntrace.plans import pipelines
+
+    other = fx.candidates(jobs).filter("policy_id = 'cand_a'")
+    made = pipelines.run_stress_compare(jobs, other, CAPACITY)["degrade"]
+    return rounded(made.withColumn("policy_id", F.lit("cand_a")), 5)
+
+
+@on_jobs
+def pipeline_suite(jobs):
+    """Gate, metrics and ranking of two traces at once: the statuses tell which candidates are let through."""
+    from cairntrace.plans import pipelines
+
+    both = F.explode(F.array(F.lit("a"), F.lit("b")))
+    plans = jobs.withColumn("policy_id", F.lit("fifo")).unionByName(fx.candidates(jobs), allowMissingColumns=True)
+    made = pipelines.run_suite(jobs.withColumn("dataset_id", both), plans.withColumn("dataset_id", both), CAPACITY, "fifo")
+    return made["metrics"].select("dataset_id", "policy_id", F.col("job_count").cast("bigint").alias("job_count")).join(
+        made["gate"].groupBy("dataset_id").agg(F.count_if(F.col("policy_id") == "fifo").alias("gates_of_baseline")), "dataset_id"
+    ).join(made["gate"].select("dataset_id", "policy_id", F.col("status").alias("gate")), ["dataset_id", "policy_id"])
+
+
+@on_jobs
+def pipeline_bench(jobs):
+    """Two timed steps, whose first run passes for want of a history, and whose second has one run to look back to."""
+    from cairntrace.plans import pipelines
+
+    spark, history = jobs.sparkSession, scratch(jobs.sparkSession, "history")
+    steps = {"users": (1000, lambda: jobs.groupBy("user_id").count()), "queues": (1000, lambda: jobs.groupBy("queue_id").count())}
+    pipelines.run_bench(spark, steps, history, "p", samples=1)
+    out = pipelines.run_bench(spark, steps, history, "p", samples=2)
+    return out.select("profile_id", "samples", "prior_window_records", (F.col("baseline_median") > 0).alias("has_baseline"))
+
+
+@on_jobs
+def resource_model_checks(jobs):
+    """What must hold of the resource models: risks and node sizes are among those that exist, and models that were saved
+    and loaded score alike."""
+    from cairntrace.operators import learning
+
+    df = jobs.withColumn("requested_cpus", (1 + (F.col("job_id") * 31 + F.col("wait_sec")) % 130).cast("int"))
+    model, report = learning.fit_resource(df)
+    folder = scratch(jobs.sparkSession, "model")
+    model.save(folder)
+    names = ["fragmentation_risk", "predicted_label", "confidence", "recommended_node_cpus"]
+    scored = model.score(df).select("job_id", *names)
+    again = learning.ResourceModel.load(jobs.sparkSession, folder).score(df)
+    both = scored.join(again.select("job_id", *[F.col(c).alias(f"{c}_loaded") for c in names]), "job_id")
+    alike = [F.bool_and(F.col(c) == F.col(f"{c}_loaded")) for c in names]
+    checked = both.agg(
+        F.count("*").alias("rows"),
+        F.bool_and(F.col("predicted_label").isin(0, 1, 2)).alias("risks_known"),
+        F.bool_and(F.col("confidence").between(0, 1)).alias("probabilities"),
+        F.bool_and(F.col("recommended_node_cpus") >= 1).alias("sizes_positive"),
+        (alike[0] & alike[1] & alike[2] & alike[3]).alias("loads_alike"),
+    )
+    told = report.select("test_rows", F.col("accuracy").between(0.5, 1).alias("accuracy_ok"))
+    return checked.join(told, F.lit(True))
+
+
 @on_jobs
 def runtime_model_checks(jobs):
     """What must hold of the quantile model on the test slice: its interval covers what it should, quantiles don't cross,
