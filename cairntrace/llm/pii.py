@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairntrace.functions.rows import once
+from cairntrace.llm.common import free_name
 
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
@@ -248,11 +249,12 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     text = F.col(text_col)
     # Each form has one of these: addresses like 8.8.8.8 have no two digits side by side.
     worth = text.rlike(r"[0-9]{2}|[0-9]\.[0-9]|@")
+    own = free_name(docs, "__m")
     found = once(
         docs,
         {
             text_col: text,
-            "__m": F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))),
+            own: F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))),
         },
         others,
     )
@@ -260,17 +262,17 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
         found,
         {
             text_col: F.col(text_col),
-            "__m": F.transform("__m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))),
+            own: F.transform(own, lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))),
         },
         others,
     )
     swapped = F.zip_with(
         F.split(text_col, PATTERN, -1),
-        "__m",
+        own,
         lambda gap, m: F.concat(gap, F.coalesce(pseudonym(key, m["k"], m["m"]), F.lit(""))),
     )
-    hits = F.coalesce(F.size(F.filter("__m", lambda m: m["k"].isNotNull())), F.lit(0)) > 0
-    kinds = F.filter(F.transform("__m", lambda m: m["k"]), lambda k: k.isNotNull())
+    hits = F.coalesce(F.size(F.filter(own, lambda m: m["k"].isNotNull())), F.lit(0)) > 0
+    kinds = F.filter(F.transform(own, lambda m: m["k"]), lambda k: k.isNotNull())
     return named.select(
         *others,
         F.when(hits, F.array_join(swapped, "")).otherwise(F.col(text_col)).alias(text_col),

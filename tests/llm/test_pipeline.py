@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cairntrace.llm.oracles import ORACLES
@@ -59,3 +60,20 @@ def test_stages_take_effect(spark):
     assert "4111111111111111" not in next(r["text"] for r in hidden.collect() if r["doc_id"] == 10**6 + 4)
     pieces = stages["packing"](spark, hidden, SF)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Names that the stages use for themselves, on rows with nulls, and on no rows."""
+    names = ["__score", "__h", "__k", "__t", "__text", "__removed", "__kept", "__m", "pii", "th", "id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    docs = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (7 * 10**6, "", None, "s", 0)], docs.schema))
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    for stage_docs in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, stage_docs, SF)
+            assert out.columns == docs.columns, name
+            for r in out.collect():
+                own = "-" if r["doc_id"] is None else str(r["doc_id"])
+                assert all(r[n] == n + own for n in names), name
+        assert (corpus_pipeline.STAGES[-1][1](spark, stage_docs, SF).count() > 0) == (stage_docs is docs)
