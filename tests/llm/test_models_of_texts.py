@@ -97,7 +97,7 @@ def test_manifest(spark):
     assert {r[-1] for r in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 27, 28, 82])
+@pytest.mark.parametrize("n", [1, 4, 27, 28])
 def test_manifest_of_one_source(spark, n):
     rows = [(i, f"t\n{i}", "s", i) for i in range(n)]
     got = sorted(map(tuple, merkle.manifest(frame(spark, rows)).collect()))
