@@ -5,28 +5,32 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain, repeat
 
+import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cairntrace.llm.batches import held, steps
-from cairntrace.llm.common import WHITE, written
+from cairntrace.llm.common import written
 
-#: Hashed tables of the character model: a fixed size, whatever the corpus.
-TABLE_BITS = 18
-#: Words whose features, and letters whose log probabilities, a worker remembers.
+#: Symbols of the character model: a blank for what is no letter, a to z, and a byte of any other letter.
+SYMBOLS = 28
+STATES = SYMBOLS**3
+#: Words whose features a worker remembers.
 REMEMBERED = 120_000
 #: Rows of the labelled sample that calibrate the score; the others find the words.
 CALIBRATE = 3
-#: Labelled toxic documents in which a word or prefix must occur.
+#: Labelled toxic documents in which a word or prefix must occur, and in how many of them at least
+#: written together: only such words are looked for in letters written apart.
 SUPPORT = 6
+TOGETHER = 3
 
 # What characters are written for which letters.
 LOOKS = {
@@ -38,11 +42,10 @@ GAPS = ".-_*~'`·,/"
 #: Log probabilities of writing a letter as a look-alike, of a gap, and of a lengthened letter.
 WRITE_AS, WRITE_GAP, WRITE_LONG = -1.5, -0.7, -0.5
 
-_KEPT = np.full(256, 32, np.uint8)
-_KEPT[97:123] = np.arange(97, 123)
-_KEPT[65:91] = np.arange(97, 123)
-_KEPT[128:] = np.arange(128, 256)
-_HASH = np.uint32(2654435761)
+_SYMBOL = np.zeros(256, np.uint8)
+_SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
+_SYMBOL[128:] = SYMBOLS - 1
+_SYMBOL_OF = _SYMBOL.tolist()
 _EDGE = re.compile(r"^[^\w@$!+|€£(*]+|[\W_]+$")
 _BEFORE = re.compile(r"^[\W_]+")
 #: What follows a word and may be part of it.
@@ -54,66 +57,45 @@ _ODD = re.compile(r"[^\W\d_]")
 _LONG = re.compile(r"(.)\1\1")
 
 
-def _slot4(four: int) -> int:
-    return (four * 2654435761 & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-
-
 @dataclass(frozen=True)
 class CharModel:
-    """Byte n-gram counts of lower-cased letters, other characters being one blank; hashed."""
+    """Exact counts of every four symbols in a row, by their number in base SYMBOLS: each has a place of its own."""
 
     fours: np.ndarray
-    threes: np.ndarray
-    ones: np.ndarray
 
-    known: dict[tuple[bytes, int], float] = field(default_factory=dict, repr=False, compare=False)
+    def __reduce__(self) -> tuple:
+        return CharModel, (self.fours,)
 
-    def log_p(self, context: bytes, byte: int) -> float:
-        got = self.known.get((context, byte))
-        if got is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            a, b, c = context
-            three = a << 16 | b << 8 | c
-            n = float(self.threes[_slot4(three)])
-            prior = (float(self.ones[byte]) + 1) / (float(self.ones.sum()) + 256)
-            got = math.log((float(self.fours[_slot4(three << 8 | byte)]) + 4 * prior) / (n + 4))
-            self.known[context, byte] = got
-        return got
+    @cached_property
+    def logs(self) -> memoryview:
+        """Log probability of the fourth symbol after the three before it; unseen ones fall back on the symbol's share."""
+        fours = self.fours.reshape(STATES, SYMBOLS).astype(np.float64)
+        ones = fours.sum(0)
+        prior = (ones + 1) / (ones.sum() + SYMBOLS)
+        return memoryview(np.log((fours + 4 * prior) / (fours.sum(1, keepdims=True) + 4)).ravel())
 
 
 def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
-    """Counts over every text of `docs`; each task sums its own, tables are summed in two steps."""
-    size = 1 << TABLE_BITS
+    """Counts over every text of `docs`: tasks sum their own, Spark adds them up by symbols.
+
+    At most SYMBOLS^4 = 614,656 counts, the proven bound of what reaches the driver and the workers."""
+    size = SYMBOLS**4
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * size + 256, np.int64)
+        total = np.zeros(size, np.int64)
         for _, texts in steps(batches):
-            b = _KEPT[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)]
-            if len(b) < 4:
-                continue
-            x = b.astype(np.uint32)
-            three = x[:-3] << np.uint32(16) | x[1:-2] << np.uint32(8) | x[2:-1]
-            four = three << np.uint32(8) | x[3:]
-            shift = np.uint32(32 - TABLE_BITS)
-            total[:size] += np.bincount(four * _HASH >> shift, minlength=size)
-            total[size : 2 * size] += np.bincount(three * _HASH >> shift, minlength=size)
-            total[2 * size :] += np.bincount(b, minlength=256)
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * size + 256, np.int64)
-        for frame in frames:
-            for raw in frame["counts"]:
-                total += np.frombuffer(raw, np.int64)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+            x = _SYMBOL[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)].astype(np.int64)
+            if len(x) >= 4:
+                pairs = x[:-1] * SYMBOLS + x[1:]
+                total += np.bincount(pairs[:-2] * SYMBOLS**2 + pairs[2:], minlength=size)
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["four", "n"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(count, "counts binary").repartition(8).mapInPandas(add, "counts binary").collect()
-    total = sum((np.frombuffer(r["counts"], np.int64) for r in rows), np.zeros(2 * size + 256, np.int64))
-    return CharModel(
-        total[:size].astype(np.float32), total[size : 2 * size].astype(np.float32), total[2 * size :].astype(np.float64)
-    )
+    counts = texts.mapInArrow(count, "four int, n long").groupBy("four").agg(F.sum("n").alias("n")).toArrow()
+    fours = np.zeros(size, np.int64)
+    fours[counts["four"].to_numpy()] = counts["n"].to_numpy()
+    return CharModel(fours)
 
 
 def _lattice(token: str) -> tuple[list[list[tuple[str, float]]], list[int]] | None:
@@ -166,13 +148,16 @@ def _earlier(a: tuple, b: tuple) -> bool:
 
 def _step(best: dict, meant: list[tuple[str, float]], model: CharModel) -> dict:
     """The best ways to each state, (score, (way before, letters)), after one more place of the lattice."""
-    reached: dict[bytes, tuple[float, tuple]] = {}
+    reached: dict[int, tuple[float, tuple]] = {}
+    logs = model.logs
+    options = [(letters, cost, [_SYMBOL_OF[b] for b in letters.encode()]) for letters, cost in meant]
     for state, (score, before) in best.items():
-        for letters, cost in meant:
+        for letters, cost, symbols in options:
             s, total = state, score + cost
-            for byte in letters.encode():
-                total += model.log_p(s, byte)
-                s = s[1:] + bytes([byte])
+            for x in symbols:
+                four = s * SYMBOLS + x
+                total += logs[four]
+                s = four % STATES
             old = reached.get(s)
             # ties go to the word that comes first
             if old is None or total > old[0] or (total == old[0] and _earlier((before, letters), old[1])):
@@ -182,13 +167,13 @@ def _step(best: dict, meant: list[tuple[str, float]], model: CharModel) -> dict:
 
 def _decoded(token: str, model: CharModel, least: int) -> list[str]:
     """The likeliest words behind a written token that ends at each of its places from `least` on:
-    Viterbi over its lattice, the last three bytes being the state.  Its time grows with the length;
+    Viterbi over its lattice, the last three symbols being the state.  Its time grows with the length;
     there are no words if a character can stand for no letter."""
     lattice = _lattice(token)
     if lattice is None:
         return []
     words: list[str] = []
-    best: dict[bytes, tuple[float, tuple | None]] = {b"   ": (0.0, None)}
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for meant, end in zip(lattice[0], lattice[1][1:], strict=True):
         best = _step(best, meant, model)
         if end >= least:
@@ -239,12 +224,31 @@ def words_of(piece: str, model: CharModel) -> list[str]:
     return list(dict.fromkeys(words))
 
 
-def features_apart(run: str, sizes: Iterable[int]) -> set[str]:
-    """Features of the words of these sizes that letters written apart may hold, and their prefixes:
-    where one word ends and the next begins is not told."""
-    n = len(run)
-    out = {run[i : i + k] for k in sizes if 3 <= k <= n for i in range(n - k + 1)}
-    return out.union(run[i : i + k] + "-" for k in (4, 5) for i in range(n - k))
+class Finder:
+    """Finds features in letters written apart, where one word ends and the next begins not being told:
+    one pass of an Aho-Corasick automaton over a run, in memory of the features' size whatever the run's."""
+
+    def __init__(self, features: Collection[str]) -> None:
+        words: dict[str, list[str | None]] = {}
+        for f in features:
+            prefix = f.endswith("-")
+            words.setdefault(f.removesuffix("-"), [None, None])[prefix] = f
+        self.automaton = ahocorasick.Automaton() if words else None
+        for word, found in words.items():
+            self.automaton.add_word(word, found)
+        if words:
+            self.automaton.make_automaton()
+
+    def features(self, runs: list[str]) -> set[str]:
+        """Words in the runs, and prefixes that one more letter follows."""
+        out: set[str | None] = set()
+        for run in runs if self.automaton is not None else []:
+            for end, (word, prefix) in self.automaton.iter(run):
+                out.add(word)
+                if end + 1 < len(run):
+                    out.add(prefix)
+        out.discard(None)
+        return out
 
 
 def features_of(word: str) -> list[str]:
@@ -321,42 +325,64 @@ def lower_bound(right: float, total: float, z: float = 2.5) -> float:
 
 def _reader(model: CharModel) -> Reader:
     """One per worker process and model; a model is told by its counts."""
-    return held(("reader", hash((model.fours.tobytes(), model.ones.tobytes()))), lambda: Reader(model))
+    return held(("reader", hash(model.fours.tobytes())), lambda: Reader(model))
 
 
 def _frequencies(sample: DataFrame, model: CharModel) -> DataFrame:
     """(feature, toxic, clean): documents of the sample in which each feature occurs.
 
-    Equal texts count once, or a much-copied document would make evidence of all its words."""
+    Equal texts count once, or a much-copied document would make evidence of all its words.
+    First the words written together are counted; those in TOGETHER toxic texts or more are
+    then looked for in the texts that hold letters written apart."""
+    columns = ["feature", "toxic", "clean", "y", "text"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        out = [names, [counts[1][n] for n in names], [counts[0][n] for n in names], *[[None] * len(names)] * 2]
+        for c in counts:
+            c.clear()
+        return pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], columns)
+
+    def together(reader: Reader, numbers: np.ndarray) -> set[str]:
+        return {f for w in {w for i in np.unique(numbers).tolist() for w in reader.words[i]} for f in features_of(w)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(model)
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def rows() -> pa.RecordBatch:
-            names = list(counts[0].keys() | counts[1].keys())
-            out = [names, [counts[1][n] for n in names], [counts[0][n] for n in names]]
-            for c in counts:
-                c.clear()
-            return pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)],
-                                   ["feature", "toxic", "clean"])
-
         for batch, texts in steps(batches):
             labels = batch.column(1).to_pylist()
-            for y, (numbers, apart) in zip(labels, reader.read(texts), strict=True):
-                words = {w for i in np.unique(numbers).tolist() for w in reader.words[i]}
-                found = {f for w in words for f in features_of(w)}
-                counts[y].update(found.union(*[features_apart(run, range(3, longest + 1)) for run in apart]))
+            spaced = []
+            for at, (numbers, apart) in enumerate(reader.read(texts)):
+                counts[labels[at]].update(together(reader, numbers))
+                if apart:
+                    spaced.append(at)
+            none = [[None] * len(spaced)] * 3
+            again = [*none, [labels[i] for i in spaced], [texts[i].decode() for i in spaced]]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(again, kinds, strict=True)], columns)
             if len(counts[0]) + len(counts[1]) > REMEMBERED:
-                yield rows()
-        yield rows()
+                yield counted(counts)
+        yield counted(counts)
 
     distinct = sample.groupBy("text").agg(F.max("y").alias("y"))
-    # words written apart are looked for up to the longest one that is written together
-    sizes = F.transform(F.split("text", WHITE), F.length)
-    longest = sample.agg(F.max(F.array_max(sizes))).first()[0] or 0
-    made = distinct.mapInArrow(run, "feature string, toxic long, clean long")
-    return made.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    schema = "feature string, toxic long, clean long, y int, text string"
+    made = written(distinct.mapInArrow(run, schema), "words-together")
+    sums = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
+    whole = made.where("feature IS NOT NULL").groupBy("feature").agg(*sums)
+    # bounded by the sample: each was met in TOGETHER of its toxic texts
+    known = [r["feature"] for r in whole.where(F.col("toxic") >= TOGETHER).select("feature").collect()]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, finder = _reader(model), Finder(known)
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch, texts in steps(batches):
+            labels = batch.column(0).to_pylist()
+            for y, (numbers, apart) in zip(labels, reader.read(texts), strict=True):
+                counts[y].update(finder.features(apart) - together(reader, numbers))
+        yield counted(counts).select(columns[:3])
+
+    spaced = made.where("text IS NOT NULL").select("y", "text").mapInArrow(look, "feature string, toxic long, clean long")
+    return whole.unionByName(spaced).groupBy("feature").agg(*sums)
 
 
 def _evidence(rows: DataFrame, scorer: Scorer) -> DataFrame:
@@ -366,7 +392,7 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(scorer.model)
         known = scorer.evidence
-        lengths = sorted({len(f) for f in known})
+        finder = Finder(known)
         carry = np.zeros(0, bool)
 
         def carrying(word: str) -> list[str]:
@@ -382,8 +408,8 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> DataFrame:
                     new = [any(map(carrying, words)) for words in reader.words[len(carry) :]]
                     carry = np.concatenate([carry, np.array(new, bool)])
                 words = {w for i in numbers[carry[numbers]].tolist() for w in reader.words[i]}
-                found = {f for w in words for f in carrying(w)}.union(*[features_apart(run, lengths) for run in apart])
-                out.append(math.fsum(sorted(known[f] for f in found if f in known)))
+                found = {f for w in words for f in carrying(w)} | finder.features(apart)
+                out.append(math.fsum(sorted(known[f] for f in found)))
             yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*names, "evidence"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("evidence", DoubleType())]))
@@ -393,7 +419,7 @@ def fit(sample: DataFrame, model: CharModel) -> Scorer:
     """Learn from a bounded sample (doc_id, text, y in 0/1).
 
     Two thirds of it, by a hash of the id, tell which words and prefixes are evidence: those in
-    at least SUPPORT toxic texts with a lower bound of their toxic share above one half.  The
+    at least SUPPORT toxic texts (TOGETHER of them with it written together) with a lower bound of their toxic share above one half.  The
     evidence of one is -log(1 - bound).  The last third fits the logistic curve of the score.
     Without labels of both kinds every score is the share of toxic rows (0 without rows).
     """

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -479,6 +481,84 @@ def test_toxicity_of_long_runs_and_word_ends(spark):
     assert got[3] >= scorer.evidence["idiot"] + scorer.evidence["worthless"] and got[4] >= scorer.evidence["scoundrelishness"]
 
 
+def symbols(raw):
+    return [0 if not chr(b).isalpha() and b < 128 else 27 if b >= 128 else ord(chr(b).lower()) - 96 for b in raw]
+
+
+def test_character_model_counts_every_four(spark):
+    rng = random.Random(4)
+    texts = ["Ab1 çé", None, "", "x", *[prose(rng, 30) for _ in range(9)]]
+    seen = symbols(b"\n" + b"\n".join((t or "").encode() for t in texts) + b"\n")
+    want = Counter(zip(seen, seen[1:], seen[2:], seen[3:], strict=False))
+    model = toxicity.char_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    got = {(f // 28**3, f // 28**2 % 28, f // 28 % 28, f % 28): int(model.fours[f]) for f in np.flatnonzero(model.fours).tolist()}
+    assert got == want
+    state = 28 * 28 * 20 + 28 * 8 + 5  # "the" ends a word or goes on
+    assert math.isclose(sum(math.exp(x) for x in model.logs[state * 28 : state * 28 + 28]), 1)
+    twice = spark.createDataFrame([(1, "abcdé" * 9)] * 6, "doc_id long, text string").repartition(3)
+    assert toxicity.char_model(twice).fours[(28 * 28 * 28 * 1) + 28 * 28 * 2 + 28 * 3 + 4] == 54
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    rng = random.Random(12)
+    text = symbols(prose(rng, 3000).encode())
+    fours = np.zeros(28**4, np.int64)
+    for a, b, c, d in zip(text, text[1:], text[2:], text[3:], strict=False):
+        fours[((a * 28 + b) * 28 + c) * 28 + d] += 1
+    model = toxicity.CharModel(fours)
+
+    def worth(reading, costs):
+        run, total = [0, 0, 0, *symbols(reading.encode()), 0], sum(costs)
+        for a, b, c, d in zip(run, run[1:], run[2:], run[3:], strict=False):
+            total += model.logs[((a * 28 + b) * 28 + c) * 28 + d]
+        return total
+
+    tokens = ["1d10t", "l0$er", "w.0.r*d", "*|1*", "aaa+|1", "th3.*", "é1*a", "s!!!t"]
+    tokens += ["".join(rng.choice("aelnrt013!|*.") for _ in range(rng.randint(2, 8))) for _ in range(60)]
+    for token in tokens:
+        lattice = toxicity._lattice(token)
+        if lattice is None:
+            assert toxicity.restore(token, model) is None
+            continue
+        ways = [("".join(x for x, _ in way), [p for _, p in way]) for way in itertools.product(*lattice[0])]
+        best = max(worth(*way) for way in ways)
+        top = {reading for reading, costs in ways if worth(reading, costs) > best - 1e-9}
+        assert toxicity.restore(token, model) in top, token
+
+
+def test_finder_against_every_substring():
+    rng = random.Random(3)
+    features = {"".join(rng.choice("ab") for _ in range(rng.randint(3, 7))) + rng.choice(["", "-"]) for _ in range(40)}
+    finder = toxicity.Finder(features)
+    for _ in range(30):
+        runs = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 20))) for _ in range(2)]
+        want = {f for f in features for r in runs
+                if (f in r if not f.endswith("-") else any(r.startswith(f[:-1], i) for i in range(len(r) - len(f) + 1)))}
+        assert finder.features(runs) == want
+    assert toxicity.Finder([]).features(["abc"]) == set()
+
+
+def test_long_runs_need_little_memory(spark):
+    """A passage of 10,000 single letters and a word of 5,000 characters in the labelled sample."""
+    rng = random.Random(9)
+    letters = [rng.choice("etaoinshrdlu") for _ in range(10_000)]
+    junk = "".join(rng.choice("etaoinshrdlu") for _ in range(5_000))
+    rows = toxic_rows() + [(9001, " ".join(letters), 1), (9002, junk + " end", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    scorer = toxicity.train(docs, spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert {"idiot", "loser", "worthless"} <= set(scorer.evidence) and max(map(len, scorer.evidence)) < 50
+    reader = toxicity.Reader(scorer.model)
+    tracemalloc.start()
+    try:
+        apart = [a for _, a in reader.read([r[1].encode() for r in rows[-2:]])]
+        found = toxicity.Finder([*scorer.evidence, "eta", "nshr-"]).features(apart[0])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [len(a) for a in apart] == [1, 0] and "eta" in found
+    assert peak < 200_000_000, peak
+
+
 def test_sha_of_kept_bytes_matches_query(spark):
     from cairntrace.llm.queries import QUERIES
 
