@@ -84,10 +84,11 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for _, texts in steps(batches):
-            x = _SYMBOL[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)].astype(np.int64)
+            raw = b"\n" + b"\n".join(texts) + b"\n"
+            x = np.frombuffer(raw.translate(_SYMBOL.tobytes()), np.uint8)
             if len(x) >= 4:
-                pairs = x[:-1] * SYMBOLS + x[1:]
-                total += np.bincount(pairs[:-2] * SYMBOLS**2 + pairs[2:], minlength=size)
+                pairs = x[:-1] * np.int16(SYMBOLS) + x[1:]
+                total += np.bincount(pairs[:-2] * np.int64(SYMBOLS**2) + pairs[2:], minlength=size)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["four", "n"])
 
