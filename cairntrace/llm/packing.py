@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from dataclasses import dataclass
+from itertools import chain, islice, repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -14,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import IdStore, held, steps
-from cairntrace.llm.common import NO_ID, parts_for, written
+from cairntrace.llm.batches import IdStore, held, mixed, steps
+from cairntrace.llm.common import NO_ID, written
 
 WINDOW = 2048
 #: Id that ends each document.
@@ -24,9 +26,19 @@ END_ID = 1
 SHARD_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a worker remembers.
 REMEMBERED = 200_000
-#: Terms of a seed that are looked up.
-QUERY_TERMS = 16
+#: Terms in more than this share of a shard's documents are scored for many seeds at once, and so many numbers
+#: such a block of scores may hold.
+COMMON, BLOCK = 1 / 8, 1 << 21
 K1, B = 1.2, 0.75
+#: Distinct documents (about so many, chosen by a hash) that the topics are fitted on.
+SAMPLE = 4096
+#: Components of a document's sketch, and rounds that move the topics.
+SKETCH, ROUNDS = 256, 12
+#: A topic has 2^BITS cells; at most TOPICS * 2^BITS = 65,536 cells are counted, the bound of what
+#: the driver sees of them.
+TOPICS, BITS = 1024, 6
+#: Bytes of text that make a token, about.
+TOKEN_BYTES = 2.5
 
 # Byte-level vocabularies write each byte as a character: printable ones as themselves, the rest from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -121,17 +133,79 @@ class WordTokenizer:
         return ids, ends[first]
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
+@dataclass(frozen=True)
+class Topics:
+    """Where a document belongs: its nearest topic, and a cell of it.
+
+    A document's sketch adds the weights of its tokens, each with a sign, to SKETCH components by
+    the token's hash; roots damp repetition.  Copies fall into one cell, near copies mostly.
+    """
+
+    weight: np.ndarray
+    centres: np.ndarray
+
+    def sketches(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """One sketch of length 1 per document (0 for one without tokens)."""
+        at, signed = self._places()
+        flat = np.bincount(owner * SKETCH + at[ids], signed[ids], minlength=n * SKETCH)
+        x = flat.reshape(n, SKETCH).astype(np.float32)
+        return _unit(np.sign(x) * np.sqrt(np.abs(x)))
+
+    def _places(self) -> tuple[np.ndarray, np.ndarray]:
+        drawn = mixed(np.arange(len(self.weight), dtype=np.uint64) + np.uint64(1))
+        sign = np.where(drawn >> np.uint64(63), 1.0, -1.0)
+        return (drawn % np.uint64(SKETCH)).astype(np.int64), self.weight * sign
+
+    def cells(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """topic * 2^BITS + cell of each document."""
+        x = self.sketches(ids, owner, n)
+        topic = np.argmax(x @ self.centres.T, 1)
+        planes = np.random.default_rng(1).standard_normal((SKETCH, BITS)).astype(np.float32)
+        above = (x - self.centres[topic]) @ planes > 0
+        return (topic << BITS) + above @ (1 << np.arange(BITS))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+
+
+def centres_of(x: np.ndarray, topics: int) -> np.ndarray:
+    """At most `topics` centres of the sketches by spherical k-means, like ones next to each other."""
+    rng = np.random.default_rng(0)
+    if not len(x):
+        return np.zeros((1, SKETCH), np.float32)
+    centres = x[rng.permutation(len(x))[:topics]].copy()
+    for _ in range(ROUNDS):
+        near = np.argmax(x @ centres.T, 1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        met = np.bincount(near, minlength=len(centres)) > 0
+        centres[met] = _unit(sums[met])
+    axis = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
+    return centres[np.argsort(centres @ axis, kind="stable")]
+
+
+def tokenised(
+    docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, topics: Topics | None = None
+) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit or, for vocabularies that allow it, 16-bit, with the
-    end id), n; and one row per partition with a null `ids` and the numbers of documents in
+    end id), n, cell (of `topics`, else 0), again (how many rows of its id came before it in the task);
+    and one row per partition with a null `ids` and the numbers of documents in
     which each id occurs (`counts`, unsigned 32-bit)."""
 
+    names = ["doc_id", "ids", "n", "cell", "again", "counts"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = held(("word ids", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
         size = tokenizer.model.get_vocab_size()
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         counts = np.zeros(size, np.int64)
+        met: Counter = Counter()
         for batch, texts in steps(batches):
+            again = []
+            for i in batch.column(0).to_pylist():
+                again.append(met[i])
+                met[i] += 1
             ids, ends = tokenizer.encode(texts)
             n = len(texts)
             sizes = np.diff(ends)
@@ -139,6 +213,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
             owner = np.repeat(np.arange(n), sizes)
             whole[np.arange(len(ids)) + owner] = ids
             counts += np.bincount(np.unique(owner * size + ids) % size, minlength=size)
+            cell = topics.cells(ids, owner, n) if topics else np.zeros(n, np.int64)
             cuts = ((ends + np.arange(n + 1)) * kind.itemsize).tolist()
             raw = whole.tobytes()
             yield pa.record_batch(
@@ -146,22 +221,26 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
                     batch.column(0),
                     pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array(sizes + 1, pa.int64()),
+                    pa.array(cell, pa.int32()),
+                    pa.array(again, pa.int64()),
                     pa.nulls(n, pa.binary()),
                 ],
-                ["doc_id", "ids", "n", "counts"],
+                names,
             )
         yield pa.record_batch(
             [
                 pa.nulls(1, pa.int64()),
                 pa.nulls(1, pa.binary()),
                 pa.array([0], pa.int64()),
+                pa.nulls(1, pa.int32()),
+                pa.nulls(1, pa.int64()),
                 pa.array([counts.astype("<u4").tobytes()], pa.binary()),
             ],
-            ["doc_id", "ids", "n", "counts"],
+            names,
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n long, counts binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, n long, cell int, again long, counts binary")
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -179,6 +258,59 @@ def _summed(counts: DataFrame) -> DataFrame:
     return counts.mapInPandas(run, "counts binary")
 
 
+def inverse_frequencies(made: DataFrame) -> np.ndarray:
+    """BM25's weight of each id over all documents of a table that `tokenised` made."""
+    arrays = _summed(made.where("counts IS NOT NULL").select("counts").repartition(8)).collect()
+    frequency = sum((np.frombuffer(r["counts"], "<i8") for r in arrays), np.zeros(1, np.int64))
+    total = made.where("ids IS NOT NULL").agg(F.count("*").alias("n")).first()["n"]
+    return np.log1p((total - frequency + 0.5) / (frequency + 0.5))
+
+
+def fit_topics(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, shard_tokens: int) -> Topics:
+    """Topics of a sample of about SAMPLE distinct documents, one per shard that the texts will need, at most TOPICS.
+
+    Every document gets its place by them; only what they look like rests on the sample."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    seen = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    wanted = min(TOPICS, 1 + int((seen["size"] or 0) / (TOKEN_BYTES * shard_tokens)))
+    if wanted == 1:
+        return Topics(np.zeros(1), np.zeros((1, SKETCH), np.float32))
+    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).where("text <> ''")
+    if seen["n"] > SAMPLE:
+        drawn = drawn.where(F.col("h") < int(-(2**63) + 2**64 / seen["n"] * SAMPLE))
+    made = written(tokenised(drawn.dropDuplicates(["h"]), tokenizer_path, "doc_id", "text"), "sample-ids")
+    plain = Topics(inverse_frequencies(made), np.zeros((1, SKETCH), np.float32))
+    kind = "<u2" if len(plain.weight) <= 1 << 16 else "<u4"
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids = np.frombuffer(raw, kind)[:-1].astype(np.int64)
+                x = plain.sketches(ids, np.zeros(len(ids), np.int64), 1)
+                yield pa.record_batch([pa.array([x.astype("<f4").tobytes()], pa.binary())], ["sketch"])
+
+    found = made.where("ids IS NOT NULL").select("ids").mapInArrow(sketch, "sketch binary").collect()
+    ordered = sorted(bytes(r["sketch"]) for r in found)
+    x = np.frombuffer(b"".join(ordered), "<f4").reshape(-1, SKETCH).astype(np.float32)
+    return Topics(plain.weight, centres_of(x, wanted))
+
+
+def shards_of_cells(tokens: dict[int, int], shard_tokens: int) -> dict[int, tuple[int, int]]:
+    """First shard and number of shards of each cell: neighbouring cells share a shard of about
+    `shard_tokens` tokens, a cell with more is split."""
+    out: dict[int, tuple[int, int]] = {}
+    shard = filled = 0
+    for cell in sorted(tokens):
+        n = tokens[cell]
+        if filled and filled + n > 1.25 * shard_tokens:
+            shard, filled = shard + 1, 0
+        parts = max(1, round(n / shard_tokens))
+        out[cell] = shard, parts
+        shard += parts - 1
+        filled = shard_tokens * 2 if parts > 1 else filled + n
+    return out
+
+
 class Shard:
     """A BM25 index over the remainders of one shard's documents."""
 
@@ -191,24 +323,42 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         by_term = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[by_term], weight[by_term]
-        self.first = np.searchsorted(term[by_term], np.arange(size + 1))
-        # The rarest terms of each document, by weight, are its query.
-        order = np.lexsort((term, -weight, doc))
+        first = np.searchsorted(term[by_term], np.arange(size + 1))
+        # Common terms: a matrix (at most pairs / COMMON numbers).  All others: postings.
+        common = np.flatnonzero(np.diff(first) > max(1.0, COMMON * n))
+        row = np.full(size, -1, np.int64)
+        row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), n), np.float32)
+        often = row[term] >= 0
+        self.matrix[row[term[often]], doc[often]] = weight[often]
+        self.doc, self.weight, self.first = doc[by_term], weight[by_term], first
         begin = np.searchsorted(doc, np.arange(n + 1))
-        self.query = [term[order[a : min(b, a + QUERY_TERMS)]] for a, b in zip(begin[:-1], begin[1:], strict=True)]
-        self.n = n
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents by descending score; those that share no term come last, in order."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
-        score = np.bincount(
-            np.concatenate([self.doc[s] for s in spans]),
-            np.concatenate([self.weight[s] for s in spans]),
-            minlength=self.n,
-        )
+        self.terms = [term[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        self.row, self.n = row, n
+
+    def common_scores(self, seeds: list[int]) -> dict[int, np.ndarray]:
+        """What the common terms of each seed add to all documents."""
+        has = np.zeros((len(seeds), len(self.matrix)), np.float32)
+        for i, seed in enumerate(seeds):
+            rows = self.row[self.terms[seed]]
+            has[i, rows[rows >= 0]] = 1
+        return dict(zip(seeds, has @ self.matrix, strict=True))
+
+    def neighbours(self, seed: int, unused: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Unused documents by descending score over all terms; those that share no term come last, in order."""
+        common = self.common_scores([seed])[seed] if common is None else common
+        terms = self.terms[seed]
+        spans = [slice(self.first[t], self.first[t + 1]) for t in terms[self.row[terms] < 0]]
+        score = common.astype(np.float64)
+        if spans:
+            score += np.bincount(
+                np.concatenate([self.doc[s] for s in spans]),
+                np.concatenate([self.weight[s] for s in spans]),
+                minlength=self.n,
+            )
         left = np.flatnonzero(unused)
-        return left[np.argsort(-score[left], kind="stable")]
+        # rounded, so that the order does not hang on how a machine adds
+        return left[np.argsort(-np.round(score[left], 3), kind="stable")]
 
 
 def pack_shard(ids: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -216,7 +366,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
 
     Whole windows are cut from long documents first.  Then the unused document with the
     longest remainder is the seed of a window, and its neighbours fill it in order of their
-    scores; the one that doesn't fit is cut there, and its rest remains unused.  What is
+    scores over all its terms; the one that doesn't fit is cut there, and its rest remains unused.  What is
     left at the end is dealt into sequences of power-of-two lengths, which need no padding.
     """
     out: list[tuple[int, int, int, int, int]] = []
@@ -238,9 +388,14 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
     tail: list[tuple[int, int, int]] = []
     left = int((size - done).sum())
     seeds = sorted((int(d) for d in items), key=lambda d: (done[d] - size[d], d))
-    for seed in seeds:
+    ahead: dict[int, np.ndarray] = {}
+    block = max(1, min(64, BLOCK // len(items)))
+    for turn, seed in enumerate(seeds):
         if not free[place[seed]]:
             continue
+        if place[seed] not in ahead:
+            waiting = (place[d] for d in seeds[turn:] if free[place[d]])
+            ahead = index.common_scores(list(islice(waiting, block)))
         last = left < window
         room = left if last else window
         filled: list[tuple[int, int, int]] = []
@@ -255,7 +410,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
 
         take(seed)
         if room:
-            for i in index.neighbours(place[seed], free):
+            for i in index.neighbours(place[seed], free, ahead[place[seed]]):
                 take(int(items[i]))
                 if not room:
                     break
@@ -298,16 +453,10 @@ def pack(
 
     Null texts are empty: one piece with the end id alone.  Null ids and repeated rows are
     packed like other rows, each row by itself.  Document frequencies are those of all
-    documents; each shard holds about `shard_tokens` tokens of documents dealt by a hash and
+    documents; each shard holds about `shard_tokens` tokens of documents of like content and
     is one inverted index.  An empty table gives no pieces.  Further columns are not read.
     """
-    made = written(tokenised(docs, tokenizer_path, id_col, text_col), "token-ids")
-    arrays = _summed(made.where("counts IS NOT NULL").select("counts").repartition(8)).collect()
-    frequency = sum((np.frombuffer(r["counts"], "<i8") for r in arrays), np.zeros(1, np.int64))
-    rows = made.where("ids IS NOT NULL")
-    total = rows.agg(F.count("*").alias("n")).first()["n"]
-    idf = np.log1p((total - frequency + 0.5) / (frequency + 0.5))
-    shards = parts_for(rows, F.col("n"), shard_tokens, least=1)
+    rows, idf = dealt(docs, tokenizer_path, id_col, text_col, shard_tokens)
     kind = "<u2" if len(idf) <= 1 << 16 else "<u4"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -327,10 +476,30 @@ def pack(
             }
         )
 
-    dealt = rows.select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("k"),
-        "ids",
-        F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).alias("shard"),
+    return rows.groupBy("shard").applyInPandas(run, PIECES)
+
+
+def dealt(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS
+) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, k, ids, shard) of every row, and the weight of each id.
+
+    Shards follow content, so that a document's neighbours are mostly in its own.  Repeated
+    rows of one id are spread over the shards of their cell."""
+    topics = fit_topics(docs, tokenizer_path, id_col, text_col, shard_tokens)
+    placed = topics if len(topics.centres) > 1 else None
+    made = written(tokenised(docs, tokenizer_path, id_col, text_col, placed), "token-ids")
+    idf = inverse_frequencies(made)
+    rows = made.where("ids IS NOT NULL")
+    sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    places = [(cell, *place) for cell, place in shards_of_cells(sizes, shard_tokens).items()]
+    table = docs.sparkSession.createDataFrame(places, "cell int, first long, parts long")
+    spread = F.pmod(F.xxhash64("doc_id", F.crc32("ids"), "again"), F.col("parts"))
+    # at most 2^BITS cells of at most TOPICS topics
+    joined = rows.join(F.broadcast(table), "cell")
+    return (
+        joined.select(
+            "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "ids", (F.col("first") + spread).alias("shard")
+        ),
+        idf,
     )
-    return dealt.groupBy("shard").applyInPandas(run, PIECES)

@@ -288,6 +288,65 @@ def test_packing_prefers_neighbours():
     assert all(len(x) == 1 for x in by.values())
 
 
+def brute_scores(texts, idf, seed):
+    """BM25 of every document for all distinct terms of the seed."""
+    mean = sum(map(len, texts)) / len(texts)
+    out = []
+    for t in texts:
+        norm = packing.K1 * (1 - packing.B + packing.B * len(t) / mean)
+        tf = Counter(t.tolist())
+        out.append(sum(idf[x] * tf[x] * (packing.K1 + 1) / (tf[x] + norm) for x in set(texts[seed].tolist()) if tf[x]))
+    return out
+
+
+def test_neighbours_are_those_of_brute_force():
+    rng = np.random.default_rng(2)
+    texts = [np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 299).astype(np.int64) for _ in range(70)]
+    idf = rng.random(300) + 0.1
+    shard = packing.Shard(texts, idf)
+    assert 0 < len(shard.matrix) < 100
+    unused = rng.random(70) < 0.8
+    for seed in range(70):
+        want = brute_scores(texts, idf, seed)
+        got = shard.neighbours(seed, unused)
+        assert sorted(got.tolist()) == np.flatnonzero(unused).tolist()
+        order = [want[i] for i in got.tolist()]
+        assert all(a > b - 0.002 for a, b in itertools.pairwise(order)), seed
+
+
+def test_shards_follow_content(spark):
+    """Topics of words of their own, copies, repeated rows: like documents meet, shards stay bounded."""
+    rng = random.Random(6)
+    vocabularies = [[prose(rng, 1) + prose(rng, 1) for _ in range(60)] for _ in range(4)]
+    rows = [(i, " ".join(rng.choices(vocabularies[i % 4], k=80))) for i in range(240)]
+    rows += [(500 + i, rows[8][1]) for i in range(40)] + [rows[5]] * 300 + [(None, rows[6][1])] * 60 + [(900, None), (901, "")]
+    rng.shuffle(rows)
+    docs = frame(spark, rows).repartition(3)
+    each = 12_000
+    dealt, _ = packing.dealt(docs, word_vocabulary(), shard_tokens=each)
+    got = [(r["k"], r["shard"], len(r["ids"]) // 2) for r in dealt.collect()]
+    assert Counter(k for k, *_ in got) == Counter(-(2**63) if i is None else i for i, _ in rows)
+    tokens, met = Counter(), defaultdict(Counter)
+    for k, shard, n in got:
+        tokens[shard] += n
+        if 0 <= k < 240 and k != 5:
+            met[k % 4][shard] += 1
+    assert len(tokens) > 4 and max(tokens.values()) < 2.5 * each
+    # two documents of a topic are in one shard more often than by chance
+    together = sum(n * n for c in met.values() for n in c.values()) / sum(sum(c.values()) ** 2 for c in met.values())
+    chance = sum((n / sum(tokens.values())) ** 2 for n in tokens.values())
+    assert together > 1.5 * chance, (together, chance)
+    assert len({shard for k, shard, _ in got if k == 5}) > 1
+    pieces = packing.pack(docs, word_vocabulary(), shard_tokens=each).collect()
+    assert sum(p["length"] for p in pieces) == sum(tokens.values())
+
+
+def test_cells_fill_shards():
+    got = packing.shards_of_cells({1: 50, 2: 40, 7: 900, 8: 30, 9: 30, 12: 100}, 100)
+    assert got == {1: (0, 1), 2: (0, 1), 7: (1, 9), 8: (10, 1), 9: (10, 1), 12: (11, 1)}
+    assert packing.shards_of_cells({}, 100) == {}
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
