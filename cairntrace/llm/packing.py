@@ -28,7 +28,7 @@ SHARD_TOKENS = 2_000_000
 REMEMBERED = 200_000
 #: Terms in more than this share of a shard's documents are scored for many seeds at once, and so many numbers
 #: such a block of scores may hold.
-COMMON, BLOCK = 1 / 8, 1 << 21
+COMMON, BLOCK = 1 / 4, 1 << 21
 K1, B = 1.2, 0.75
 #: Distinct documents (about so many, chosen by a hash) that the topics are fitted on.
 SAMPLE = 4096
@@ -159,9 +159,10 @@ class Topics:
     def cells(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """topic * 2^BITS + cell of each document."""
         x = self.sketches(ids, owner, n)
-        topic = np.argmax(x @ self.centres.T, 1)
+        # einsum: the threads of a matrix library would go on spinning beside the tokenizer
+        topic = np.argmax(np.einsum("nd,td->nt", x, self.centres), 1)
         planes = np.random.default_rng(1).standard_normal((SKETCH, BITS)).astype(np.float32)
-        above = (x - self.centres[topic]) @ planes > 0
+        above = np.einsum("nd,db->nb", x - self.centres[topic], planes) > 0
         return (topic << BITS) + above @ (1 << np.arange(BITS))
 
 
@@ -328,29 +329,31 @@ class Shard:
         common = np.flatnonzero(np.diff(first) > max(1.0, COMMON * n))
         row = np.full(size, -1, np.int64)
         row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), n), np.float32)
+        self.matrix = np.zeros((n, len(common)), np.float32)
         often = row[term] >= 0
-        self.matrix[row[term[often]], doc[often]] = weight[often]
+        self.matrix[doc[often], row[term[often]]] = weight[often]
         self.doc, self.weight, self.first = doc[by_term], weight[by_term], first
         begin = np.searchsorted(doc, np.arange(n + 1))
         self.terms = [term[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
         self.row, self.n = row, n
 
-    def common_scores(self, seeds: list[int]) -> dict[int, np.ndarray]:
-        """What the common terms of each seed add to all documents."""
-        has = np.zeros((len(seeds), len(self.matrix)), np.float32)
+    def common_scores(self, seeds: list[int], unused: np.ndarray) -> dict[int, np.ndarray]:
+        """What the common terms of each seed add to the unused documents."""
+        has = np.zeros((len(seeds), self.matrix.shape[1]), np.float32)
         for i, seed in enumerate(seeds):
             rows = self.row[self.terms[seed]]
             has[i, rows[rows >= 0]] = 1
-        return dict(zip(seeds, has @ self.matrix, strict=True))
+        out = np.zeros((len(seeds), self.n), np.float32)
+        out[:, unused] = np.einsum("bt,nt->bn", has, self.matrix[unused])
+        return dict(zip(seeds, out, strict=True))
 
     def neighbours(self, seed: int, unused: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
         """Unused documents by descending score over all terms; those that share no term come last, in order."""
-        common = self.common_scores([seed])[seed] if common is None else common
         terms = self.terms[seed]
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms[self.row[terms] < 0]]
-        score = common.astype(np.float64)
-        if spans:
+        rare = terms[self.row[terms] < 0]
+        score = (self.common_scores([seed], unused)[seed] if common is None else common).astype(np.float64)
+        if len(rare):
+            spans = [slice(a, b) for a, b in zip(self.first[rare].tolist(), self.first[rare + 1].tolist(), strict=True)]
             score += np.bincount(
                 np.concatenate([self.doc[s] for s in spans]),
                 np.concatenate([self.weight[s] for s in spans]),
@@ -395,7 +398,7 @@ def pack_shard(ids: list[np.ndarray], idf: np.ndarray, window: int = WINDOW) ->
             continue
         if place[seed] not in ahead:
             waiting = (place[d] for d in seeds[turn:] if free[place[d]])
-            ahead = index.common_scores(list(islice(waiting, block)))
+            ahead = index.common_scores(list(islice(waiting, block)), free)
         last = left < window
         room = left if last else window
         filled: list[tuple[int, int, int]] = []
