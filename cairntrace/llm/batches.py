@@ -72,9 +72,9 @@ class Kinds:
 
 
 def word_steps(
-    batches: Iterator[pa.RecordBatch], text_col: str = "text", each: int = STEP_BYTES
+    batches: Iterator[pa.RecordBatch], text_col: str = "text", each: int = STEP_BYTES, lower: bool = True
 ) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Kinds]]:
-    """Slices of the batches as `steps` gives them, with their words in lower case (A-Z only): the number
+    """Slices of the batches as `steps` gives them, with their words (with `lower`, A-Z in lower case): the number
     of words per text, each word's place among the distinct words, and those."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()).fill_null("")
@@ -83,7 +83,8 @@ def word_steps(
         while first < len(texts):
             before = int(ends[first - 1]) if first else 0
             last = max(first + 1, int(np.searchsorted(ends, before + each, side="right")))
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(first, last - first)))
+            part = texts.slice(first, last - first)
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(part) if lower else part)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             coded = lists.flatten().dictionary_encode()
             kinds, which = Kinds(coded.dictionary), coded.indices.to_numpy().astype(np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import IdStore, held, mixed, steps
+from cairntrace.llm.batches import IdStore, held, mixed, word_steps
 from cairntrace.llm.common import NO_ID, written
 
 WINDOW = 2048
@@ -115,21 +115,20 @@ class WordTokenizer:
         self.store.add_all(np.array(flat, np.int32), np.array(ends, np.int64))
         self.known.update(zip(chain(done, hard), range(first, self.store.n), strict=True))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's ids begin (with the end)."""
+    def encode(self, pieces: list[bytes], which: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids begin (with the end); texts are
+        given by distinct pieces, the places of all pieces among them, and their number per text."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        split = [t.split() for t in texts]
-        pieces = list(chain.from_iterable(split))
-        which = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            found = [pieces[i] for i in missing.tolist()]
-            self._learn(list(set(found)))
-            which[missing] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-        ids, ends = self.store.gather(which)
-        first = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(s) for s in split], out=first[1:])
+        numbers = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = [i for i in np.flatnonzero(numbers < 0).tolist() if pieces[i]]
+        if missing:
+            found = [pieces[i] for i in missing]
+            self._learn(found)
+            numbers[missing] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        ids, ends = self.store.gather(numbers[which])
+        first = np.zeros(len(per_text) + 1, np.int64)
+        np.cumsum(per_text, out=first[1:])
         return ids, ends[first]
 
 
@@ -202,13 +201,13 @@ def tokenised(
         kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         counts = np.zeros(size, np.int64)
         met: Counter = Counter()
-        for batch, texts in steps(batches):
+        for batch, per_text, which, kinds in word_steps(batches, lower=False):
             again = []
             for i in batch.column(0).to_pylist():
                 again.append(met[i])
                 met[i] += 1
-            ids, ends = tokenizer.encode(texts)
-            n = len(texts)
+            ids, ends = tokenizer.encode(kinds.words(), which, per_text)
+            n = len(per_text)
             sizes = np.diff(ends)
             whole = np.full(len(ids) + n, END_ID, kind)
             owner = np.repeat(np.arange(n), sizes)
