@@ -299,7 +299,9 @@ def brute_scores(texts, idf, seed):
     return out
 
 
-def test_neighbours_are_those_of_brute_force():
+@pytest.mark.parametrize("head", [64, 5])
+def test_neighbours_are_those_of_brute_force(monkeypatch, head):
+    monkeypatch.setattr(packing, "HEAD", head)
     rng = np.random.default_rng(2)
     texts = [np.minimum(rng.zipf(1.3, rng.integers(1, 60)), 299).astype(np.int64) for _ in range(70)]
     idf = rng.random(300) + 0.1
@@ -308,9 +310,9 @@ def test_neighbours_are_those_of_brute_force():
     unused = rng.random(70) < 0.8
     for seed in range(70):
         want = brute_scores(texts, idf, seed)
-        got = shard.neighbours(seed, unused)
-        assert sorted(got.tolist()) == np.flatnonzero(unused).tolist()
-        order = [want[i] for i in got.tolist()]
+        got = list(shard.neighbours(seed, unused))
+        assert sorted(got) == np.flatnonzero(unused).tolist()
+        order = [want[i] for i in got]
         assert all(a > b - 0.002 for a, b in itertools.pairwise(order)), seed
 
 
