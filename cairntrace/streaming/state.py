@@ -11,11 +11,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Buckets that the keys of trailing counts are dealt to.
+BUCKETS = 16
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -134,52 +137,86 @@ def live_queue(events: DataFrame, lateness: str) -> DataFrame:
 
 
 class TrailingCounts(StatefulProcessor):
-    """Requests of one key in one stretch of time as long as the window, and those of the stretch before it."""
+    """Requests of one bucket of keys in one stretch of time as long as the window, and those of the stretch before it.
+
+    The state is a list of chunks, one per batch and bucket: a batch appends to it and reads nothing."""
 
     def __init__(self, window_sec: int, limit: int) -> None:
         self.window, self.limit = window_sec, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = Waiting(handle, "waiting", 2)
+        self.waiting = handle.getListState("waiting", "chunk binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = _stacked(rows, ["ts", "n", "own"])
-        self.waiting.add(found[:, 0], found[:, 1:])
+        frame = pd.concat([f[["name", "ts", "n", "own"]] for f in rows], ignore_index=True)
+        batch = pa.RecordBatch.from_pandas(frame, REQUESTS, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, REQUESTS) as out:
+            out.write_batch(batch)
+        self.waiting.appendValue((sink.getvalue().to_pybytes(),))
         self.handle.registerTimer((int(key[1]) + 1) * self.window * 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ts, counts = self.waiting.read()
-        self.waiting.state.clear()
-        upto = np.concatenate([[0], np.cumsum(counts[:, 0])])
-        own = np.flatnonzero(counts[:, 1])
-        inside = upto[own + 1] - upto[np.searchsorted(ts, ts[own] - self.window, side="right")]
-        if len(own):
-            yield pd.DataFrame({"key": key[0], "ts": ts[own], "in_window": inside, "over_limit": inside > self.limit})
+        chunks = [pa.ipc.open_stream(bytes(raw)).read_all() for (raw,) in self.waiting.get()] if self.waiting.exists() else []
+        self.waiting.clear()
+        if chunks:
+            told = trailing(pa.concat_tables(chunks), self.window)
+            yield told.assign(over_limit=told["in_window"] > self.limit)
 
     def close(self) -> None:
         pass
 
 
+#: Requests of a second that wait: the key as text, the second, how many there are, and how many of them count here.
+REQUESTS = pa.schema([("name", pa.string()), ("ts", pa.int64()), ("n", pa.int64()), ("own", pa.int64())])
+
+
+def trailing(requests: pa.Table, window: int) -> pd.DataFrame:
+    """Per key and second with requests of its own: the requests of the key in the last `window` seconds."""
+    code, names = pd.factorize(requests["name"].to_pandas().astype(object), use_na_sentinel=False)
+    ts, n, own = (requests[c].to_numpy() for c in ("ts", "n", "own"))
+    # one number per key and second; keys lie further apart than the window is long
+    first = ts.min()
+    span = int(ts.max() - first) + window + 1
+    at, which = np.unique(code * span + (ts - first), return_inverse=True)
+    counts = np.zeros((len(at), 2), np.int64)
+    np.add.at(counts, which, np.stack([n, own], 1))
+    upto = np.concatenate([[0], np.cumsum(counts[:, 0])])
+    told = np.flatnonzero(counts[:, 1])
+    whose = at[told] // span
+    low = np.searchsorted(at, np.maximum(at[told] - window, whose * span - 1), side="right")
+    return pd.DataFrame(
+        {"name": names[whose], "ts": at[told] - whose * span + first, "in_window": upto[told + 1] - upto[low]}
+    )
+
+
 def live_counts(log: DataFrame, lateness: str, window_sec: int = 60, limit: int = 10, key: str = "key") -> DataFrame:
     """`sliding.sliding_counts` of a stream of requests (key, ts): per (key, second) the requests of the last
     `window_sec` seconds, whether they arrived in order or not.
 
     Time is cut into stretches as long as the window.  A request goes to its own stretch, where it is counted, and to
     the next one, whose requests still see it; so a key's requests are spread over the stretches, and a state lasts until the
-    watermark has passed its stretch.  Requests of a stretch that is over by more than `lateness` are counted among
+    watermark has passed its stretch.  Keys share the states of BUCKETS buckets: there are as many states as buckets and
+    stretches, however many keys.  Requests of a stretch that is over by more than `lateness` are counted among
     themselves only."""
     keep_state_on_disk(log.sparkSession)
     stretch = F.floor(F.col("ts") / F.lit(window_sec)).cast("long")
+    kind = dict(log.dtypes)[key]
+    binary = kind == "binary"
 
     def to(k: int, own: int):
         return F.struct((stretch + k).alias("stretch"), F.lit(1).cast("long").alias("n"), F.lit(own).cast("long").alias("own"))
 
-    requests = timed(log.select(F.col(key).alias("key"), F.col("ts").cast("long").alias("ts")), "ts", lateness)
-    dealt = requests.select("key", "ts", F.inline(F.array(to(0, 1), to(1, 0))))
-    kind = dict(log.dtypes)[key]
-    counted = summed(dealt, ["key", "stretch"], "ts", ["n", "own"])
-    return counted.groupBy("key", "stretch").transformWithStateInPandas(
-        TrailingCounts(window_sec, limit), f"key {kind}, ts long, in_window long, over_limit boolean", "Append", "EventTime"
+    # keys travel as text, which keeps a null apart and long numbers whole
+    name = F.hex(F.col(key)) if binary else F.col(key).cast("string")
+    requests = timed(log.select(name.alias("name"), F.col("ts").cast("long").alias("ts")), "ts", lateness)
+    bucket = F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).alias("bucket")
+    dealt = requests.select("name", bucket, "ts", F.inline(F.array(to(0, 1), to(1, 0))))
+    counted = summed(dealt, ["name", "bucket", "stretch"], "ts", ["n", "own"])
+    told = counted.groupBy("bucket", "stretch").transformWithStateInPandas(
+        TrailingCounts(window_sec, limit), "name string, ts long, in_window long, over_limit boolean", "Append", "EventTime"
     )
+    back = F.unhex("name") if binary else F.col("name").cast(kind)
+    return told.select(back.alias("key"), "ts", "in_window", "over_limit")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cairntrace.operators.accuracy import outcome_columns
 from cairntrace.streaming import jobs as st
+from cairntrace.streaming.state import BUCKETS
 
 EVENTS = "queue_id string, ts long, dj long, dc long"
 
@@ -108,6 +109,20 @@ def test_live_counts_drop_states_that_are_over(spark, tmp_path):
     assert source.count() == 2
 
 
+def test_live_counts_of_many_keys_share_states(spark, tmp_path):
+    """As many states as buckets and stretches, however many keys; long and missing keys stay what they are."""
+    keys = [None, *(2**60 + k for k in range(200))]
+    log = [(k, t) for k in keys for t in (10, 40, 150)]
+    start = lambda s, out, mark: st.stream_request_counts(s, out, mark, "10 seconds", 100, 1)
+    stream = Streamed(spark, tmp_path, "key long, ts long", start)
+    stream.land(log)
+    source = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "waiting").load(stream.mark)
+    assert source.select("key").distinct().count() <= 2 * BUCKETS
+    rows = [r for r in stream.land([(-1, 9000)]) if r.key != -1]
+    assert {(r.key, r.ts): r.in_window for r in rows} == {(k, t): n for k in keys for t, n in ((10, 1), (40, 2), (150, 1))}
+    assert len(rows) == len(log) and all(r.over_limit == (r.in_window > 1) for r in rows)
+
+
 def test_each_job_passes_once(spark, tmp_path):
     schema = "job_id string, submit_ts long"
     start = lambda s, out, mark: st.write_stream(st.each_job_once(s), out, mark, None)
