@@ -197,11 +197,17 @@ def nodes_spec_cpus(c: Column) -> Column:
     return F.when(total > 0, total)
 
 
-def attribute(tokens: Column, key: str) -> Column:
-    """Last value of `key` among `key=value` tokens, null when absent or empty; values may hold '='."""
-    lead = f"{key}="
-    hit = F.try_element_at(F.filter(tokens, lambda t: F.startswith(t, F.lit(lead))), F.lit(-1))
-    return let(F.substring(hit, len(lead) + 1, 1 << 30), lambda v: F.when(v != "", v))
+def spaced(text: Column) -> Column:
+    """Text for `attribute`: blank at both ends, all white space a blank."""
+    blank = F.lit(" ")
+    return F.concat(blank, F.translate(text, "\t\n\x0b\f\r", " " * 5), blank)
+
+
+def attribute(text: Column, key: str) -> Column:
+    """Last value of `key` among the `key=value` tokens of a `spaced` text, null when absent or empty; values may hold '='."""
+    lead = F.lit(f" {key}=")
+    value = F.substring_index(F.substring_index(text, f" {key}=", -1), " ", 1)
+    return F.when(F.contains(text, lead), F.nullif(value, F.lit("")))
 
 
 def attribute_map(text: Column) -> Column:

@@ -104,9 +104,15 @@ def second_members(base: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- log text of the jobs
 
 
+#: Jobs that one task renders the lines of, about.
+SPREAD_ROWS = 250_000
+
+
 def spread(base: DataFrame) -> DataFrame:
-    """A log is many files: render it on all cores, not in the one task a small table is read by."""
-    return base.repartition(base.sparkSession.sparkContext.defaultParallelism)
+    """A log is many files: render it on all cores, not in the one task a small table is read by, and a long
+    one in more tasks than there are cores."""
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    return base.repartition(max(cores, base.count() // SPREAD_ROWS + 1))
 
 
 def _text(*parts) -> str:
@@ -195,7 +201,7 @@ def raw_pbs(base: DataFrame) -> DataFrame:
     job = "CASE WHEN job_id % 9 = 0 THEN concat(job_id, '[2].srv') ELSE concat(job_id, '.srv') END"
     exits = once(spread(base), {"value": F.expr(f"concat_ws(';', {stamp}, 'E', {job}, {body})")})
     queued = once(
-        base.filter("job_id % 10 = 0"),
+        spread(base.filter("job_id % 10 = 0")),
         {"value": F.expr(f"concat_ws(';', {stamp}, 'Q', {job}, concat('queue=', queue_id))")},
     )
     return exits.unionByName(queued)

@@ -14,6 +14,7 @@ from cairntrace.functions.scalars import (
     pbs_memory_mb,
     pbs_timestamp,
     pbs_walltime_sec,
+    spaced,
     strip,
 )
 from cairntrace.schema import JOBS
@@ -58,7 +59,7 @@ def classify(lines: DataFrame) -> DataFrame:
             "record": F.when(F.col("text").rlike(RECORD), F.get("parts", F.lit(1))),
             "time": F.get("parts", F.lit(0)),
             "raw_id": F.get("parts", F.lit(2)),
-            "tokens": F.split(F.coalesce(F.get("parts", F.lit(3)), F.lit("")), r"\s+"),
+            "attributes": spaced(F.coalesce(F.get("parts", F.lit(3)), F.lit(""))),
         },
         keep=["long"],
     )
@@ -66,14 +67,16 @@ def classify(lines: DataFrame) -> DataFrame:
 
     def attr(key: str) -> Column:
         # Attributes matter for exit records only.
-        return F.when(exits, attribute(F.col("tokens"), key))
+        return F.when(exits, attribute(F.col("attributes"), key))
 
     texts = {short: attr(key) for short, key in ATTRIBUTES.items()}
     df = once(df, {**texts, "stamp": F.when(exits, F.col("time"))}, keep=["long", "skip", "record", "raw_id"])
-    times = {c: pbs_timestamp(F.col(c)) for c in ("ctime", "qtime", "stamp", "start", "end")}
+    times = {c: pbs_timestamp(F.col(c)) for c in ("start", "end")}
     df = once(
         df,
         {
+            # a time that is not needed is not parsed
+            "submit": F.coalesce(*[pbs_timestamp(F.col(c)) for c in ("ctime", "qtime", "stamp")]),
             **times,
             "used": pbs_walltime_sec(F.col("used")),
             "asked": pbs_walltime_sec(F.col("asked")),
@@ -82,7 +85,6 @@ def classify(lines: DataFrame) -> DataFrame:
         },
         keep=["long", "skip", "record", "raw_id", "status", "user", "group", "queue"],
     )
-    df = df.withColumn("submit", F.coalesce("ctime", "qtime", "stamp"))
     return df.withColumn(
         "line_class",
         F.when(F.col("long"), "malformed")

@@ -1169,7 +1169,7 @@ def stream_poll_totals(spark, sf_dir):
     from cairntrace.streaming import jobs as st
 
     landed, out, stats, mark = (scratch(spark, n) for n in ("landed", "polled", "stats", "mark"))
-    fx.raw_pbs(fx.jobs(spark, sf_dir)).repartition(4).write.text(landed)
+    fx.raw_pbs(fx.jobs(spark, sf_dir)).write.text(landed)
     stream = st.stream_jobs(spark, landed, "pbs")
     st.poll_stats(stream, out, stats, mark, "pbs", poll_sec=None).awaitTermination()
     return st.poll_totals(spark.read.parquet(stats)).select("total_rows", "source")

@@ -205,3 +205,23 @@ def test_sacct_poll_reads_headers(spark, tmp_path):
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
     assert increments.ingest_increment(spark, "slurm", str(source), out, state)["new_rows"] == 1
     assert increments.ingest_increment(spark, "slurm", str(source), out, state)["new_rows"] == 0
+
+
+def test_attributes_are_the_last_ones_of_their_key(spark):
+    """Any white space parts tokens; a token that only ends like a key is another one; the last value counts, if it is empty too."""
+    from cairntrace.functions.scalars import attribute, spaced
+
+    texts = {"a=1\ta=2": "2", "xa=3": None, "a=1 a=": None, " a=b=c\x0b": "b=c", "a=1 xa=2": "1", "": None, "a= a= a=7": "7", "b a =1": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in rows.select("t", attribute(spaced(F.col("t")), "a").alias("v")).collect()} == texts
+
+
+def test_long_logs_are_rendered_in_more_tasks_than_cores(spark, monkeypatch):
+    """Queue records too are dealt to tasks, and the number of tasks grows with the jobs."""
+    from cairntrace.plans import fixtures as fx
+
+    monkeypatch.setattr(fx, "SPREAD_ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    base = spark.range(cores * 100).coalesce(1)
+    assert fx.spread(base).rdd.getNumPartitions() > 5 * cores
+    assert fx.spread(base.filter("id % 10 = 0")).rdd.getNumPartitions() == cores + 1
