@@ -31,6 +31,8 @@ from cairntrace.session import settle
 
 SLICE = "_slice"
 TICK_WIDTH = 1 << 18
+#: Rows that a slice of a range holds, about.
+SLICE_ROWS = 1_000_000
 
 _held: list[DataFrame] = []
 
@@ -53,10 +55,17 @@ def slice_by_range(df: DataFrame, keys: Sequence[Column | str], slices: int | No
 
     The range partitioner samples, so a second run may cut elsewhere.  The labelled rows are
     written once; every reader then sees the same slices, also after `release` or when
-    executors are lost.
+    executors are lost.  More slices than asked for are cut if those would hold more than about SLICE_ROWS rows: a task
+    scans a slice at once.
     """
+
+    def cut(rows: DataFrame, n: int) -> DataFrame:
+        return settle(rows.repartitionByRange(n, *keys).withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return settle(df.repartitionByRange(n, *keys).withColumn(SLICE, F.spark_partition_id().cast("bigint")))
+    sliced = cut(df, n)
+    needed = sliced.count() // SLICE_ROWS + 1
+    return sliced if needed <= n else cut(sliced.drop(SLICE), needed)
 
 
 def slice_by_time(ticks: DataFrame, ts: str = "ts", width: int = TICK_WIDTH) -> DataFrame:

@@ -170,3 +170,13 @@ def test_release_before_the_action_changes_nothing(spark):
     again = queues.queue_at_submit(jobs)
     release()
     assert again.orderBy("job_id").collect() == kept
+
+
+def test_slices_grow_in_number_not_in_rows(spark, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 20)
+    df = frame(spark, rows)
+    sliced = ordered.slice_by_range(df, ["ts"], slices=2)
+    assert sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] < 100
+    assert sorted(sliced.drop("_slice").collect(), key=lambda r: r.ts) == sorted(df.collect(), key=lambda r: r.ts)
+    place = {r.ts: r.row_idx for r in ordered.row_index(sliced, [F.col("ts")]).collect()}
+    assert place == {ts: i for i, ts in enumerate(sorted(r[1] for r in rows))}
