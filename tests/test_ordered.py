@@ -180,3 +180,14 @@ def test_slices_grow_in_number_not_in_rows(spark, rows, monkeypatch):
     assert sorted(sliced.drop("_slice").collect(), key=lambda r: r.ts) == sorted(df.collect(), key=lambda r: r.ts)
     place = {r.ts: r.row_idx for r in ordered.row_index(sliced, [F.col("ts")]).collect()}
     assert place == {ts: i for i, ts in enumerate(sorted(r[1] for r in rows))}
+
+
+def test_tasks_of_a_learner_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from cairntrace.operators import learning
+    from cairntrace.session import settle
+
+    rows = settle(spark.range(4000).coalesce(1))
+    assert learning.fit_rows(rows).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    monkeypatch.setattr(learning, "FIT_ROWS", 100)
+    dealt = learning.fit_rows(rows)
+    assert max(dealt.rdd.glom().map(len).collect()) <= 200 and dealt.count() == 4000
