@@ -1,5 +1,6 @@
 """Hand examples, identities and bounds of the analysis operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,85 @@ def test_permutation_keeps_values(spark, jobs):
     mixed = learning.shuffled(jobs, "requested_cpus", 1, 0)
     assert sorted(r[0] for r in mixed.select("requested_cpus").collect()) == sorted(r[0] for r in jobs.select("requested_cpus").collect())
     assert mixed.join(jobs.withColumnRenamed("requested_cpus", "was"), "job_id").filter("requested_cpus <> was").count() > 0
+
+
+def test_grid_points_are_not_sorted(spark, monkeypatch):
+    """A long quiet stretch costs a row per slice, not one per grid point."""
+    sizes = []
+    cut = queues.slice_by_time
+    monkeypatch.setattr(queues, "slice_by_time", lambda rows: (sizes.append(rows.count()), cut(rows))[1])
+    rows = [("a", 5, 1.0, None), ("a", 5, None, 7.0), ("a", 3_000_011, 2.0, None), ("b", 100, 4.0, None)]
+    series = spark.createDataFrame(rows, "k string, ts bigint, o double, c double")
+    ends = spark.createDataFrame([("a", 0, 5_000_000), ("b", 90, 200), ("c", 0, 60)], "k string, start_ts bigint, end_ts bigint")
+    got = queues.resample_hold(series, 60, ends, ["o", "c"], ["k"])
+    assert sorted(map(tuple, got.filter("k <> 'a'").collect())) == [("b", 90, 0.0, 0.0), ("b", 150, 4.0, 0.0), ("c", 0, 0.0, 0.0), ("c", 60, 0.0, 0.0)]
+    held = got.filter("k = 'a'").groupBy("o", "c").agg(F.count("*").alias("n"), F.min("ts"), F.max("ts")).collect()
+    assert sorted(map(tuple, held)) == [(0.0, 0.0, 1, 0, 0), (1.0, 7.0, 50_000, 60, 3_000_000), (2.0, 7.0, 33_333, 3_000_060, 4_999_980)]
+    assert sizes[0] < 100
+
+
+def _cut_rows(monkeypatch, module):
+    sizes = []
+    cut = module.slice_by_range
+    monkeypatch.setattr(module, "slice_by_range", lambda rows, *a: (sizes.append(rows.count()), cut(rows, *a))[1])
+    return sizes
+
+
+def test_quantiles_order_few_values(spark, monkeypatch):
+    from cairntrace.operators import quantiles as q
+
+    sizes = _cut_rows(monkeypatch, q)
+    values = [((i * 7919) % 20011) ** 2 / 7 - 1000 for i in range(20000)]
+    rows = [(("a", "b")[i % 3 == 0], v) for i, v in enumerate(values)] + [("a", None), ("b", 5.0), ("b", 5.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    asked = {r.k: r for r in q.quantiles(df, {"x": F.col("x")}, probs, ["k"]).collect()}
+    assert sizes[0] < 1000 and set(asked) == {"a", "b"}
+    for k in "ab":
+        own = np.array([v for name, v in rows if name == k and v is not None])
+        assert asked[k].x_n == len(own)
+        assert [asked[k][f"x_p{p * 100:g}"] for p in probs] == pytest.approx(list(np.quantile(own, probs)))
+    monkeypatch.setattr(q, "HISTOGRAMS", 0)
+    assert {r.k: r for r in q.quantiles(df, {"x": F.col("x")}, probs, ["k"]).collect()} == asked
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (1.0,), (2.0,), (0.0,)], "x double")
+    assert q.quantiles(odd, {"x": F.col("x")}, [0.25, 0.5]).first()[1:] == (1.0, 2.0)
+    assert q.quantiles(odd.filter("x < 0"), {"x": F.col("x")}, [0.5]).first() == (0, None)
+
+
+def test_slowdown_distance_orders_few_values(spark, monkeypatch):
+    sizes = _cut_rows(monkeypatch, compare)
+
+    def jobs(waits):
+        return [(0, w, w + 60 + i % 97) for i, w in enumerate(waits)]
+
+    one, two = jobs([(i * 7919) % 9973 for i in range(9973)]), jobs([(i * 31) % 9973 * 11 // 10 for i in range(9973)])
+    schema = "submit_ts bigint, start_ts bigint, end_ts bigint"
+    observed = spark.createDataFrame([*one, (None, None, None)], schema)
+    other = spark.createDataFrame([(p, *r) for p, rows in (("p", two), ("same", one)) for r in rows], f"policy_id string, {schema}")
+    got = {r.policy_id: r.slowdown_ks_statistic for r in compare.slowdown_ks(observed.dropna(), other, ["policy_id"]).collect()}
+    x, y = (np.sort([e / max(e - s, 60) for _, s, e in rows]) for rows in (one, two))
+    both = np.concatenate([x, y])
+    gap = np.abs(np.searchsorted(x, both, "right") / len(x) - np.searchsorted(y, both, "right") / len(y)).max()
+    assert got == {"p": pytest.approx(gap), "same": 0.0}
+    assert compare.slowdown_ks(observed, observed).first()[0] == 0.0
+    assert compare.slowdown_ks(observed.filter("submit_ts > 9"), observed).first()[0] == 0.0
+    traces = [t.withColumn("dataset_id", F.explode(F.array(F.lit("a"), F.lit("b")))) for t in (observed.dropna(), other)]
+    within = compare.slowdown_ks(*traces, ["policy_id"], ["dataset_id"]).collect()
+    assert {(r.dataset_id, r.policy_id): r.slowdown_ks_statistic for r in within} == {(d, p): v for d in "ab" for p, v in got.items()}
+
+
+def test_importance_scores_all_repeats_at_once(spark):
+    df = spark.range(300).selectExpr("id AS job_id", "id % 50 AS a", "id % 3 AS b", "double(id % 50) AS runtime_actual_sec")
+    calls = []
+
+    def score(rows):
+        calls.append(1)
+        return rows.withColumn("p50", F.col("a").cast("double"))
+
+    got = {r.feature: r for r in learning.importance(score, df, ["a", "b"], repeats=4).collect()}
+    assert len(calls) == 2 and got["b"].importance_mean == 0 and got["a"].importance_mean > 1
+    one = []
+    for k in range(4):
+        rows = learning.with_donors(learning.numbered(df, 42), ["a", "b"], 42, k)
+        one.append(rows.agg(F.avg(F.abs(F.col("runtime_actual_sec") - F.col("_donor.a")))).first()[0])
+    assert got["a"].importance_mean == pytest.approx(sum(one) / 4)
