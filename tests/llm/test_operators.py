@@ -635,3 +635,20 @@ def test_sha_of_kept_bytes_matches_query(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (
             len(b), len(b) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
         )
+
+
+def test_subword_states_are_bounded(monkeypatch):
+    """A worker forgets its words and states at a bound, and encodes alike after it."""
+    import numpy as np
+
+    from cairntrace.llm import subwords
+    from cairntrace.llm.queries import piece_model
+
+    assert subwords.REMEMBERED <= 120_000
+    model = subwords.MergeModel(piece_model())
+    texts = [f"unlikely wordings number {i} {i * 7919}".encode() for i in range(300)]
+    whole = subwords.Encoder(model, 0.2, 3).encode(texts, np.arange(300))
+    monkeypatch.setattr(subwords, "REMEMBERED", 50)
+    encoder = subwords.Encoder(model, 0.2, 3)
+    parts = [encoder.encode([t], np.array([i]))[0] for i, t in enumerate(texts)]
+    assert np.array_equal(whole[0], np.concatenate(parts)) and len(encoder.words) < 100
