@@ -461,12 +461,16 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", score_col: st
     Texts are read whole; repeated rows are scored alike.
     """
     columns = [c for c in docs.columns if c != score_col]
-    plain = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    plain = [F.col(c).alias(names[c]) for c in columns]
+    text = F.col(text_col).cast("string").alias("text")
+    if dict(docs.dtypes).get(text_col) == "string" and text_col in names:
+        # a text that is kept goes to the workers and back once
+        names[text_col] = "text"
+        plain = [F.col(c).alias(names[c]) for c in columns if c != text_col]
     z = F.lit(scorer.slope) * F.log1p("evidence") + F.lit(scorer.offset)
-    scored = _evidence(docs.select(*plain, F.col(text_col).cast("string").alias("text")), scorer)
-    return scored.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], (1 / (1 + F.exp(-z))).alias(score_col)
-    )
+    scored = _evidence(docs.select(*plain, text), scorer)
+    return scored.select(*[F.col(names[c]).alias(c) for c in columns], (1 / (1 + F.exp(-z))).alias(score_col))
 
 
 def train(docs: DataFrame, sample: DataFrame, text_col: str = "text") -> Scorer:

@@ -282,3 +282,17 @@ def test_language_model_without_texts(spark, corpus):
     assert {(r["n_known"], r["train_tokens"], r["base_score"]) for r in rows} == {(0, 0, 0.0)}
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     assert bilinear.score(docs.limit(0), lm).count() == 0
+
+
+def test_toxicity_passes_a_kept_text_once(spark, monkeypatch):
+    seen = []
+    evidence = toxicity._evidence
+    monkeypatch.setattr(toxicity, "_evidence", lambda rows, scorer: (seen.append(rows.columns), evidence(rows, scorer))[1])
+    docs = spark.createDataFrame([(1, "an idiot", "a"), (2, None, "b")], "doc_id long, text string, source string")
+    scorer = toxicity.Scorer(toxicity.char_model(docs), {"idiot": 2.0})
+    got = toxicity.score(docs, scorer)
+    assert len(seen[0]) == 3 and got.columns == ["doc_id", "text", "source", "score"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert (rows[1].text, rows[1].source, rows[2].text) == ("an idiot", "a", None) and rows[1].score > rows[2].score
+    bare = toxicity.score(docs.select("doc_id", F.col("text").cast("binary").alias("text")), scorer)
+    assert dict(bare.dtypes)["text"] == "binary" and {r.doc_id: r.score for r in bare.collect()} == {k: r.score for k, r in rows.items()}
