@@ -12,8 +12,9 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from cairntrace.llm import bilinear, merkle, runs
+from cairntrace.llm import bilinear, merkle, runs, toxicity
 from cairntrace.llm.batches import Kinds, steps, word_steps
 from cairntrace.llm.common import held_out
 
