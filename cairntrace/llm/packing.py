@@ -32,15 +32,18 @@ COMMON, BLOCK = 1 / 4, 1 << 21
 #: Neighbours put in order first; the others only if a window takes more.
 HEAD = 64
 K1, B = 1.2, 0.75
-#: Distinct documents (about so many, chosen by a hash) that the topics are fitted on.
-SAMPLE = 4096
-#: Components of a document's sketch, and rounds that move the topics.
-SKETCH, ROUNDS = 256, 12
+#: Distinct sketches (about so many, chosen by a hash) that the topics start from, and rounds on them.
+START, ROUNDS = 4096, 12
+#: Rounds over all documents that then move the topics.
+WHOLE_ROUNDS = 3
+#: Components of a document's sketch; one is a whole number, 1 being UNIT.  Products of such numbers
+#: are exact in 64-bit floats, in whatever order a matrix library adds.
+SKETCH, UNIT = 256, 1 << 14
+#: Documents whose sketches are made or read at once.
+SKETCHED = 1000
 #: A topic has 2^BITS cells; at most TOPICS * 2^BITS = 65,536 cells are counted, the bound of what
 #: the driver sees of them.
 TOPICS, BITS = 1024, 6
-#: Bytes of text that make a token, about.
-TOKEN_BYTES = 2.5
 
 # Byte-level vocabularies write each byte as a character: printable ones as themselves, the rest from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,8 +65,8 @@ class WordTokenizer:
     end.  All other pieces go through `tokenizers` whole.
     """
 
-    TAIL = b".,;:!?"
-    END = b"\xff"
+    TAIL = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    END = "\0"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,49 +76,57 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         suffix = self.model.model.end_of_word_suffix
         ranks = {}
+        last = []
         for token, i in self.model.get_vocab().items():
             if not token.startswith("<|"):
                 ended = token.endswith(suffix)
                 raw = bytes(map(_BYTE_OF.__getitem__, token[: -len(suffix)] if ended else token))
-                ranks[raw + self.END * ended] = i
-        ranks.setdefault(self.END, len(ranks) + (1 << 20))  # alone it is never left over
+                ranks[raw + self.END.encode() * ended] = i
+                last += [i] * ended
+        ranks.setdefault(self.END.encode(), len(ranks) + (1 << 20))  # alone it is never left over
         own = tiktoken.Encoding("word", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
-        self.letters = own._core_bpe.encode_single_piece
+        self.letters = own._core_bpe.encode_ordinary
+        self.last = np.zeros(max(last) + 1, bool)
+        self.last[last] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.tails: dict[bytes, list[int]] = {b"": []}
+        self.tails: dict[bytes, int] = {b"": 0}
+        self.tail_ids = IdStore()
+        self.tail_ids.add([])
         self.store = IdStore()
 
     def _learn(self, new: list[bytes]) -> None:
-        flat, ends, done, hard = [], [], [], []
-        tails, letters, end = self.tails, self.letters, self.END
-        for piece in new:
-            core = piece.rstrip(self.TAIL)
-            if core.isalpha():  # ASCII letters
-                ids = letters(core.lower() + end)
-            else:
-                text = core.decode()
-                low = text.lower()
-                if not low.isalpha() or len(low) != len(text) or "\u03a3" in text or not is_normalized("NFC", text):
-                    hard.append(piece)
-                    continue
-                ids = letters(low.encode() + end)
-            flat += ids
-            if len(core) < len(piece):
-                tail = piece[len(core) :]
-                if tail not in tails:
-                    tails[tail] = self.model.encode(tail.decode(), add_special_tokens=False).ids
-                flat += tails[tail]
-            ends.append(len(flat))
-            done.append(piece)
-        for e in self.model.encode_batch_fast([p.decode() for p in hard], add_special_tokens=False):
-            flat += e.ids
-            ends.append(len(flat))
+        cores = [piece.rstrip(self.TAIL) for piece in new]
+        text = b"\n".join(cores).decode()
+        low = text.lower()
+        words = low.split("\n")
+        easy = np.fromiter(map(str.isalpha, words), bool, len(words))
+        if len(low) != len(text) or "\u03a3" in text or not is_normalized("NFC", text):
+            for i, (was, now) in enumerate(zip(text.split("\n"), words, strict=True)):
+                easy[i] &= len(was) == len(now) and "\u03a3" not in was and is_normalized("NFC", was)
+        at = np.flatnonzero(easy).tolist()
+        flat = np.zeros(0, np.int64)
+        if at:
+            flat = np.array(self.letters((self.END + " ").join([words[i] for i in at]) + self.END), np.int64)
+        core_ends = np.flatnonzero(self.last[flat]) + 1
+        tails = [new[i][len(cores[i]) :] for i in at]
+        for tail in dict.fromkeys(tails):
+            if tail not in self.tails:
+                self.tails[tail] = self.tail_ids.add(self.model.encode(tail.decode(), add_special_tokens=False).ids)
+        more, more_ends = self.tail_ids.gather(np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails)))
+        ends = core_ends + more_ends[1:]
+        both = np.empty(len(flat) + len(more), np.int64)
+        both[np.arange(len(flat)) + np.repeat(more_ends[:-1], np.diff(core_ends, prepend=0))] = flat
+        both[np.arange(len(more)) + np.repeat(core_ends, np.diff(more_ends))] = more
         first = self.store.n
-        self.store.add_all(np.array(flat, np.int32), np.array(ends, np.int64))
-        self.known.update(zip(chain(done, hard), range(first, self.store.n), strict=True))
+        self.store.add_all(both, ends)
+        hard = [new[i] for i in np.flatnonzero(~easy).tolist()]
+        lists = [e.ids for e in self.model.encode_batch_fast([p.decode() for p in hard], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.store.add_all(np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), np.cumsum(sizes))
+        self.known.update(zip(chain([new[i] for i in at], hard), range(first, self.store.n), strict=True))
 
     def encode(self, pieces: list[bytes], which: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids begin (with the end); texts are
@@ -145,57 +156,63 @@ class Topics:
     weight: np.ndarray
     centres: np.ndarray
 
-    def sketches(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """One sketch of length 1 per document (0 for one without tokens)."""
-        at, signed = self._places()
-        flat = np.bincount(owner * SKETCH + at[ids], signed[ids], minlength=n * SKETCH)
-        x = flat.reshape(n, SKETCH).astype(np.float32)
-        return _unit(np.sign(x) * np.sqrt(np.abs(x)))
-
-    def _places(self) -> tuple[np.ndarray, np.ndarray]:
-        drawn = mixed(np.arange(len(self.weight), dtype=np.uint64) + np.uint64(1))
-        sign = np.where(drawn >> np.uint64(63), 1.0, -1.0)
-        return (drawn % np.uint64(SKETCH)).astype(np.int64), self.weight * sign
-
-    def cells(self, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """topic * 2^BITS + cell of each document."""
-        x = self.sketches(ids, owner, n)
-        # einsum: the threads of a matrix library would go on spinning beside the tokenizer
-        topic = np.argmax(np.einsum("nd,td->nt", x, self.centres), 1)
-        planes = np.random.default_rng(1).standard_normal((SKETCH, BITS)).astype(np.float32)
-        above = np.einsum("nd,db->nb", x - self.centres[topic], planes) > 0
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Topic of each sketch."""
+        return np.argmax(x.astype(np.float64) @ self.centres.T.astype(np.float64), 1)
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """topic * 2^BITS + cell of each sketch."""
+        topic = self.nearest(x)
+        planes = np.round(np.random.default_rng(1).standard_normal((SKETCH, BITS)) * UNIT)
+        above = (x.astype(np.float64) - self.centres[topic]) @ planes > 0
         return (topic << BITS) + above @ (1 << np.arange(BITS))
 
 
+def sketches_of(ids: np.ndarray, owner: np.ndarray, n: int, weight: np.ndarray) -> np.ndarray:
+    """One sketch per document (0 for one without tokens), of ids with these weights."""
+    drawn = mixed(np.arange(len(weight), dtype=np.uint64) + np.uint64(1))
+    signed = weight * np.where(drawn >> np.uint64(63), 1.0, -1.0)
+    at = (drawn % np.uint64(SKETCH)).astype(np.int64)
+    x = np.bincount(owner * SKETCH + at[ids], signed[ids], minlength=n * SKETCH).reshape(n, SKETCH)
+    return np.round(_unit(np.sign(x) * np.sqrt(np.abs(x))) * UNIT).astype("<i2")
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
+def _centre(sums: np.ndarray) -> np.ndarray:
+    return np.round(_unit(sums.astype(np.float64)) * UNIT).astype(np.int64)
+
+
 def centres_of(x: np.ndarray, topics: int) -> np.ndarray:
     """At most `topics` centres of the sketches by spherical k-means, like ones next to each other."""
     rng = np.random.default_rng(0)
     if not len(x):
-        return np.zeros((1, SKETCH), np.float32)
-    centres = x[rng.permutation(len(x))[:topics]].copy()
+        return np.zeros((1, SKETCH), np.int64)
+    centres = x[rng.permutation(len(x))[:topics]].astype(np.int64)
     for _ in range(ROUNDS):
-        near = np.argmax(x @ centres.T, 1)
+        near = Topics(np.zeros(1), centres).nearest(x)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         met = np.bincount(near, minlength=len(centres)) > 0
-        centres[met] = _unit(sums[met])
+        centres[met] = _centre(sums[met])
+    return _in_line(centres)
+
+
+def _in_line(centres: np.ndarray) -> np.ndarray:
+    """The centres, like ones next to each other."""
     axis = np.linalg.svd(centres - centres.mean(0), full_matrices=False)[2][0]
     return centres[np.argsort(centres @ axis, kind="stable")]
 
 
-def tokenised(
-    docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, topics: Topics | None = None
-) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit or, for vocabularies that allow it, 16-bit, with the
-    end id), n, cell (of `topics`, else 0), again (how many rows of its id came before it in the task);
+    end id), n, again (how many rows of its id came before it in the task);
     and one row per partition with a null `ids` and the numbers of documents in
     which each id occurs (`counts`, unsigned 32-bit)."""
 
-    names = ["doc_id", "ids", "n", "cell", "again", "counts"]
+    names = ["doc_id", "ids", "n", "again", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = held(("word ids", tokenizer_path), lambda: WordTokenizer(tokenizer_path))
@@ -218,7 +235,6 @@ def tokenised(
             wide = np.int32 if n * size < 1 << 31 else np.int64
             pairs = np.sort(owner.astype(wide) * wide(size) + ids.astype(wide))
             counts += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % size, minlength=size)
-            cell = topics.cells(ids, owner, n) if topics else np.zeros(n, np.int64)
             cuts = ((ends + np.arange(n + 1)) * kind.itemsize).tolist()
             raw = whole.tobytes()
             yield pa.record_batch(
@@ -226,7 +242,6 @@ def tokenised(
                     batch.column(0),
                     pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array(sizes + 1, pa.int64()),
-                    pa.array(cell, pa.int32()),
                     pa.array(again, pa.int64()),
                     pa.nulls(n, pa.binary()),
                 ],
@@ -237,7 +252,6 @@ def tokenised(
                 pa.nulls(1, pa.int64()),
                 pa.nulls(1, pa.binary()),
                 pa.array([0], pa.int64()),
-                pa.nulls(1, pa.int32()),
                 pa.nulls(1, pa.int64()),
                 pa.array([counts.astype("<u4").tobytes()], pa.binary()),
             ],
@@ -245,7 +259,7 @@ def tokenised(
         )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n long, cell int, again long, counts binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, n long, again long, counts binary")
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -271,33 +285,97 @@ def inverse_frequencies(made: DataFrame) -> np.ndarray:
     return np.log1p((total - frequency + 0.5) / (frequency + 0.5))
 
 
-def fit_topics(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, shard_tokens: int) -> Topics:
-    """Topics of a sample of about SAMPLE distinct documents, one per shard that the texts will need, at most TOPICS.
+def _sketched(batch: pa.RecordBatch, weight: np.ndarray) -> np.ndarray:
+    """Sketches of a batch's column `ids`, the end ids left out."""
+    kind = np.dtype("<u2" if len(weight) <= 1 << 16 else "<u4")
+    lists = [np.frombuffer(raw, kind)[:-1] for raw in batch.column("ids").to_pylist()]
+    n = len(lists)
+    owner = np.repeat(np.arange(n), np.fromiter(map(len, lists), np.int64, n))
+    return sketches_of(np.concatenate([np.zeros(0, kind), *lists]), owner, n, weight)
 
-    Every document gets its place by them; only what they look like rests on the sample."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
-    wanted = min(TOPICS, 1 + int((seen["size"] or 0) / (TOKEN_BYTES * shard_tokens)))
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SKETCHED rows."""
+    for batch in batches:
+        for first in range(0, len(batch), SKETCHED):
+            yield batch.slice(first, SKETCHED)
+
+
+def _read_sketches(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<i2").reshape(-1, SKETCH)
+
+
+def _moved(sketches: DataFrame, topics: Topics) -> Topics:
+    """The topics after one round of spherical k-means over all sketches: tasks add up what is nearest to each
+    topic, in whole numbers, and Spark adds up the tasks' sums; one row per topic reaches the driver."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(topics.centres), SKETCH), np.int64)
+        met = np.zeros(len(sums), bool)
+        for batch in _parts(batches):
+            x = _read_sketches(batch)
+            near = topics.nearest(x)
+            order = np.argsort(near, kind="stable")
+            found, first = np.unique(near[order], return_index=True)
+            if len(found):
+                sums[found] += np.add.reduceat(x[order], first, dtype=np.int64)
+                met[found] = True
+        found = np.flatnonzero(met)
+        rows = pa.array([s.astype("<i8").tobytes() for s in sums[found]], pa.binary())
+        yield pa.record_batch([pa.array(found, pa.int32()), rows], ["topic", "total"])
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for topic, raw in zip(frame["topic"], frame["total"], strict=True):
+                totals[topic] = totals.get(topic, 0) + np.frombuffer(raw, "<i8")
+        rows = [t.astype("<i8").tobytes() for t in totals.values()]
+        yield pd.DataFrame({"topic": list(totals), "total": rows}).astype({"topic": "int32"})
+
+    kind = "topic int, total binary"
+    sums = sketches.select("sketch").mapInArrow(nearest, kind).repartition(8, "topic").mapInPandas(added, kind).collect()
+    centres = topics.centres.copy()
+    for r in sums:
+        centres[r["topic"]] = _centre(np.frombuffer(r["total"], "<i8"))
+    return Topics(topics.weight, centres)
+
+
+def fit_topics(made: DataFrame, idf: np.ndarray, shard_tokens: int) -> tuple[Topics, dict[int, int]]:
+    """Topics of all documents of a table that `tokenised` made, one per shard that they need, at most TOPICS;
+    and the tokens of each cell.
+
+    The rounds over all documents begin at the centres of about START of them."""
+    rows = made.where("ids IS NOT NULL")
+    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    wanted = min(TOPICS, 1 + total // shard_tokens)
     if wanted == 1:
-        return Topics(np.zeros(1), np.zeros((1, SKETCH), np.float32))
-    drawn = rows.withColumn("h", F.xxhash64("doc_id", "text")).where("text <> ''")
-    if seen["n"] > SAMPLE:
-        drawn = drawn.where(F.col("h") < int(-(2**63) + 2**64 / seen["n"] * SAMPLE))
-    made = written(tokenised(drawn.dropDuplicates(["h"]), tokenizer_path, "doc_id", "text"), "sample-ids")
-    plain = Topics(inverse_frequencies(made), np.zeros((1, SKETCH), np.float32))
-    kind = "<u2" if len(plain.weight) <= 1 << 16 else "<u4"
+        return Topics(idf, np.zeros((1, SKETCH), np.int64)), {0: total}
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, kind)[:-1].astype(np.int64)
-                x = plain.sketches(ids, np.zeros(len(ids), np.int64), 1)
-                yield pa.record_batch([pa.array([x.astype("<f4").tobytes()], pa.binary())], ["sketch"])
-
-    found = made.where("ids IS NOT NULL").select("ids").mapInArrow(sketch, "sketch binary").collect()
-    ordered = sorted(bytes(r["sketch"]) for r in found)
-    x = np.frombuffer(b"".join(ordered), "<f4").reshape(-1, SKETCH).astype(np.float32)
-    return Topics(plain.weight, centres_of(x, wanted))
+        for batch in _parts(batches):
+            x = _sketched(batch, idf)
+            raw = pa.array([one.tobytes() for one in x], pa.binary())
+            yield pa.record_batch([batch.column("n"), raw], ["n", "sketch"])
+
+    sketches = written(rows.select("ids", "n").mapInArrow(sketch, "n long, sketch binary"), "sketches")
+    few = sketches.select("sketch").where("n > 1")
+    documents = few.count()
+    if documents > START:
+        few = few.where(F.xxhash64("sketch") < int(-(2**63) + 2**64 / documents * START))
+    start = sorted(bytes(r["sketch"]) for r in few.distinct().collect())
+    x = np.frombuffer(b"".join(start), "<i2").reshape(-1, SKETCH)
+    topics = Topics(idf, centres_of(x, wanted))
+    for _ in range(WHOLE_ROUNDS):
+        topics = _moved(sketches, topics)
+    topics = Topics(idf, _in_line(topics.centres))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            cell = pa.array(topics.cells(_read_sketches(batch)), pa.int32())
+            yield pa.record_batch([batch.column("n"), cell], ["n", "cell"])
+
+    placed = sketches.mapInArrow(cells, "n long, cell int").groupBy("cell").agg(F.sum("n").alias("n"))
+    return topics, {r["cell"]: r["n"] for r in placed.collect()}
 
 
 def shards_of_cells(tokens: dict[int, int], shard_tokens: int) -> dict[int, tuple[int, int]]:
@@ -501,13 +579,21 @@ def dealt(
 
     Shards follow content, so that a document's neighbours are mostly in its own.  Repeated
     rows of one id are spread over the shards of their cell."""
-    topics = fit_topics(docs, tokenizer_path, id_col, text_col, shard_tokens)
-    placed = topics if len(topics.centres) > 1 else None
-    made = written(tokenised(docs, tokenizer_path, id_col, text_col, placed), "token-ids")
+    made = written(tokenised(docs, tokenizer_path, id_col, text_col), "token-ids")
     idf = inverse_frequencies(made)
-    rows = made.where("ids IS NOT NULL")
-    sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    places = [(cell, *place) for cell, place in shards_of_cells(sizes, shard_tokens).items()]
+    topics, sizes = fit_topics(made, idf, shard_tokens)
+    rows = made.where("ids IS NOT NULL").select("doc_id", "ids", "again")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            cell = pa.array(topics.cells(_sketched(batch, idf)), pa.int32())
+            yield pa.record_batch([*batch.columns, cell], ["doc_id", "ids", "again", "cell"])
+
+    if len(topics.centres) > 1:
+        rows = rows.mapInArrow(place, "doc_id long, ids binary, again long, cell int")
+    else:
+        rows = rows.withColumn("cell", F.lit(0))
+    places = [(cell, *at) for cell, at in shards_of_cells(sizes, shard_tokens).items()]
     table = docs.sparkSession.createDataFrame(places, "cell int, first long, parts long")
     spread = F.pmod(F.xxhash64("doc_id", F.crc32("ids"), "again"), F.col("parts"))
     # at most 2^BITS cells of at most TOPICS topics

@@ -652,3 +652,57 @@ def test_subword_states_are_bounded(monkeypatch):
     encoder = subwords.Encoder(model, 0.2, 3)
     parts = [encoder.encode([t], np.array([i]))[0] for i, t in enumerate(texts)]
     assert np.array_equal(whole[0], np.concatenate(parts)) and len(encoder.words) < 100
+
+
+def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
+    """The centres are those of brute-force rounds over every document, wherever the rounds begin."""
+    monkeypatch.setattr(packing, "START", 12)
+    rng = random.Random(8)
+    vocabularies = [[prose(rng, 1) + prose(rng, 1) for _ in range(60)] for _ in range(4)]
+    rows = [(i, " ".join(rng.choices(vocabularies[i % 4], k=60))) for i in range(160)] + [(None, None), (7, ""), (7, "a")]
+    docs = frame(spark, rows).repartition(4)
+    made = packing.written(packing.tokenised(docs, word_vocabulary(), "doc_id", "text"), "all-ids")
+    idf = packing.inverse_frequencies(made)
+    starts = []
+    centres_of = packing.centres_of
+    monkeypatch.setattr(packing, "centres_of", lambda x, n: starts.append(centres_of(x, n)) or starts[-1])
+    topics, sizes = packing.fit_topics(made, idf, 4000)
+    kept = made.where("ids IS NOT NULL").select("ids", "n").collect()
+    lists = [np.frombuffer(r["ids"], "<u2")[:-1] for r in kept]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    x = packing.sketches_of(np.concatenate(lists), owner, len(lists), idf)
+    assert len(x) == len(rows)
+    centres = starts[0]
+    for _ in range(packing.WHOLE_ROUNDS):
+        near = np.argmax(x.astype(float) @ centres.T, 1)
+        sums = [x[near == t].sum(0, dtype=np.int64) if (near == t).any() else c for t, c in enumerate(centres)]
+        centres = packing._centre(np.array(sums))
+    assert np.array_equal(topics.centres, packing._in_line(centres))
+    assert not np.array_equal(sorted(map(tuple, centres)), sorted(map(tuple, starts[0])))
+    want = Counter()
+    for cell, r in zip(topics.cells(x).tolist(), kept, strict=True):
+        want[cell] += r["n"]
+    assert sizes == want
+
+
+def test_plain_words_are_read_without_decoding():
+    """Letters or digits alone stand for themselves, as the whole rule says, and need no decoder."""
+    model = toxicity.CharModel(np.random.default_rng(0).integers(0, 50, toxicity.SYMBOLS**4))
+    rng = random.Random(3)
+    letters = "abcABC125eéİΣσßﬁ²٣日#%&'),-./:;<=>?[\\]^_`{}~!$+|(*@€·aaa"
+    pieces = {"".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(4000)}
+    for piece in pieces | {"word", "Word###", "42,", "Éa&&&", "so-so", "aaa", "w0rd", "word!", "word***", "ΟΔΟΣ."}:
+        assert toxicity.words_of_raw(piece.encode(), model) == toxicity.words_of(piece, model), piece
+    for piece in (b"word", b"Word###", b"42,", "Éa&&&".encode()):
+        assert toxicity.words_of_raw(piece, None)
+
+
+def test_workers_forget_between_operators():
+    from cairntrace.llm import batches
+
+    batches.held("one", lambda: [1])
+    batches.forget()
+    assert not batches._HELD
+    assert batches.held("two", lambda: [2]) == [2]
+    assert list(batches._HELD) == ["two"]
+    batches.forget()
