@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,11 +104,22 @@ def held(key, make):
     """What a worker process remembers under `key`, made if need be.  Workers are used again by
     later tasks of other operators, so only the last key's memory is kept."""
     if key not in _HELD:
-        _HELD.clear()
+        forget()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def forget() -> None:
+    """Drops what this worker remembers, and gives memory that is free back to the system: the C library and
+    Arrow keep it otherwise, in every worker beside the JVM."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class IdStore:
     """Lists of small integers, appended one after the other and gathered many at once."""
 

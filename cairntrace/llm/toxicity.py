@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import chain, repeat
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cairntrace.llm.batches import held, steps
+from cairntrace.llm.batches import Kinds, forget, held, steps, word_steps
 from cairntrace.llm.common import written
 
 #: Symbols of the character model: a blank for what is no letter, a to z, and a byte of any other letter.
@@ -55,6 +55,8 @@ _NONE = re.compile(r"(?:[\W\d_](?<![" + re.escape("".join(dict.fromkeys([*LOOKS,
 _GAPS_ONLY = "".join(c for c in GAPS if c not in LOOKS)
 _ODD = re.compile(r"[^\W\d_]")
 _LONG = re.compile(r"(.)\1\1")
+#: Punctuation that after a word neither stands for a letter nor is part of one: ASCII without look-alikes.
+_PLAIN_TAIL = "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not in LOOKS).encode()
 
 
 @dataclass(frozen=True)
@@ -82,6 +84,7 @@ def char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
     size = SYMBOLS**4
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(size, np.int64)
         for _, texts in steps(batches):
             raw = b"\n" + b"\n".join(texts) + b"\n"
@@ -225,6 +228,17 @@ def words_of(piece: str, model: CharModel) -> list[str]:
     return list(dict.fromkeys(words))
 
 
+def words_of_raw(piece: bytes, model: CharModel) -> list[str]:
+    """`words_of` the UTF-8 of a piece; letters or digits alone, before plain punctuation, stand for themselves."""
+    core = piece.rstrip(_PLAIN_TAIL)
+    if core.isdigit():
+        return [core.decode()]
+    low = core.decode().lower()
+    if low.isalpha() and not _LONG.search(low):
+        return [low]
+    return words_of(piece.decode(), model)
+
+
 class Finder:
     """Finds features in letters written apart, where one word ends and the next begins not being told:
     one pass of an Aho-Corasick automaton over a run, in memory of the features' size whatever the run's."""
@@ -269,37 +283,41 @@ class Reader:
 
     def read(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[str]]]:
         """Per text: numbers of its pieces' words, and the runs of letters behind those written apart."""
+        batch = pa.record_batch([pa.array(texts, pa.binary()).cast(pa.string())], ["text"])
+        for _, per_text, which, kinds in word_steps(iter([batch]), lower=False):
+            numbers, apart = self.read_step(per_text, which, kinds)
+            for at, some in enumerate(np.split(numbers, np.cumsum(per_text)[:-1])):
+                yield some, apart.get(at, [])
+
+    def read_step(self, per_text: np.ndarray, which: np.ndarray, kinds: Kinds) -> tuple[np.ndarray, dict[int, list[str]]]:
+        """Of a step as `word_steps` gives it: numbers of the words of all pieces, one text after the other; and
+        for the texts that have any, by their places, the runs of letters behind those written apart."""
         if len(self.words) > REMEMBERED:
             self.known, self.words = {}, []
         known = self.known
-        split = [t.split() for t in texts]
-        pieces = list(chain.from_iterable(split))
-        which = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        missing = np.flatnonzero(which < 0)
-        if len(missing):
-            found = [pieces[i] for i in missing.tolist()]
-            for piece in dict.fromkeys(found):
-                known[piece] = len(self.words)
-                self.words.append(words_of(piece.decode(), self.model))
-            which[missing] = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = 0
-        for s in split:
-            numbers = which[at : at + len(s)]
-            apart: list[str] = []
-            # "i d i o t": three single characters in a row, at least
-            single = np.flatnonzero(sizes[at : at + len(s)] == 1)
-            if len(single) >= 3:
-                for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
-                    if len(run) >= 3:
-                        token = "".join(s[i].decode() for i in run.tolist()).lower()
-                        for part in _NONE.split(token):
-                            part = part.strip(_GAPS_ONLY)
-                            word = restore(part, self.model) if len(part) > 2 and _ODD.search(part) else None
-                            if word:
-                                apart.append(word)
-            yield numbers, apart
-            at += len(s)
+        pieces = kinds.words()
+        numbers = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = [i for i in np.flatnonzero(numbers < 0).tolist() if pieces[i]]
+        first = len(self.words)
+        self.words += [words_of_raw(pieces[i], self.model) for i in missing]
+        known.update(zip([pieces[i] for i in missing], range(first, len(self.words)), strict=True))
+        numbers[missing] = np.arange(first, len(self.words))
+        # "i d i o t": three single characters in a row, at least
+        single = np.flatnonzero(kinds.sizes[which] == 1)
+        owner = np.searchsorted(np.cumsum(per_text), single, side="right")
+        apart: dict[int, list[str]] = {}
+        cuts = np.flatnonzero((np.diff(single) > 1) | (np.diff(owner) > 0)) + 1
+        ends = [0, *cuts.tolist(), len(single)]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a < 3:
+                continue
+            token = "".join([pieces[i].decode() for i in which[single[a:b]].tolist()]).lower()
+            for part in _NONE.split(token):
+                part = part.strip(_GAPS_ONLY)
+                word = restore(part, self.model) if len(part) > 2 and _ODD.search(part) else None
+                if word:
+                    apart.setdefault(int(owner[a]), []).append(word)
+        return numbers[which], apart
 
 
 @dataclass(frozen=True)
@@ -346,20 +364,19 @@ def _frequencies(sample: DataFrame, model: CharModel) -> DataFrame:
         return pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], columns)
 
     def together(reader: Reader, numbers: np.ndarray) -> set[str]:
-        return {f for w in {w for i in np.unique(numbers).tolist() for w in reader.words[i]} for f in features_of(w)}
+        return {f for w in {w for i in set(numbers.tolist()) for w in reader.words[i]} for f in features_of(w)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _reader(model)
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch, texts in steps(batches):
+        for batch, per_text, which, pieces in word_steps(batches, lower=False):
             labels = batch.column(1).to_pylist()
-            spaced = []
-            for at, (numbers, apart) in enumerate(reader.read(texts)):
-                counts[labels[at]].update(together(reader, numbers))
-                if apart:
-                    spaced.append(at)
+            numbers, apart = reader.read_step(per_text, which, pieces)
+            for y, some in zip(labels, np.split(numbers, np.cumsum(per_text)[:-1]), strict=True):
+                counts[y].update(together(reader, some))
+            spaced = sorted(apart)
             none = [[None] * len(spaced)] * 3
-            again = [*none, [labels[i] for i in spaced], [texts[i].decode() for i in spaced]]
+            again = [*none, [labels[i] for i in spaced], [batch.column(0)[i].as_py() for i in spaced]]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(again, kinds, strict=True)], columns)
             if len(counts[0]) + len(counts[1]) > REMEMBERED:
                 yield counted(counts)
@@ -376,10 +393,12 @@ def _frequencies(sample: DataFrame, model: CharModel) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, finder = _reader(model), Finder(known)
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch, texts in steps(batches):
+        for batch, per_text, which, pieces in word_steps(batches, lower=False):
             labels = batch.column(0).to_pylist()
-            for y, (numbers, apart) in zip(labels, reader.read(texts), strict=True):
-                counts[y].update(finder.features(apart) - together(reader, numbers))
+            numbers, apart = reader.read_step(per_text, which, pieces)
+            for at, some in enumerate(np.split(numbers, np.cumsum(per_text)[:-1])):
+                if at in apart:
+                    counts[labels[at]].update(finder.features(apart[at]) - together(reader, some))
         yield counted(counts).select(columns[:3])
 
     spaced = made.where("text IS NOT NULL").select("y", "text").mapInArrow(look, "feature string, toxic long, clean long")
@@ -394,23 +413,30 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> DataFrame:
         reader = _reader(scorer.model)
         known = scorer.evidence
         finder = Finder(known)
+        prefixes = {f for f in known if f.endswith("-")}
         carry = np.zeros(0, bool)
+        before = reader.words
 
         def carrying(word: str) -> list[str]:
             return [f for f in features_of(word) if f in known]
 
-        for batch, texts in steps(batches):
-            out = []
-            before = reader.words
-            for numbers, apart in reader.read(texts):
-                if reader.words is not before:
-                    before, carry = reader.words, carry[:0]
-                if len(carry) < len(reader.words):
-                    new = [any(map(carrying, words)) for words in reader.words[len(carry) :]]
-                    carry = np.concatenate([carry, np.array(new, bool)])
-                words = {w for i in numbers[carry[numbers]].tolist() for w in reader.words[i]}
-                found = {f for w in words for f in carrying(w)} | finder.features(apart)
-                out.append(math.fsum(sorted(known[f] for f in found)))
+        def carries(words: list[str]) -> bool:
+            return any(w in known or w[:4] + "-" in prefixes or w[:5] + "-" in prefixes for w in words)
+
+        for batch, per_text, which, pieces in word_steps(batches, lower=False):
+            numbers, apart = reader.read_step(per_text, which, pieces)
+            if reader.words is not before:
+                before, carry = reader.words, carry[:0]
+            new = [carries(words) for words in reader.words[len(carry) :]]
+            carry = np.concatenate([carry, np.array(new, bool)])
+            ends = np.cumsum(per_text)
+            hits = np.flatnonzero(carry[numbers])
+            out = np.zeros(len(per_text))
+            found: dict[int, set[str]] = {at: finder.features(runs) for at, runs in apart.items()}
+            for at, i in zip(np.searchsorted(ends, hits, side="right").tolist(), numbers[hits].tolist(), strict=True):
+                found.setdefault(at, set()).update(f for w in reader.words[i] for f in carrying(w))
+            for at, features in found.items():
+                out[at] = math.fsum(sorted(known[f] for f in features))
             yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*names, "evidence"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("evidence", DoubleType())]))
