@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
@@ -22,6 +24,8 @@ REMEMBERED = 120_000
 AT_ONCE = 1 << 16
 #: Longest word whose agenda is a plain list.
 SHORT = 48
+#: Words of up to so many characters are merged side by side, each width by itself; fewer than FEW go one by one.
+WIDTHS, FEW = (6, 9, 12, 16, 24, SHORT), 32
 
 _PIECE, _PLACE, _STIR, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -190,6 +194,105 @@ class MergeModel:
                         heapq.heappush(agenda, (got, left, both))
         return self.ids_of([s for s in symbols if s is not None])
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of pieces that join to a piece, as left * 2^32 + right in order, and that piece's rank."""
+        found = {}
+        for text, piece in self.ids.items():
+            for k in range(1, len(text)):
+                left, right = self.ids.get(text[:k]), self.ids.get(text[k:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = self.rank[text]
+        keys = np.array(sorted(found), np.int64)
+        return keys, np.array([found[k] for k in keys.tolist()], np.int32)
+
+    def merge_many(self, words: list[str], skipped: list[frozenset[int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What `merge` gives for many words that skip these candidates: ids, and merges as id * 2^32 + place."""
+        ids: list = [None] * len(words)
+        merges: list = [None] * len(words)
+        groups: dict[int, list[int]] = {}
+        rows: list[list[int]] = []
+        get = self.ids.get
+        for i, word in enumerate(words):
+            row = [get(c, -1) for c in word.replace(" ", SPACE)] if len(word) <= SHORT and SPACE not in word else [-1]
+            rows.append(row)
+            if -1 not in row and row:
+                groups.setdefault(bisect_left(WIDTHS, len(row)), []).append(i)
+        for width, members in groups.items():
+            if len(members) >= FEW:
+                self._side_by_side(WIDTHS[width], members, rows, skipped, ids, merges)
+        for i, word in enumerate(words):
+            if ids[i] is None:
+                made: list[tuple[int, int]] = []
+                ids[i] = np.array(self.merge(word, None, 0, made, skipped[i]), np.int32)
+                merges[i] = np.array([m << 32 | at for at, m in made], np.int64)
+        return ids, merges
+
+    def _side_by_side(
+        self, width: int, members: list[int], rows: list[list[int]], skipped: list[frozenset[int]], ids: list, merges: list
+    ) -> None:
+        n, none = len(members), np.int32(self.none)
+        keys, ranks = self.pairs
+        by_rank = np.array([*self.by_rank, -1], np.int64)
+        sizes = np.array([len(rows[i]) for i in members])
+        symbols = np.full((n, width + 1), -1, np.int64)
+        symbols[np.arange(width + 1) < sizes[:, None]] = np.fromiter(chain.from_iterable(rows[i] for i in members), np.int64)
+        places = np.tile(np.arange(width + 1), (n, 1))
+        # candidates that a row skips, as (row * width + place) * pieces + piece
+        total = len(self.text)
+        barred = np.array(
+            sorted((r * width + (c & 0xFFFFFFFF)) * total + (c >> 32) for r, i in enumerate(members) for c in skipped[i]), np.int64
+        )
+
+        def ranked(row: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+            key = left << 32 | right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            out = np.where((keys[at] == key) & (left >= 0) & (right >= 0), ranks[at], none)
+            if len(barred):
+                mine = (row * width + place) * total + by_rank[out]
+                found = np.minimum(np.searchsorted(barred, mine), len(barred) - 1)
+                out = np.where((barred[found] == mine) & (out != none), none, out)
+            return out
+
+        open_ = np.arange(n)
+        agenda = np.full((n, width + 1), none, np.int32)
+        agenda[:, :-1] = ranked(open_[:, None], symbols[:, :-1], symbols[:, 1:], places[:, :-1])
+        done: list = [None] * n
+        made_rows, made = [], []
+        columns = np.arange(width + 1)
+        while len(open_):
+            at = np.argmin(agenda, 1)
+            best = agenda[np.arange(len(open_)), at]
+            ended = best == none
+            if ended.any():
+                for r, row in zip(open_[ended].tolist(), symbols[ended], strict=True):
+                    done[r] = row
+                keep = ~ended
+                open_, agenda, symbols, places = open_[keep], agenda[keep], symbols[keep], places[keep]
+                at, best = at[keep], best[keep]
+                if not len(open_):
+                    break
+            row = np.arange(len(open_))
+            got = by_rank[best]
+            made_rows.append(open_)
+            made.append(got << 32 | places[row, at])
+            symbols[row, at] = got
+            # the symbol after it is gone, and the candidate of both
+            gone = np.minimum(columns + (columns > at[:, None]), width)
+            symbols, places = np.take_along_axis(symbols, gone, 1), np.take_along_axis(places, gone, 1)
+            symbols[:, -1] = -1
+            agenda = np.take_along_axis(agenda, gone, 1)
+            agenda[:, -1] = none
+            agenda[row, at] = ranked(open_, got, symbols[row, np.minimum(at + 1, width)], places[row, at])
+            inner = np.flatnonzero(at)
+            before = at[inner] - 1
+            agenda[inner, before] = ranked(open_[inner], symbols[inner, before], got[inner], places[inner, before])
+        whose = np.concatenate([np.zeros(0, np.int64), *made_rows])
+        order = np.argsort(whose, kind="stable")
+        parts = np.split(np.concatenate([np.zeros(0, np.int64), *made])[order], np.cumsum(np.bincount(whose, minlength=n))[:-1])
+        for i, row, part in zip(members, done, parts, strict=True):
+            ids[i], merges[i] = row[row >= 0].astype(np.int32), part
+
     def tree(self, piece: int) -> list[tuple[int, int]]:
         """The merges (place, id) that make a piece: the same wherever the piece comes about,
         for no merge that crosses its ends has taken place."""
@@ -248,20 +351,13 @@ class Encoder:
         self.words += words
         self.skipped += [frozenset()] * len(words)
 
-    def _after(self, state: int, more: frozenset[int]) -> int:
-        """The state of the same word that skips `more` candidates."""
-        word, skipped = self.words[state], self.skipped[state] | more
-        got = self.states.get((word, skipped))
-        if got is None:
-            made: list[tuple[int, int]] = []
-            ids = self.model.merge(word, None, 0, made, skipped)
-            got = self.states[word, skipped] = self.store.n
-            self.store.add_all(np.array(ids, np.int32), np.array([len(ids)], np.int64))
-            merges = np.array([m << 32 | i for i, m in made], np.int64)
-            self.merges.add_all(merges, np.array([len(merges)], np.int64))
-            self.words.append(word)
-            self.skipped.append(skipped)
-        return got
+    def _add(self, words: list[str], skipped: list[frozenset[int]]) -> None:
+        """Gives words that skip candidates their states, the next numbers."""
+        ids, merges = self.model.merge_many(words, skipped)
+        for store, lists in ((self.store, ids), (self.merges, merges)):
+            store.add_all(np.concatenate(lists), np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
+        self.words += words
+        self.skipped += skipped
 
     def _drawn(self, states: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The last states of occurrences with these keys.  A merge of a state that the occurrence's draw
@@ -280,12 +376,22 @@ class Encoder:
             last = np.append(first[1:], len(owner))
             open_ = open_[owner[first]]
             raw, to, steps_ = at.tobytes(), [], self.steps
+            new: tuple[list[str], list[frozenset[int]]] = ([], [])
             for state, a, b in zip(states[open_].tolist(), first.tolist(), last.tolist(), strict=True):
                 step = (state, raw[4 * a : 4 * b])
                 got = steps_.get(step)
                 if got is None:
-                    got = steps_[step] = self._after(state, frozenset(cand[a:b].tolist()))
+                    # the state of the same word that skips these candidates, too
+                    key = self.words[state], self.skipped[state].union(cand[a:b].tolist())
+                    got = self.states.get(key)
+                    if got is None:
+                        got = self.states[key] = self.store.n + len(new[0])
+                        new[0].append(key[0])
+                        new[1].append(key[1])
+                    steps_[step] = got
                 to.append(got)
+            if new[0]:
+                self._add(*new)
             states[open_] = to
         return states
 

@@ -706,3 +706,21 @@ def test_workers_forget_between_operators():
     assert batches.held("two", lambda: [2]) == [2]
     assert list(batches._HELD) == ["two"]
     batches.forget()
+
+
+def test_words_merged_side_by_side_are_those_merged_alone():
+    model = subwords.MergeModel(piece_model())
+    rng = random.Random(5)
+    words = [" " + prose(rng, 1).strip() + prose(rng, 1).strip()[: rng.randint(0, 30)] for _ in range(300)]
+    words += [" ", " x", "日本", " a▁b", "\x00", "é" * 60, " naïveté"]
+    for share in (0, 0.3, 0.8):
+        skipped = []
+        for word in words:
+            made = []
+            model.merge(word, None, 0, made)
+            skipped.append(frozenset(piece << 32 | place for place, piece in made if rng.random() < share))
+        ids, merges = model.merge_many(words, skipped)
+        for word, skip, got, steps in zip(words, skipped, ids, merges, strict=True):
+            made = []
+            assert got.tolist() == model.merge(word, None, 0, made, skip), word
+            assert steps.tolist() == [piece << 32 | place for place, piece in made], word
