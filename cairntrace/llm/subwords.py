@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 from itertools import chain, repeat
 
@@ -18,14 +17,18 @@ from cairntrace.llm.batches import IdStore, held, mixed, mixed_int, steps
 from cairntrace.llm.common import NO_ID
 
 SPACE = "▁"
-#: States of words, and steps between them, that a worker remembers.
+#: Words that a worker remembers.
 REMEMBERED = 120_000
 #: Words that a task works on at once.
 AT_ONCE = 1 << 16
 #: Longest word whose agenda is a plain list.
 SHORT = 48
 #: Words of up to so many characters are merged side by side, each width by itself; fewer than FEW go one by one.
-WIDTHS, FEW = (6, 9, 12, 16, 24, SHORT), 32
+WIDTHS, FEW = (5, 7, 9, 12, 16, 24, SHORT), 32
+#: An agenda's number of no candidate; others are rank * 2^AGENDA_BITS + place.
+NO_CANDIDATE, AGENDA_BITS = np.iinfo(np.int32).max, 6
+#: Bits of the buckets of pairs, and of the rank beside a pair.
+BUCKET_BITS, RANK_BITS = 16, 20
 
 _PIECE, _PLACE, _STIR, _ALL = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -38,12 +41,32 @@ def chance(key: int, piece: int, place: int) -> int:
     return x ^ (x >> 32)
 
 
-def chances(key: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+def spots(piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What `chance` takes of a candidate."""
+    return piece.astype(np.uint64) * np.uint64(_PIECE) + place.astype(np.uint64) * np.uint64(_PLACE)
+
+
+def chances(key: np.ndarray, spot: np.ndarray) -> np.ndarray:
     """`chance` of many candidates."""
-    x = key ^ (piece.astype(np.uint64) * np.uint64(_PIECE) + place.astype(np.uint64) * np.uint64(_PLACE))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(_STIR)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(_STIR)
-    return x ^ (x >> np.uint64(32))
+    x = key ^ spot
+    for shift in (32, 29):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(_STIR)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of `n` words, one after the other, and where each ends, of parts (words, their lists, sizes)."""
+    sizes = np.zeros(n, np.int64)
+    for members, _, own in parts:
+        sizes[members] = own
+    ends = np.cumsum(sizes)
+    flat = np.empty(int(sizes.sum()), kind)
+    for members, values, own in parts:
+        begins = ends[members] - own
+        flat[np.repeat(begins - np.cumsum(own) + own, own) + np.arange(len(values))] = values
+    return flat, ends
 
 
 class MergeModel:
@@ -58,7 +81,6 @@ class MergeModel:
         self.ids: dict[str, int] = {}
         self.raw: list[bytes] = []
         self.text: list[str] = []
-        self.trees: dict[int, list[tuple[int, int]]] = {}
         self.bytes = [0] * 256
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -76,11 +98,6 @@ class MergeModel:
         self.none = len(self.by_rank)
         place = {i: r for r, i in enumerate(self.by_rank)}
         self.rank = {piece: place[i] for piece, i in self.ids.items()}
-        # Characters that an id covers in a run of ids; the bytes of one character count once.
-        self.sizes = [
-            len(t) if i in place else int(len(r) == 1 and not 0x80 <= r[0] < 0xC0)
-            for i, (t, r) in enumerate(zip(self.text, self.raw, strict=True))
-        ]
         # Where no piece joins a letter to another character, no merge does, and texts may be cut there.
         letter = regex.compile(r"\p{L}")
         glue = set()
@@ -92,13 +109,6 @@ class MergeModel:
         self.spaces_lead = all(SPACE not in piece.lstrip(SPACE) for piece in self.ids)
         self.cut = regex.compile(rf" *[{inner}]+| *[^{inner} ]+| +" if self.spaces_lead else r"(?s).+")
 
-    def plain(self, words: list[str]) -> list[list[int]]:
-        """The library's segmentation of words, which adds a space before each; only those that
-        begin with one space and hold more keep it, the others get an empty list."""
-        spaced = [w for w in words if w[0] == " " and len(w) > 1]
-        got = dict(zip(spaced, self.sp.encode([w[1:] for w in spaced], num_threads=1), strict=True)) if spaced else {}
-        return [got.get(w, []) for w in words]
-
     def symbols(self, word: str) -> list[str]:
         """Characters; a space is the mark, a mark in the text itself is no vocabulary character."""
         return [SPACE if c == " " else ("\0" + c if c == SPACE else c) for c in word]
@@ -195,117 +205,222 @@ class MergeModel:
         return self.ids_of([s for s in symbols if s is not None])
 
     @cached_property
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of pieces that join to a piece, as left * 2^32 + right in order, and that piece's rank."""
+    def pairs(self) -> PairRanks:
+        """The rank of the piece that two pieces join to."""
         found = {}
         for text, piece in self.ids.items():
             for k in range(1, len(text)):
                 left, right = self.ids.get(text[:k]), self.ids.get(text[k:])
                 if left is not None and right is not None:
-                    found[left << 32 | right] = self.rank[text]
-        keys = np.array(sorted(found), np.int64)
-        return keys, np.array([found[k] for k in keys.tolist()], np.int32)
+                    found[left * len(self.text) + right] = self.rank[text]
+        return PairRanks(found, len(self.text))
+
+    @cached_property
+    def pieces_by_rank(self) -> np.ndarray:
+        return np.array(self.by_rank, np.int64)
+
+    @cached_property
+    def characters(self) -> np.ndarray:
+        """The piece of each code point, -1 without one; a space is the mark, a mark has none."""
+        out = np.full(0x110000, -1, np.int32)
+        for text, piece in self.ids.items():
+            if len(text) == 1 and text != SPACE:
+                out[ord(text)] = piece
+        out[ord(" ")] = self.ids.get(SPACE, -1)
+        return out
 
     def merge_many(self, words: list[str], skipped: list[frozenset[int]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """What `merge` gives for many words that skip these candidates: ids, and merges as id * 2^32 + place."""
-        ids: list = [None] * len(words)
-        merges: list = [None] * len(words)
-        groups: dict[int, list[int]] = {}
-        rows: list[list[int]] = []
-        get = self.ids.get
-        for i, word in enumerate(words):
-            row = [get(c, -1) for c in word.replace(" ", SPACE)] if len(word) <= SHORT and SPACE not in word else [-1]
-            rows.append(row)
-            if -1 not in row and row:
-                groups.setdefault(bisect_left(WIDTHS, len(row)), []).append(i)
-        for width, members in groups.items():
-            if len(members) >= FEW:
-                self._side_by_side(WIDTHS[width], members, rows, skipped, ids, merges)
-        for i, word in enumerate(words):
-            if ids[i] is None:
-                made: list[tuple[int, int]] = []
-                ids[i] = np.array(self.merge(word, None, 0, made, skipped[i]), np.int32)
-                merges[i] = np.array([m << 32 | at for at, m in made], np.int64)
-        return ids, merges
+        # as (word * 2^32 + place) * pieces + piece, in order
+        total = len(self.text)
+        barred = np.array(sorted((i << 32 | c & 0xFFFFFFFF) * total + (c >> 32) for i, own in enumerate(skipped) for c in own), np.int64)
+
+        def bars(word: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+            mine = (word << 32 | place) * total + piece
+            return barred[np.minimum(np.searchsorted(barred, mine), len(barred) - 1)] == mine
+
+        def alone(i: int, made: list[tuple[int, int]]) -> list[int]:
+            return self.merge(words[i], None, 0, made, skipped[i])
+
+        ids, ends, merges, merge_ends = self.merged(words, alone, bars if len(barred) else None)
+        return np.split(ids, ends[:-1]), np.split(merges, merge_ends[:-1])
+
+    def drawn(self, words: list[str], keys: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """What `merge` gives for many words with a key each: ids, one word's after the other's, and where each word's end."""
+
+        def bars(word: np.ndarray, piece: np.ndarray, place: np.ndarray) -> np.ndarray:
+            return chances(keys[word], spots(piece, place)) < np.uint64(below)
+
+        def alone(i: int, made: list[tuple[int, int]]) -> list[int]:
+            return self.merge(words[i], int(keys[i]), below)
+
+        return self.merged(words, alone, bars, False)[:2]
+
+    def merged(
+        self,
+        words: list[str],
+        alone: Callable[[int, list[tuple[int, int]]], list[int]],
+        bars: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None,
+        noted: bool = True,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many words and (if `noted`) their merges as id * 2^32 + place, each with where a word's end.
+
+        `bars(words, pieces, places)` tells which candidates are skipped; `alone` merges one word by itself: one with
+        characters that have no piece, a long one, or one of few of its width.
+        """
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        begins = np.cumsum(sizes) - sizes
+        flat = self.characters[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        strange = np.zeros(n, bool)
+        strange[np.searchsorted(begins, np.flatnonzero(flat < 0), side="right") - 1] = True
+        width_of = np.searchsorted(WIDTHS, sizes)
+        width_of[strange | (sizes > SHORT) | (sizes == 0)] = len(WIDTHS)
+        ids, merges, rest = [], [], [np.flatnonzero(width_of == len(WIDTHS))]
+        for w, width in enumerate(WIDTHS):
+            members = np.flatnonzero(width_of == w)
+            if len(members) < FEW:
+                rest.append(members)
+                continue
+            lines = np.arange(width)[:, None]
+            at = np.minimum(begins[members] + lines, len(flat) - 1)
+            symbols = np.where(lines < sizes[members], flat[at], -1)
+            got, made = self._side_by_side(symbols, members, bars, noted)
+            ids.append((members, *got))
+            merges.append((members, *made))
+        one = np.concatenate(rest)
+        made_one: list[list[tuple[int, int]]] = [[] for _ in range(len(one))]
+        lists = [alone(i, made) for i, made in zip(one.tolist(), made_one, strict=True)]
+        for parts, own in ((ids, lists), (merges, [[m << 32 | at for at, m in made] for made in made_one])):
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
+            parts.append((one, np.fromiter(chain.from_iterable(own), np.int64, int(lengths.sum())), lengths))
+        return *_joined(ids, n, np.int32), *_joined(merges, n, np.int64)
 
     def _side_by_side(
-        self, width: int, members: list[int], rows: list[list[int]], skipped: list[frozenset[int]], ids: list, merges: list
-    ) -> None:
-        n, none = len(members), np.int32(self.none)
-        keys, ranks = self.pairs
-        by_rank = np.array([*self.by_rank, -1], np.int64)
-        sizes = np.array([len(rows[i]) for i in members])
-        symbols = np.full((n, width + 1), -1, np.int64)
-        symbols[np.arange(width + 1) < sizes[:, None]] = np.fromiter(chain.from_iterable(rows[i] for i in members), np.int64)
-        places = np.tile(np.arange(width + 1), (n, 1))
-        # candidates that a row skips, as (row * width + place) * pieces + piece
-        total = len(self.text)
-        barred = np.array(
-            sorted((r * width + (c & 0xFFFFFFFF)) * total + (c >> 32) for r, i in enumerate(members) for c in skipped[i]), np.int64
-        )
-
-        def ranked(row: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
-            key = left << 32 | right
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            out = np.where((keys[at] == key) & (left >= 0) & (right >= 0), ranks[at], none)
-            if len(barred):
-                mine = (row * width + place) * total + by_rank[out]
-                found = np.minimum(np.searchsorted(barred, mine), len(barred) - 1)
-                out = np.where((barred[found] == mine) & (out != none), none, out)
+        self,
+        symbols: np.ndarray,
+        members: np.ndarray,
+        bars: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None,
+        noted: bool,
+    ) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ids and merges, each with their numbers per word, of words given by columns of character pieces, -1 past
+        the end.  A piece stands in the line of its first character.  Every turn makes the best merge of each word."""
+        width, n = symbols.shape
+        by_rank, pairs = self.pieces_by_rank, self.pairs
+
+        def candidates(word: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+            rank = pairs.of(left, right)
+            out = np.full(len(rank), NO_CANDIDATE, np.int32)
+            known = np.flatnonzero(rank >= 0)
+            rank, place = rank[known], place[known]
+            if bars is not None:
+                free = np.flatnonzero(~bars(members[word[known]], by_rank[rank], place))
+                known, rank, place = known[free], rank[free], place[free]
+            out[known] = rank << AGENDA_BITS | place
             return out
 
-        open_ = np.arange(n)
-        agenda = np.full((n, width + 1), none, np.int32)
-        agenda[:, :-1] = ranked(open_[:, None], symbols[:, :-1], symbols[:, 1:], places[:, :-1])
-        done: list = [None] * n
-        made_rows, made = [], []
-        columns = np.arange(width + 1)
-        while len(open_):
-            at = np.argmin(agenda, 1)
-            best = agenda[np.arange(len(open_)), at]
-            ended = best == none
-            if ended.any():
-                for r, row in zip(open_[ended].tolist(), symbols[ended], strict=True):
-                    done[r] = row
-                keep = ~ended
-                open_, agenda, symbols, places = open_[keep], agenda[keep], symbols[keep], places[keep]
-                at, best = at[keep], best[keep]
-                if not len(open_):
+        # the last line stands for what lies before and after a word
+        final = np.full((width, n), -1, np.int64)
+        word = np.arange(n)
+        symbol = np.concatenate([symbols.astype(np.int64), np.full((1, n), -1)])
+        after = np.repeat(np.minimum(np.arange(1, width + 2), width), n)
+        before = np.repeat(np.arange(-1, width) % (width + 1), n)
+        agenda = np.full((width + 1) * n, NO_CANDIDATE, np.int32)
+        pair = np.flatnonzero(symbol[1:] >= 0)
+        symbol = symbol.ravel()
+        agenda[pair] = candidates(pair % n, symbol[pair], symbol[pair + n], pair // n)
+        made_words, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while True:
+            best = agenda.reshape(width + 1, -1).min(0)
+            live = np.flatnonzero(best != NO_CANDIDATE)
+            if 2 * len(live) <= len(word):
+                final[:, word] = symbol.reshape(width + 1, -1)[:width]
+                if not len(live):
                     break
-            row = np.arange(len(open_))
-            got = by_rank[best]
-            made_rows.append(open_)
-            made.append(got << 32 | places[row, at])
-            symbols[row, at] = got
-            # the symbol after it is gone, and the candidate of both
-            gone = np.minimum(columns + (columns > at[:, None]), width)
-            symbols, places = np.take_along_axis(symbols, gone, 1), np.take_along_axis(places, gone, 1)
-            symbols[:, -1] = -1
-            agenda = np.take_along_axis(agenda, gone, 1)
-            agenda[:, -1] = none
-            agenda[row, at] = ranked(open_, got, symbols[row, np.minimum(at + 1, width)], places[row, at])
-            inner = np.flatnonzero(at)
-            before = at[inner] - 1
-            agenda[inner, before] = ranked(open_[inner], symbols[inner, before], got[inner], places[inner, before])
-        whose = np.concatenate([np.zeros(0, np.int64), *made_rows])
+                symbol, after, before, agenda = (
+                    np.take(x.reshape(width + 1, -1), live, 1).ravel() for x in (symbol, after, before, agenda)
+                )
+                word, best = word[live], best[live]
+                live = np.arange(len(live))
+            n, best = len(word), best[live].astype(np.int64)
+            place, got = best & (1 << AGENDA_BITS) - 1, by_rank[best >> AGENDA_BITS]
+            at = place * n + live
+            gone = after[at] * n + live
+            follows = after[gone]
+            next_at = follows * n + live
+            leads = before[at]
+            lead_at = leads * n + live
+            after[at], before[next_at] = follows, place
+            symbol[at], symbol[gone], agenda[gone] = got, -1, NO_CANDIDATE
+            found = candidates(
+                np.tile(word[live], 2),
+                np.concatenate([got, symbol[lead_at]]),
+                np.concatenate([symbol[next_at], got]),
+                np.concatenate([place, leads]),
+            )
+            agenda[at], agenda[lead_at] = found[: len(at)], found[len(at) :]
+            if noted:
+                made_words.append(word[live])
+                made.append(got << 32 | place)
+        rows = final.T
+        left = rows >= 0
+        whose = np.concatenate(made_words)
         order = np.argsort(whose, kind="stable")
-        parts = np.split(np.concatenate([np.zeros(0, np.int64), *made])[order], np.cumsum(np.bincount(whose, minlength=n))[:-1])
-        for i, row, part in zip(members, done, parts, strict=True):
-            ids[i], merges[i] = row[row >= 0].astype(np.int32), part
-
-    def tree(self, piece: int) -> list[tuple[int, int]]:
-        """The merges (place, id) that make a piece: the same wherever the piece comes about,
-        for no merge that crosses its ends has taken place."""
-        if piece not in self.trees:
-            made: list[tuple[int, int]] = []
-            self.merge(self.text[piece].replace(SPACE, " "), None, 0, made)
-            self.trees[piece] = made
-        return self.trees[piece]
+        return (rows[left], left.sum(1)), (np.concatenate(made)[order], np.bincount(whose, minlength=len(members)))
+
+
+class PairRanks:
+    """Ranks of pairs of pieces, found at one place of a table each: pairs hash to buckets, and each bucket is
+    moved by a step at which all its pairs fall on places of their own."""
+
+    def __init__(self, found: dict[int, int], pieces: int) -> None:
+        self.pieces = np.int64(pieces)
+        keys = np.fromiter(found, np.int64, len(found))
+        ranks = np.fromiter(found.values(), np.int64, len(found))
+        self.mask = np.int64((1 << max(4, (2 * len(keys)).bit_length())) - 1)
+        drawn = np.random.default_rng(0)
+        while not self._placed(keys, ranks, np.uint64(drawn.integers(1 << 62) * 2 + 1)):
+            pass
+
+    def _hashed(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed_ = keys.astype(np.uint64) * self.odd
+        return (mixed_ >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), (mixed_ >> np.uint64(20)).astype(np.int64)
+
+    def _placed(self, keys: np.ndarray, ranks: np.ndarray, odd: np.uint64) -> bool:
+        self.odd, size = odd, int(self.mask) + 1
+        buckets, places = self._hashed(keys)
+        self.moves = np.zeros(1 << BUCKET_BITS, np.int64)
+        taken = bytearray(size)
+        members: dict[int, list[int]] = {}
+        for bucket, place in zip(buckets.tolist(), (places & self.mask).tolist(), strict=True):
+            members.setdefault(bucket, []).append(place)
+        for bucket, own in sorted(members.items(), key=lambda x: (-len(x[1]), x[0])):
+            if len(set(own)) < len(own):
+                return False
+            move = 0
+            while any(taken[p + move & size - 1] for p in own):
+                move += 1
+                if move == size:
+                    return False
+            for p in own:
+                taken[p + move & size - 1] = 1
+            self.moves[bucket] = move
+        self.table = np.full(size, -1, np.int64)
+        self.table[places + self.moves[buckets] & self.mask] = keys << RANK_BITS | ranks
+        return True
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of these pairs; -1 if they don't join, or one of them is -1."""
+        key = left * self.pieces + right
+        bucket, place = self._hashed(key)
+        got = self.table[place + self.moves[bucket] & self.mask]
+        return np.where((got >> RANK_BITS == key) & (left >= 0) & (right >= 0), got & (1 << RANK_BITS) - 1, -1)
 
 
 class Encoder:
-    """Encodes many texts.  Each occurrence of a word draws for its own candidate merges; what follows from
-    a word and the candidates it skips, a state, is remembered: the ids, and the merges that lead to them."""
+    """Encodes many texts.  Each occurrence of a word draws for its own candidate merges.  What is remembered of a
+    word is what it gives without dropout: an occurrence that skips none of those merges gives the same, all others
+    are merged anew."""
 
     def __init__(self, model: MergeModel, dropout: float, seed: int) -> None:
         self.model = model
@@ -314,86 +429,26 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
         self.store = IdStore()
-        # merges of the states, as id * 2^32 + place
-        self.merges = IdStore(np.int64)
-        # per state its word and the candidates skipped; and the states by both
-        self.words: list[str] = []
-        self.skipped: list[frozenset[int]] = []
-        self.states: dict[tuple[str, frozenset[int]], int] = {}
-        self.steps: dict[tuple[int, bytes], int] = {}
+        # what `chance` takes of each word's merges
+        self.spots = IdStore(np.uint64)
 
     def _number(self, words: list[str]) -> None:
-        """Gives new words their states without dropout."""
-        flat, ends, merges, merge_ends = [], [], [], []
-        model = self.model
-        tree, sizes = model.tree, model.sizes
-        simple = model.spaces_lead
-        for word, ids in zip(words, model.plain(words), strict=True):
-            if ids and simple and SPACE not in word:
-                place = 0
-                for got in ids:
-                    if sizes[got] > 1:
-                        merges += [m << 32 | place + i for i, m in tree(got)]
-                    place += sizes[got]
-            else:
-                made: list[tuple[int, int]] = []
-                ids = model.merge(word, None, 0, made)
-                merges += [m << 32 | i for i, m in made]
-            flat += ids
-            ends.append(len(flat))
-            merge_ends.append(len(merges))
+        """Gives new words their numbers."""
+        merge = self.model.merge
+        ids, ends, merges, merge_ends = self.model.merged(words, lambda i, made: merge(words[i], None, 0, made))
         first = self.store.n
-        self.store.add_all(np.array(flat, np.int32), np.array(ends, np.int64))
-        self.merges.add_all(np.array(merges, np.int64), np.array(merge_ends, np.int64))
-        self.known.update(zip(words, range(first, self.store.n), strict=True))
-        self.words += words
-        self.skipped += [frozenset()] * len(words)
-
-    def _add(self, words: list[str], skipped: list[frozenset[int]]) -> None:
-        """Gives words that skip candidates their states, the next numbers."""
-        ids, merges = self.model.merge_many(words, skipped)
-        for store, lists in ((self.store, ids), (self.merges, merges)):
-            store.add_all(np.concatenate(lists), np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
-        self.words += words
-        self.skipped += skipped
-
-    def _drawn(self, states: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """The last states of occurrences with these keys.  A merge of a state that the occurrence's draw
-        skips leads on to the state without it, until none is skipped: what is skipped is skipped for
-        good, so the order in which this comes out makes no difference."""
-        states = states.copy()
-        open_ = np.arange(len(states))
-        while len(open_):
-            made, ends = self.merges.gather(states[open_])
-            owner = np.repeat(np.arange(len(open_)), np.diff(ends))
-            hit = np.flatnonzero(chances(keys[open_][owner], made >> 32, made & 0xFFFFFFFF) < np.uint64(self.below))
-            if not len(hit):
-                break
-            owner, cand, at = owner[hit], made[hit], (hit - ends[owner[hit]]).astype(np.int32)
-            first = np.flatnonzero(np.diff(owner, prepend=-1))
-            last = np.append(first[1:], len(owner))
-            open_ = open_[owner[first]]
-            raw, to, steps_ = at.tobytes(), [], self.steps
-            new: tuple[list[str], list[frozenset[int]]] = ([], [])
-            for state, a, b in zip(states[open_].tolist(), first.tolist(), last.tolist(), strict=True):
-                step = (state, raw[4 * a : 4 * b])
-                got = steps_.get(step)
-                if got is None:
-                    # the state of the same word that skips these candidates, too
-                    key = self.words[state], self.skipped[state].union(cand[a:b].tolist())
-                    got = self.states.get(key)
-                    if got is None:
-                        got = self.states[key] = self.store.n + len(new[0])
-                        new[0].append(key[0])
-                        new[1].append(key[1])
-                    steps_[step] = got
-                to.append(got)
-            if new[0]:
-                self._add(*new)
-            states[open_] = to
-        return states
+        self.store.add_all(ids, ends)
+        self.spots.add_all(spots(merges >> 32, merges & 0xFFFFFFFF), merge_ends)
+        self.words.update(zip(words, range(first, self.store.n), strict=True))
+
+    def _skipping(self, which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Occurrences of these words, with these keys, that skip a merge of their word."""
+        made, ends = self.spots.gather(which)
+        hit = np.flatnonzero(chances(np.repeat(keys, np.diff(ends)), made) < np.uint64(self.below))
+        found = np.searchsorted(ends, hit, side="right") - 1
+        return found[np.flatnonzero(np.diff(found, prepend=-1))]
 
     def encode(self, texts: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids begin (with the end)."""
@@ -409,17 +464,23 @@ class Encoder:
         lists, list_sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for a in range(0, len(words), AT_ONCE):
             some = words[a : a + AT_ONCE]
-            if len(self.words) + len(self.steps) > REMEMBERED:
+            if len(self.words) > REMEMBERED:
                 self.forget()
-            which = np.fromiter(map(self.known.get, some, repeat(-1)), np.int64, len(some))
+            which = np.fromiter(map(self.words.get, some, repeat(-1)), np.int64, len(some))
             missing = np.flatnonzero(which < 0)
             if len(missing):
                 found = [some[i] for i in missing.tolist()]
                 self._number(list(dict.fromkeys(found)))
-                which[missing] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+                which[missing] = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+            n, used = self.store.n, self.store.used
             if self.below:
-                which = self._drawn(which, keys[a : a + AT_ONCE])
+                own = keys[a : a + AT_ONCE]
+                skip = self._skipping(which, own)
+                # their ids take the next numbers for this step only
+                which[skip] = np.arange(n, n + len(skip))
+                self.store.add_all(*self.model.drawn([some[i] for i in skip.tolist()], own[skip], self.below))
             flat, ends = self.store.gather(which)
+            self.store.n, self.store.used = n, used
             lists.append(flat)
             list_sizes.append(np.diff(ends))
         ends = np.zeros(len(words) + 1, np.int64)

@@ -724,3 +724,38 @@ def test_words_merged_side_by_side_are_those_merged_alone():
             made = []
             assert got.tolist() == model.merge(word, None, 0, made, skip), word
             assert steps.tolist() == [piece << 32 | place for place, piece in made], word
+
+
+def test_drawn_words_are_those_merged_alone_with_their_keys():
+    """Occurrences that skip merges are merged at once, each once, whatever their candidates."""
+    model = subwords.MergeModel(piece_model())
+    rng = random.Random(6)
+    words = [" " + prose(rng, 1).strip() + prose(rng, 1).strip()[: rng.randint(0, 30)] for _ in range(400)]
+    words += [" ", " x", "x", "日本", " a▁b", "\x00", "é" * 60, " naïveté", "thousandfold" * 5]
+    keys = np.array([rng.getrandbits(64) for _ in words], np.uint64)
+    for share in (0.1, 0.5, 0.9):
+        below = int(share * 2**64)
+        ids, ends = model.drawn(words, keys, below)
+        for word, key, got in zip(words, keys.tolist(), np.split(ids, ends[:-1]), strict=True):
+            assert got.tolist() == model.merge(word, key, below), word
+    pieces = list(model.ids)
+    for left, right in [*zip(pieces, rng.sample(pieces, len(pieces)), strict=True), ("t", "h"), ("th", "e")]:
+        a, b = model.ids[left], model.ids[right]
+        want = model.rank.get(left + right, -1)
+        assert model.pairs.of(np.array([a, -1]), np.array([b, b])).tolist() == [want, -1]
+
+
+def test_an_encoder_merges_an_occurrence_once(monkeypatch):
+    """No occurrence is merged by itself, or again from another state, where its characters have pieces."""
+    model = subwords.MergeModel(piece_model())
+    text = ("unbelievable thousandfold wordings reconsidered " * 500).encode()
+    done = []
+    own = subwords.MergeModel._side_by_side
+    monkeypatch.setattr(subwords.MergeModel, "merge", lambda *_: done.append(1) or [])
+    monkeypatch.setattr(subwords, "FEW", 0)
+    monkeypatch.setattr(
+        subwords.MergeModel, "_side_by_side", lambda self, symbols, *a: done.extend(symbols[0]) or own(self, symbols, *a)
+    )
+    subwords.Encoder(model, 0.3, 1).encode([text], np.array([1]))
+    words = len(model.cut.findall(" " + text.decode()))
+    assert 0.5 * words < len(done) <= words + 6
