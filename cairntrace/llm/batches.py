@@ -110,16 +110,27 @@ def held(key, make):
 
 
 def forget() -> None:
-    """Drops what this worker remembers, and gives memory that is free back to the system: the C library and
-    Arrow keep it otherwise, in every worker beside the JVM."""
+    """Drops what this worker remembers, and gives memory that is free back to the system."""
     _HELD.clear()
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives memory that is free back to the system: the C library and Arrow keep it otherwise, in every worker
+    beside the JVM.  Tasks go to waiting workers in turn, so more workers keep memory than tasks run at once."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def done_with_held() -> None:
+    """For tasks that need nothing of what earlier ones remember."""
+    if _HELD:
+        forget()
+
+
 class IdStore:
     """Lists of small integers, appended one after the other and gathered many at once."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairntrace.llm.batches import IdStore, held, mixed, word_steps
+from cairntrace.llm.batches import IdStore, done_with_held, give_back, held, mixed, word_steps
 from cairntrace.llm.common import NO_ID, written
 
 WINDOW = 2048
@@ -247,6 +247,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str)
                 ],
                 names,
             )
+        batch = per_text = which = kinds = ids = ends = whole = owner = pairs = raw = None
+        give_back()
         yield pa.record_batch(
             [
                 pa.nulls(1, pa.int64()),
@@ -295,7 +297,8 @@ def _sketched(batch: pa.RecordBatch, weight: np.ndarray) -> np.ndarray:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of SKETCHED rows."""
+    """The batches in parts of SKETCHED rows, for tasks that need no tokenizer."""
+    done_with_held()
     for batch in batches:
         for first in range(0, len(batch), SKETCHED):
             yield batch.slice(first, SKETCHED)
@@ -553,6 +556,7 @@ def pack(
     kind = "<u2" if len(idf) <= 1 << 16 else "<u4"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        done_with_held()
         order = sorted(range(len(frame)), key=lambda i: (frame["k"].iat[i], frame["ids"].iat[i]))
         ids = [np.frombuffer(frame["ids"].iat[i], kind).astype(np.int64) for i in order]
         named, shard = frame["doc_id"].array, int(frame["shard"].iat[0])

@@ -759,3 +759,24 @@ def test_an_encoder_merges_an_occurrence_once(monkeypatch):
     subwords.Encoder(model, 0.3, 1).encode([text], np.array([1]))
     words = len(model.cut.findall(" " + text.decode()))
     assert 0.5 * words < len(done) <= words + 6
+
+
+def test_packing_workers_keep_no_memory_that_is_free(monkeypatch):
+    """A task that made ids gives free memory back at its end; the tasks after it drop the tokenizer."""
+    from unittest.mock import MagicMock
+
+    import pyarrow as pa
+
+    from cairntrace.llm import batches
+
+    given = []
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(packing, "F", MagicMock())
+    docs = MagicMock()
+    docs.select.return_value.mapInArrow = lambda run, _: run
+    run = packing.tokenised(docs, word_vocabulary(), "doc_id", "text")
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["two words", None])], ["doc_id", "text"])
+    out = list(run(iter([batch])))
+    assert [b["n"].to_pylist() for b in out] == [[3, 1], [0]] and given == [1]
+    assert batches._HELD
+    assert [len(p) for p in packing._parts(iter([batch]))] == [2] and not batches._HELD
